@@ -127,7 +127,7 @@ class Index:
         import numpy as np
 
         get = self.vocabulary.get
-        gap = [-1] * NEAR_WORDS  # no window reaches over it
+        gap = [-2] * NEAR_WORDS  # no window reaches into it
         flat: list[int] = []
         starts = []
         for words in documents:
@@ -159,7 +159,8 @@ class Index:
                 exact = min(EXACT_WORDS, len(item))
                 if hi - lo < exact:
                     continue
-                run = np.concatenate([[0], np.cumsum(item[lo:hi] == w[begin + lo : begin + hi])])
+                part = w[begin + lo : begin + hi]
+                run = np.concatenate([[0], np.cumsum((item[lo:hi] == part) - 1000 * (part == -2))])
                 whole = run[exact:] - run[:-exact]
                 near = run[NEAR_WORDS:] - run[:-NEAR_WORDS]
                 for hits, least in ((whole, exact), (near, NEAR_WORDS - NEAR_REPLACED)):
