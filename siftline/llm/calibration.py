@@ -73,7 +73,9 @@ def plan_samples(counts: DataFrame, pool: list[str], category: str) -> DataFrame
 
     need = F.greatest(F.coalesce("min_count", F.lit(0)), F.round(F.coalesce("target_share", F.lit(0.0)) * F.col("sample_size")).cast("long"))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in counts.schema.fields)
-    planned = counts.groupBy(*pool).applyInPandas(solve, f"{fields}, draw double")
+    # few rows, but much work for each pool: spread it over all tasks, which adaptive execution would not
+    tasks = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    planned = counts.repartition(tasks, *pool).groupBy(*pool).applyInPandas(solve, f"{fields}, draw double")
     return planned.withColumn("needed", need).withColumn("gap", F.greatest(F.lit(0), need - F.col("available")))
 
 
