@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from siftline.operators.staging import written
+
 SPLIT_ROWS = 100_000
 RANGES = 64
 
@@ -69,12 +71,16 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: Column, tie: s
 def rank_in_groups(df: DataFrame, keys: list[str], quality: str, tie: str, split_rows: int = SPLIT_ROWS) -> DataFrame:
     """Adds ``rank``: the place by ``quality`` downwards (null and NaN last), then by ``tie``.
 
-    Groups beyond ``split_rows`` are cut by quality and, where qualities are equal, by the
+    The largest group is counted first. Up to ``split_rows`` a group is sorted in one task. If one
+    is larger, the rows are written once and groups are cut by quality and, where qualities are equal, by the
     leading bytes of ``tie``; both cuts keep the order, so the ranks of the parts add up. Empty in, empty out.
     """
     q = F.when(F.col(quality).isNull() | F.isnan(quality), F.lit(float("inf"))).otherwise(-F.col(quality))
     lead = F.conv(F.hex(F.substring(F.encode(F.col(tie).cast("string"), "UTF-8"), 1, 6)), 16, 10).cast("double")
-    rows = df.withColumn("_q", q).withColumn("_lead", lead)
+    rows = df.withColumn("_q", q)
+    if (df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) <= split_rows:
+        return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("_q", tie))).drop("_q")
+    rows = written(rows.withColumn("_lead", lead), "ranked")
     shares = [i / RANGES for i in range(1, RANGES)]
     sizes = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"),
