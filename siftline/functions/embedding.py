@@ -57,7 +57,9 @@ def md5_embedder(dim: int = 64) -> Callable[[Column], Column]:
         s = F.concat(F.lit("  "), F.lower(F.coalesce(text, F.lit(""))), F.lit("  "))
         grams = F.transform(F.sequence(F.lit(1), F.length(s) - 2), lambda i: F.substring(s, i, F.lit(3)))
         slots = F.transform(grams, lambda g: F.conv(F.substring(F.md5(g.cast("binary")), 1, 8), 16, 10).cast("bigint") % dim)
-        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.size(F.filter(slots, lambda x: x == k)).cast("double"))
+        # bound to a lambda's variable, the slots are made once and not once for every dimension
+        count = lambda all_slots: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.size(F.filter(all_slots, lambda x: x == k)).cast("double"))
+        return F.get(F.transform(F.array(slots), count), F.lit(0))
 
     return embed
 

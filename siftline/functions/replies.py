@@ -6,6 +6,7 @@ import json
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 
 def balanced(text: str, opening: str = "{", closing: str = "}") -> str | None:
@@ -50,7 +51,7 @@ def read_objects(text: str | None) -> list[dict]:
     return []
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def reply_objects(text: pd.Series) -> pd.Series:
     """Each object of a reply as sorted compact JSON; an empty list for null and unreadable replies."""
     return text.map(lambda t: [json.dumps(x, sort_keys=True, ensure_ascii=False, separators=(",", ":")) for x in read_objects(t)])
