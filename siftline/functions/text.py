@@ -25,21 +25,29 @@ def token_ngrams(t: Column, n: int) -> Column:
     return F.when(F.size(t) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
 
 
+EDGE = r"[\s\p{Z}]+"
+
+
+def stripped(text: Column) -> Column:
+    """Without outer blanks and line ends of any kind."""
+    return F.regexp_replace(text, f"^{EDGE}|{EDGE}$", "")
+
+
 def stable_hash(text: Column) -> Column:
     return F.substring(F.sha2(text.cast("binary"), 256), 1, 16)
 
 
 def compact_text(text: Column, most: int = 2200, marker: str = "\n[...]\n") -> Column:
     """A stripped text; of a longer one the head, a marker and the tail, 65 % of the room for the head."""
-    s = F.trim(text)
+    s = stripped(text)
     room = most - len(marker)
     head = int(room * 0.65)
-    cut = F.concat(F.rtrim(F.substring(s, 1, head)), F.lit(marker), F.ltrim(F.substring(s, -(room - head), room - head)))
+    cut = F.concat(F.regexp_replace(F.substring(s, 1, head), f"{EDGE}$", ""), F.lit(marker), F.regexp_replace(F.substring(s, -(room - head), room - head), f"^{EDGE}", ""))
     return F.when(F.length(s) <= most, s).otherwise(cut)
 
 
 def was_compacted(text: Column, most: int = 2200) -> Column:
-    return F.length(F.trim(text)) > most
+    return F.length(stripped(text)) > most
 
 
 def word_count(text: Column) -> Column:
@@ -49,7 +57,7 @@ def word_count(text: Column) -> Column:
 def strip_fence(text: Column) -> Column:
     """The first fenced block of a reply, without its fence; the reply itself if there is none."""
     inner = F.regexp_extract(text, r"(?is)```(?:json)?\s*(.*?)```", 1)
-    return F.when(inner != "", F.trim(inner)).otherwise(F.trim(text))
+    return F.when(inner != "", stripped(inner)).otherwise(stripped(text))
 
 
 def csv_cell(text: Column) -> Column:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.functions.text import stable_hash, word_count
+from siftline.functions.text import stable_hash, stripped, word_count
 
 
 def generate(seeds: DataFrame, variants: int) -> DataFrame:
@@ -69,8 +69,7 @@ def pending(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 def first_generated(df: DataFrame, seed: str, text: str, label: str, order: str) -> DataFrame:
     """Of items of a seed with the same stripped text and label the first; blank texts are dropped."""
-    stripped = F.trim(F.coalesce(text, F.lit("")))
-    rows = df.withColumn("_t", stripped).filter(F.col("_t") != "")
+    rows = df.withColumn("_t", stripped(F.coalesce(text, F.lit("")))).filter(F.col("_t") != "")
     first = rows.groupBy(seed, "_t", label).agg(F.min(order).alias(order))
     return rows.join(first.withColumnRenamed(label, "_l"), [seed, "_t", order]).filter(F.col(label).eqNullSafe(F.col("_l"))).drop("_t", "_l")
 

@@ -92,7 +92,7 @@ def rank_in_groups(df: DataFrame, keys: list[str], quality: str, tie: str, split
     under = lambda cuts, x: F.when(F.col(cuts).isNull(), 0).otherwise(F.size(F.filter(cuts, lambda c: c < F.col(x))))
     at_cut = F.coalesce(F.array_contains("_qs", F.col("_q")), F.lit(False))
     # a quality that is itself a cut may be shared by many rows: it gets parts of its own, cut by the tie
-    rows = rows.withColumn("_a", under("_qs", "_q") * 2 + F.when(at_cut, 0).otherwise(1)).withColumn("_b", F.when(at_cut, under("_ls", "_lead")).otherwise(0))
+    rows = rows.withColumn("_a", under("_qs", "_q") * 2 + F.when(at_cut, 1).otherwise(0)).withColumn("_b", F.when(at_cut, under("_ls", "_lead")).otherwise(0))
     parts = rows.groupBy(*keys, "_a", "_b").agg(F.count(F.lit(1)).alias("_m"))
     before = Window.partitionBy(*keys).orderBy("_a", "_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.withColumn("_start", F.coalesce(F.sum("_m").over(before), F.lit(0))).drop("_m")

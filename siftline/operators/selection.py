@@ -63,7 +63,9 @@ def greedy_take(df: DataFrame, caps: DataFrame, cell: list[str], label: str, sou
     the gold seeds, not by the candidates.
     """
     rows = df.withColumn("_key", F.concat_ws("\u0001", F.coalesce(label, F.lit("None")), F.array_join(F.array_sort(F.array_distinct(F.coalesce(sources, F.array().cast("array<string>")))), "\u0002")))
-    live = rank_in_groups(rows, [*cell, "_key"], score, tie).filter(F.col("rank") <= cap).drop("rank")
+    # rows without a source meet no source cap; of them the budget is the bound
+    most = F.when(F.size(F.coalesce(sources, F.array().cast("array<string>"))) > 0, cap).otherwise(budget)
+    live = rank_in_groups(rows, [*cell, "_key"], score, tie).filter(F.col("rank") <= most).drop("rank")
     quota = caps.select(*cell, F.col(label).alias("_label"), F.col("cap").alias("_cap"))
     live = live.withColumn("_label", F.coalesce(label, F.lit("None"))).join(quota, [*cell, "_label"], "left").select(*cell, tie, "_label", F.coalesce("_cap", F.lit(budget)).alias("_cap"), F.col(sources).alias("_sources"), F.col(score).alias("_score"))
     kinds = {f.name: f.dataType.simpleString() for f in live.schema.fields}

@@ -19,7 +19,7 @@ def stable_hash_ids(spark, d):
     return gold(spark, d).select("id", tx.stable_hash(F.coalesce("text", F.lit(""))).alias("hash"))
 
 
-@query("SELECT doc_id, md5(CASE WHEN length(s) <= 600 THEN s ELSE rtrim(substr(s, 1, 382), ' ') || chr(10) || '[...]' || chr(10) || ltrim(right(s, 206), ' ') END) AS md5, length(s) > 600 AS compacted FROM (SELECT doc_id, trim(text, ' ') AS s FROM documents WHERE text IS NOT NULL)".replace("382", str(int((600 - len("\n[...]\n")) * 0.65))).replace("206", str(600 - len("\n[...]\n") - int((600 - len("\n[...]\n")) * 0.65))))
+@query(r"SELECT doc_id, md5(CASE WHEN length(s) <= 600 THEN s ELSE regexp_replace(substr(s, 1, 382), '[\s\p{Z}]+$', '') || chr(10) || '[...]' || chr(10) || regexp_replace(right(s, 206), '^[\s\p{Z}]+', '') END) AS md5, length(s) > 600 AS compacted FROM (SELECT doc_id, regexp_replace(text, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS s FROM documents WHERE text IS NOT NULL)".replace("382", str(int((600 - len("\n[...]\n")) * 0.65))).replace("206", str(600 - len("\n[...]\n") - int((600 - len("\n[...]\n")) * 0.65))))
 def text_compaction(spark, d):
     t = table(spark, d, "documents").filter(F.col("text").isNotNull())
     return t.select("doc_id", F.md5(tx.compact_text(F.col("text"), 600).cast("binary")).alias("md5"), tx.was_compacted(F.col("text"), 600).alias("compacted"))
@@ -41,11 +41,11 @@ def training_order(spark, d):
     return gold(spark, d).select("id", F.sha2(F.concat_ws("\t", *parts).cast("binary"), 256).alias("key"))
 
 
-@query("SELECT prompt_hash, candidate_id, trim(text, ' ') AS text, label FROM (SELECT DISTINCT prompt_hash, candidate_id, text, label FROM candidates WHERE text IS NOT NULL AND trim(text, ' ') <> '') QUALIFY candidate_id = min(candidate_id) OVER (PARTITION BY prompt_hash, trim(text, ' '), label)")
+@query(r"SELECT prompt_hash, candidate_id, t AS text, label FROM (SELECT DISTINCT prompt_hash, candidate_id, regexp_replace(text, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS t, label FROM candidates WHERE text IS NOT NULL AND prompt_hash IS NOT NULL) WHERE t <> '' QUALIFY candidate_id = min(candidate_id) OVER (PARTITION BY prompt_hash, t, label)")
 def dedup_generated(spark, d):
     """Of a prompt's items with the same stripped text and label, the first."""
     c = table(spark, d, "candidates").select("prompt_hash", "candidate_id", "text", "label").distinct()
-    return gen.first_generated(c.filter(F.col("prompt_hash").isNotNull()), "prompt_hash", "text", "label", "candidate_id").withColumn("text", F.trim("text"))
+    return gen.first_generated(c.filter(F.col("prompt_hash").isNotNull()), "prompt_hash", "text", "label", "candidate_id").withColumn("text", tx.stripped(F.col("text")))
 
 
 @query("SELECT id FROM gold WHERE id IS NOT NULL AND id NOT IN (SELECT unnest(source_seed_ids) FROM candidates WHERE source_seed_ids IS NOT NULL EXCEPT SELECT NULL)")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from siftline.functions.text import stripped
+
 RECORD = "id string, dataset_id string, task string, language string, split string, text string, label string, tokens array<string>, tags array<string>, summary string, metadata map<string,string>"
 CANDIDATE = "candidate_id string, dataset_id string, task string, language string, text string, label string, source_seed_ids array<string>, generator string, generator_confidence double, prompt_hash string, metadata string, counterfactual struct<text: string, label: string, semantic_edit_score: double, method: string, failed: boolean>"
 
@@ -50,7 +52,7 @@ def _tsv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
 def read_news(spark: SparkSession, path: str, dataset: str, language: str, split: str) -> DataFrame:
     """Headline, blank line and body as text; the category as label; the row's place in the id."""
     t = _tsv(spark, path, ["headline", "text", "category", "url"])
-    text = F.trim(F.concat(F.coalesce("headline", F.lit("None")), F.lit("\n\n"), F.coalesce("text", F.lit("None"))))
+    text = stripped(F.concat(F.coalesce("headline", F.lit("None")), F.lit("\n\n"), F.coalesce("text", F.lit("None"))))
     return t.select(_record_id(dataset, language, split).alias("id"), text.alias("text"), F.col("category").alias("label"), "url")
 
 
