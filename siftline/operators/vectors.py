@@ -83,3 +83,50 @@ def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int)
         out = one if out is None else out.unionByName(one)
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cosine"), "key"))
     return out.withColumn("place", place).filter(F.col("place") <= k)
+
+
+#: Reference vectors that are sent to the workers at a time.
+BLOCK_REFERENCE = 20_000
+
+
+def against_reference(df: DataFrame, record: str, vector: str, reference: DataFrame, reference_key: str, reference_vector: str, reference_label: str, k: int) -> DataFrame:
+    """``record, near``: of every row the k most similar reference rows as (cosine, key, label), best first.
+
+    For many rows against a curated reference. The reference goes to the workers in blocks of
+    BLOCK_REFERENCE vectors; rows are read once for each block and never shuffled unless there are several
+    blocks, whose k best are then merged. Null vectors get an empty list.
+    """
+    import numpy as np
+
+    ref = reference.select(F.col(reference_key).cast("string").alias("k"), F.col(reference_vector).alias("v"), F.col(reference_label).cast("string").alias("l")).filter(F.col("k").isNotNull() & F.col("v").isNotNull())
+    blocks = max(1, -(-ref.count() // BLOCK_REFERENCE))
+    kind = df.schema[record].dataType.simpleString()
+    near = pa.struct([("cosine", pa.float64()), ("key", pa.string()), ("label", pa.string())])
+    out = None
+    for b in range(blocks):
+        block = sorted(ref.filter(F.pmod(F.xxhash64("k"), F.lit(blocks)) == b).collect(), key=lambda r: r.k)
+        m = np.array([r.v for r in block], dtype=np.float64)
+        m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) if len(block) else m
+        keys, labels = [r.k for r in block], [r.l for r in block]
+
+        def run(batches: Iterator[pa.RecordBatch], m=m, keys=keys, labels=labels) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                vectors = batch.column(1).to_pylist()
+                lists: list[list[dict]] = [[] for _ in vectors]
+                there = [i for i, v in enumerate(vectors) if v is not None]
+                if there and len(keys):
+                    x = np.array([vectors[i] for i in there], dtype=np.float64)
+                    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+                    c = np.round(x @ m.T, 9)
+                    best = np.argsort(-c, axis=1, kind="stable")[:, :k]  # keys are in order, so ties go by key
+                    for i, row, cs in zip(there, best.tolist(), c):
+                        lists[i] = [{"cosine": float(cs[j]), "key": keys[j], "label": labels[j]} for j in row]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(near))], ["_r", "near"])
+
+        one = df.select(record, vector).mapInArrow(run, f"_r {kind}, near array<struct<cosine: double, key: string, label: string>>")
+        out = one if out is None else out.unionByName(one)
+    if blocks > 1:
+        order = lambda a, b: F.when(a["cosine"] != b["cosine"], F.signum(b["cosine"] - a["cosine"])).when(a["key"] < b["key"], -1).otherwise(1).cast("int")
+        merged = F.array_sort(F.flatten(F.collect_list("near")), order)
+        out = out.groupBy("_r").agg(F.slice(merged, 1, k).alias("near"))
+    return out.withColumnRenamed("_r", record)

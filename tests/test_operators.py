@@ -241,3 +241,31 @@ def test_increments(spark, tmp_path):
         spark.createDataFrame(part, "k string, v int").write.mode("append").parquet(src)
         run_increments(spark.readStream.schema("k string, v int").parquet(src), "k", out, cp, lambda d: d.withColumn("w", F.col("v") * 2)).awaitTermination()
     assert sorted((r.k, r.w) for r in spark.read.parquet(out).collect()) == [("a", 2), ("b", 4), ("c", 6)]
+
+
+def test_audit_and_select(spark, tmp_path):
+    from siftline.__main__ import main
+    from siftline.operators.scoring import POOLS
+    from siftline.operators.staging import written
+    from siftline.plans.audit import audit, select_candidates
+
+    schema = "candidate_id string, run_id bigint, text string, label string, source_seed_ids array<string>, generator_confidence double, metadata string, counterfactual struct<text: string, label: string, semantic_edit_score: double>"
+    long = " ".join(f"w{i}" for i in range(20))
+    rows = [("a", 1, "the farmers met", "x", ["s1"], 0.5, '{"llm_judge": {"quality_score": "bad"}}', ("the farmers left", "y", 0.9)), ("b", 1, long, "y", None, None, None, None), ("c", 1, None, None, [], 0.1, "{", None), ("a", 1, "the farmers met", "x", ["s1"], 0.7, None, None)]
+    c = spark.createDataFrame(rows, schema)
+    g = spark.createDataFrame([("g1", "the farmers met today", "x"), ("g2", "rain fell all day", "y"), ("g3", None, None)], "id string, text string, label string")
+    h = spark.createDataFrame([(1, long), (2, None)], "item_id bigint, text string")
+    cfg = AuditConfig(embedding_dim=64)
+    got = {r.candidate_id: r for r in audit(c, g, h, cfg).collect()}
+    assert set(got) == {"a", "b", "c"} and got["b"].l == 1.0 and "leakage" in got["b"].reject_reasons and got["c"].l == 0.0
+    assert all(0 <= getattr(r, x) <= 1 for r in got.values() for x in "ulhdc")
+    none = audit(c, g.filter("false"), h.filter("false"), cfg).filter("candidate_id = 'a'").first()
+    assert none.d == 1.0 and none.l == 0.0 and none.score_parts.utility.teacher == 0.5
+    a = written(audit(c, g, h, cfg))
+    assert len(POOLS) == 14
+    for b in ("audited_relaxed", "equal_budget", "naive"):
+        assert select_candidates(a, g, b, 2, cfg).count() <= 2
+    main(["run", "quota_caps", "/root/testdata/sf0.001", str(tmp_path / "out")])
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 10
+    main(["select", "/root/testdata/sf0.001", str(tmp_path / "sel"), "--baseline", "equal_budget", "--budget", "5"])
+    assert spark.read.parquet(str(tmp_path / "sel")).groupBy("run_id").count().agg(F.max("count")).first()[0] <= 5
