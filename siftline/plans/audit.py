@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from siftline.functions.embedding import embedder
 from siftline.functions.text import WORD, stripped
-from siftline.functions.vectors import cosine
 from siftline.operators import scoring as sc
 from siftline.operators import selection as sel
 from siftline.operators.config import AuditConfig
@@ -39,18 +38,18 @@ def audit(candidates: DataFrame, gold: DataFrame, heldout: DataFrame, cfg: Audit
     risk = against_reference(base, "candidate_id", "_v", held, "item_id", "_v", "label", 1).withColumnRenamed("near", "_held")
     leak = leakage(base, "candidate_id", "text", heldout, "item_id", "text", cfg.ngram_n, cfg.shingle_n).withColumnRenamed("l", "_l")
 
-    # as many centroids as classes
-    rows = centroids(g, "label", "_v").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("position", "value"))).alias("c")).collect()
-    known = F.array(*[F.struct(F.lit(r.label).alias("label"), F.array(*[F.lit(float(x.value)) for x in r.c]).alias("c")) for r in rows]) if rows else None
+    # as many centroids as classes; they are the reference of the teacher
+    centre = centroids(g, "label", "_v").groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "value"))), lambda p: p["value"]).alias("_v"))
+    labels = [r.label for r in g.select("label").na.drop().distinct().orderBy("label").collect()]
+    own = against_reference(base, "candidate_id", "_v", centre, "label", "_v", "label", max(1, len(labels))).withColumnRenamed("near", "_own")
+    edit = against_reference(base, "candidate_id", "_cv", centre, "label", "_v", "label", max(1, len(labels))).withColumnRenamed("near", "_edit")
 
-    def teacher(vector: str, label: Column) -> Column:
-        if known is None:
-            return F.lit(0.5)
-        cos = F.transform(known, lambda k: F.struct(k["label"].alias("label"), F.exp(cosine(F.col(vector), k["c"]) / 0.25).alias("e")))
-        mine = F.aggregate(cos, F.lit(0.0), lambda s, k: s + F.when(k["label"] == label, k["e"]).otherwise(0.0))
-        return F.when(label.isNull(), 0.5).otherwise(mine / F.aggregate(cos, F.lit(0.0), lambda s, k: s + k["e"]))
+    def teacher(near: str, label: Column) -> Column:
+        e = F.transform(near, lambda n: F.struct(n["label"].alias("label"), F.exp((n["cosine"] - 1) / 0.25).alias("e")))
+        mine = F.aggregate(e, F.lit(0.0), lambda s, n: s + F.when(n["label"] == label, n["e"]).otherwise(0.0))
+        return F.when(label.isNull() | (F.size(near) == 0), 0.5).otherwise(mine / F.aggregate(e, F.lit(0.0), lambda s, n: s + n["e"]))
 
-    x = sc.with_judgement(base).join(near, "candidate_id").join(risk, "candidate_id").join(leak, "candidate_id")
+    x = sc.with_judgement(base).join(near, "candidate_id").join(risk, "candidate_id").join(own, "candidate_id").join(edit, "candidate_id").join(leak, "candidate_id")
     first = lambda a: F.get(F.col(a), F.lit(0))["cosine"]
     hits = F.size(F.filter("_near", lambda n: n["label"] == F.col("label")))
     vote = F.when(F.col("label").isNull() | (F.size("_near") == 0), 0.5).otherwise(hits / F.size("_near"))
@@ -59,7 +58,7 @@ def audit(candidates: DataFrame, gold: DataFrame, heldout: DataFrame, cfg: Audit
     low = F.lower(F.coalesce("text", F.lit("")))
     length = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD))
     x = x.withColumns({
-        "_teacher": teacher("_v", F.col("label")), "_vote": vote, "_risk": beyond, "_length": length,
+        "_teacher": teacher("_own", F.col("label")), "_vote": vote, "_risk": beyond, "_length": length,
         "_hit": F.exists(F.array(*[F.lit(y.lower()) for y in labels]).cast("array<string>"), lambda y: F.contains(low, y)) if labels else F.lit(False),
         "_template": F.contains(low, F.lit("[variant")) | F.contains(low, F.lit("counterfactual label cue")),
         "_names": F.coalesce(F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"(?<![\p{L}\p{N}_])\p{Lu}[\p{L}\p{N}_]*")) / F.nullif(length, F.lit(0)), F.lit(0.0)),
@@ -67,7 +66,7 @@ def audit(candidates: DataFrame, gold: DataFrame, heldout: DataFrame, cfg: Audit
     })
     pool = x.groupBy(cell).agg(F.avg("_length").alias("_m"), F.greatest(F.stddev_pop("_length"), F.lit(1.0)).alias("_sd"))
     x = x.join(pool, cell)
-    p = F.when(F.col("counterfactual").isNull(), 0.5).otherwise(teacher("_cv", F.col("counterfactual.label")))
+    p = F.when(F.col("counterfactual").isNull(), 0.5).otherwise(teacher("_edit", F.col("counterfactual.label")))
     judged = F.col("judge_counterfactual_validity")
     z = F.least(F.lit(1.0), F.abs(F.col("_length") - F.col("_m")) / F.col("_sd") / 3)
     h = 0.35 * F.col("_hit").cast("int") + 0.30 * F.col("_template").cast("int") + 0.20 * z + 0.10 * F.col("_names") + 0.05 * F.least(F.lit(1.0), 10 * F.col("_punctuation"))
