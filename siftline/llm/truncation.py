@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -113,16 +114,22 @@ def _endings(df: DataFrame, record: str, text: str, source: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = Endings()
-        counts: dict[str, list[int]] = {}
+        counts: Counter[tuple[str, str, str, int]] = Counter()
+        places: list[tuple[str, str, str, int]] = []
         schema = pa.schema([("record", pa.string()), ("source", pa.string()), ("chars", pa.int32()), ("bytes", pa.int32()), ("kind", pa.int32()), ("keys", pa.list_(pa.string())), ("key", pa.string()), ("ends", pa.int64()), ("goes_on", pa.int64())])
 
         def flush() -> pa.RecordBatch:
-            n = len(counts)
-            none = lambda k: pa.nulls(n, schema.field(k).type)
-            v = list(counts.values())
-            out = pa.RecordBatch.from_arrays([none(i) for i in range(6)] + [pa.array(list(counts), pa.string()), pa.array([x[0] for x in v], pa.int64()), pa.array([x[1] for x in v], pa.int64())], schema=schema)
+            by_key: dict[str, list[int]] = {}
+            for (a, b, w, follows), n in counts.items():
+                for k in (f"3\t{a}\t{b}\t{w}", f"2\t{b}\t{w}", f"1\t{w}", f"0\t{b}"):
+                    c = by_key.get(k)
+                    if c is None:
+                        c = by_key[k] = [0, 0]
+                    c[0 if follows else 1] += n
             counts.clear()
-            return out
+            none = lambda k: pa.nulls(len(by_key), schema.field(k).type)
+            v = list(by_key.values())
+            return pa.RecordBatch.from_arrays([none(i) for i in range(6)] + [pa.array(list(by_key), pa.string()), pa.array([x[0] for x in v], pa.int64()), pa.array([x[1] for x in v], pa.int64())], schema=schema)
 
         for batch in batches:
             ids, texts, sources = (batch.column(i).to_pylist() for i in range(3))
@@ -144,12 +151,10 @@ def _endings(df: DataFrame, record: str, text: str, source: str) -> DataFrame:
                 a = b = "^"
                 for w, follows in words[:-1]:  # what follows the last word is what is asked
                     if follows != 1:
-                        for k in (f"3\t{a}\t{b}\t{w}", f"2\t{b}\t{w}", f"1\t{w}", f"0\t{b}"):
-                            c = counts.get(k)
-                            if c is None:
-                                c = counts[k] = [0, 0]
-                            c[0 if follows else 1] += 1
+                        places.append((a, b, w, follows))
                     a, b = ("^", "^") if follows else (b, w)
+            counts.update(places)
+            places.clear()
             n = len(ids)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.string()), pa.array(sources, pa.string()), pa.array(chars, pa.int32()), pa.array(sizes, pa.int32()), pa.array(kinds, pa.int32()), pa.array(keys, pa.list_(pa.string())), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], schema=schema
