@@ -54,7 +54,6 @@ def audit(candidates: DataFrame, gold: DataFrame, heldout: DataFrame, cfg: Audit
     hits = F.size(F.filter("_near", lambda n: n["label"] == F.col("label")))
     vote = F.when(F.col("label").isNull() | (F.size("_near") == 0), 0.5).otherwise(hits / F.size("_near"))
     beyond = F.greatest(F.lit(0.0), (F.coalesce(first("_held"), F.lit(0.0)) - cfg.embedding_threshold) / max(1 - cfg.embedding_threshold, 1e-6))
-    labels = [r.label for r in rows]
     low = F.lower(F.coalesce("text", F.lit("")))
     length = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD))
     x = x.withColumns({
