@@ -136,9 +136,11 @@ def draw_samples(records: DataFrame, plan: DataFrame, pool: list[str], category:
         up = pivotal(np.clip(part["draw"].to_numpy() - base, 0, 1), number(*part[pool].iloc[0]))
         return part.assign(take=(base + up).astype("int64"))[[*pool, category, "take", "available"]]
 
+    # small rows, much work for each group: spread over all tasks, which adaptive execution would not
+    tasks = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kinds = {f.name: f.dataType.simpleString() for f in plan.schema.fields}
     keys = ", ".join(f"{k} {kinds[k]}" for k in [*pool, category])
-    takes = plan.select(*pool, category, "draw", "available").groupBy(*pool).applyInPandas(whole, f"{keys}, take bigint, available bigint")
+    takes = plan.select(*pool, category, "draw", "available").repartition(tasks, *pool).groupBy(*pool).applyInPandas(whole, f"{keys}, take bigint, available bigint")
     takes = takes.withColumn("_parts", F.ceil(F.col("available") / PART_ROWS).cast("int")).filter("take > 0")
     rows = records.select(*pool, category, record).join(takes, [*pool, category]).withColumn("_part", F.pmod(F.xxhash64(record, F.lit(seed)), F.col("_parts")))
     sizes = rows.groupBy(*pool, category, "_part").agg(F.count(F.lit(1)).alias("_n"), F.max("take").alias("take"), F.max("available").alias("available"))
@@ -150,7 +152,7 @@ def draw_samples(records: DataFrame, plan: DataFrame, pool: list[str], category:
         up = pivotal(np.clip(x - base, 0, 1), number(*part[[*pool, category]].iloc[0], "parts"))
         return part.assign(share=(base + up) / part["_n"])[[*pool, category, "_part", "share"]]
 
-    shares = sizes.groupBy(*pool, category).applyInPandas(spread, f"{keys}, _part bigint, share double")
+    shares = sizes.repartition(tasks, *pool, category).groupBy(*pool, category).applyInPandas(spread, f"{keys}, _part bigint, share double")
 
     def draw(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(record)
@@ -159,7 +161,7 @@ def draw_samples(records: DataFrame, plan: DataFrame, pool: list[str], category:
         return part[pivotal(part["share"].to_numpy(), number(*part[[*pool, category, "_part"]].iloc[0], "draw"))][[*pool, category, record]]
 
     kind = next(f.dataType.simpleString() for f in records.schema.fields if f.name == record)
-    return rows.join(shares, [*pool, category, "_part"]).select(*pool, category, "_part", record, "share").groupBy(*pool, category, "_part").applyInPandas(draw, f"{keys}, {record} {kind}")
+    return rows.join(shares, [*pool, category, "_part"]).select(*pool, category, "_part", record, "share").repartition(tasks, *pool, category, "_part").groupBy(*pool, category, "_part").applyInPandas(draw, f"{keys}, {record} {kind}")
 
 
 _POOL = ["pool_table", "pool_id"]
