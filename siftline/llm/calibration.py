@@ -152,7 +152,10 @@ def draw_samples(records: DataFrame, plan: DataFrame, pool: list[str], category:
         up = pivotal(np.clip(x - base, 0, 1), number(*part[[*pool, category]].iloc[0], "parts"))
         return part.assign(share=(base + up) / part["_n"])[[*pool, category, "_part", "share"]]
 
-    shares = sizes.repartition(tasks, *pool, category).groupBy(*pool, category).applyInPandas(spread, f"{keys}, _part bigint, share double")
+    # most categories are one part, whose share needs no draw
+    one = sizes.filter(F.col("_n") == F.col("available")).select(*pool, category, "_part", (F.col("take") / F.col("_n")).alias("share"))
+    more = sizes.filter(F.col("_n") != F.col("available")).repartition(tasks, *pool, category)
+    shares = one.unionByName(more.groupBy(*pool, category).applyInPandas(spread, f"{keys}, _part bigint, share double"))
 
     def draw(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(record)
