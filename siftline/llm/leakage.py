@@ -11,10 +11,14 @@ from siftline.llm.tables import table
 
 #: Successive words of an item that leak it unchanged; shorter items must be whole.
 EXACT_WORDS = 12
-#: Successive words that leak it with replaced ones among them, and how many of those.
-NEAR_WORDS, NEAR_REPLACED = 20, 2
-#: Words of a shingle; two replaced words of 20 leave at least 6 of the 16 shingles.
+#: Successive words that leak it with replaced ones among them, how many of those, and of how many words one may be replaced in longer ones.
+NEAR_WORDS, NEAR_REPLACED, NEAR_ONE_IN = 20, 2, 7
+#: Words of a shingle; three replaced words of 21 leave at least 2 of the 17 shingles.
 SHINGLE = 5
+#: Lengths and replaced words of the shortest near leaks; any longer one holds one of them, as one half of a window twice as long has no larger share of replaced words.
+NEAR = [(NEAR_WORDS, NEAR_REPLACED)] + [(k * NEAR_ONE_IN, k) for k in range(NEAR_REPLACED + 1, (2 * NEAR_WORDS - 1) // NEAR_ONE_IN + 1)]
+#: Words of alignments that are compared at once.
+VERIFIED_WORDS = 1 << 20
 #: Items in the index of one pass.
 BLOCK_ITEMS = 20_000
 
@@ -73,9 +77,11 @@ class Index:
         self.leak = list(by_text.values())  # items with the same words leak together
         self.vocabulary: dict[str, int] = {}
         self.items = [np.array([self.vocabulary.setdefault(x, len(self.vocabulary)) for x in w]) for w in by_text]
+        self.size = np.array([len(w) for w in self.items], np.int64)
+        self.begin, self.flat = self.size.cumsum() - self.size, np.concatenate([*self.items, np.empty(0, np.int64)])
         self.base = len(self.vocabulary) + 1
         #: Of each item the shingles any leak shares: one window's of an exact leak, or those that replaced words leave.
-        self.least = np.array([max(1, min(min(EXACT_WORDS, len(w)) - SHINGLE + 1, NEAR_WORDS - SHINGLE + 1 - SHINGLE * NEAR_REPLACED)) for w in self.items] or [0])
+        self.least = np.array([min([max(1, must) for _, must in self.windows(len(w))]) for w in self.items] or [0])
         self.short = {}  # items of fewer words than a shingle, by length and words
         code, item, place = [], [], []
         for k, w in enumerate(self.items):
@@ -97,14 +103,19 @@ class Index:
         for w in self.items:
             n = max(0, len(w) - SHINGLE + 1)
             r = rarity[begin : begin + n]
-            exact, near = min(EXACT_WORDS, len(w)) - SHINGLE + 1, NEAR_WORDS - SHINGLE + 1
-            for wide, must in ((exact, exact), (near, near - SHINGLE * NEAR_REPLACED)):
-                for i in range(max(0, n - wide + 1)) if wide > 0 else ():
-                    first = np.argsort(r[i : i + wide], kind="stable")[: wide - must + 1]
-                    needed[begin + i + first] = True
+            for wide, must in self.windows(len(w)) if n else ():
+                rows = np.lib.stride_tricks.sliding_window_view(r, wide)
+                first = np.argsort(rows, axis=1, kind="stable")[:, : wide - must + 1]
+                needed[begin + np.arange(len(rows))[:, None] + first] = True
             begin += n
         self.prefix = needed[order]
 
+    @staticmethod
+    def windows(n: int) -> list[tuple[int, int]]:
+        """Shingles in each kind of window of an item of n words, and how many of them a leak keeps."""
+        exact = min(EXACT_WORDS, n) - SHINGLE + 1
+        return [(exact, exact)] + [(of - SHINGLE + 1, of - SHINGLE + 1 - SHINGLE * k) for of, k in NEAR if of <= n]
+
     def shingles(self, w, of: int):
         """A number for every ``of`` successive words, -1 where one of them is in no item."""
         import numpy as np
@@ -151,21 +162,24 @@ class Index:
             keys, inverse, count = np.unique(self.item[post] * (1 << 40) + shift + (1 << 30), return_inverse=True, return_counts=True)
             has = np.zeros(len(keys), bool)
             has[inverse[self.prefix[post]]] = True
-            for k in keys[has & (count >= self.least[keys >> 40])].tolist():
-                i, begin = k >> 40, (k & ((1 << 40) - 1)) - (1 << 30)
-                item = self.items[i]
-                # length and place bounds: what of the item can lie in the documents
-                lo, hi = max(0, -begin), min(len(item), len(w) - begin)
-                exact = min(EXACT_WORDS, len(item))
-                if hi - lo < exact:
-                    continue
-                part = w[begin + lo : begin + hi]
-                run = np.concatenate([[0], np.cumsum((item[lo:hi] == part) - 1000 * (part == -2))])
-                whole = run[exact:] - run[:-exact]
-                near = run[NEAR_WORDS:] - run[:-NEAR_WORDS]
-                for hits, least in ((whole, exact), (near, NEAR_WORDS - NEAR_REPLACED)):
-                    for x in np.nonzero(hits >= least)[0][:1].tolist():
-                        found.add((of_doc(begin + lo + x), i))
+            keys = keys[has & (count >= self.least[keys >> 40])]
+            i, begin = keys >> 40, (keys & ((1 << 40) - 1)) - (1 << 30)
+            # length and place bounds: what of the item can lie in the documents
+            lo, hi = np.maximum(0, -begin), np.minimum(self.size[i], len(w) - begin)
+            exact = np.minimum(EXACT_WORDS, self.size[i])
+            parts = np.cumsum(hi - lo) // VERIFIED_WORDS
+            for rows in np.split(np.arange(len(keys)), np.nonzero(np.diff(parts))[0] + 1) if len(keys) else ():
+                n = (hi - lo)[rows]
+                row = np.repeat(rows, n)
+                place = np.arange(len(row)) - np.repeat(n.cumsum() - n, n) + lo[row]
+                part = w[begin[row] + place]
+                run = np.concatenate([[0], np.cumsum((self.flat[self.begin[i[row]] + place] == part) - 1000 * (part == -2))])
+                left = hi[row] - place
+                for of, k in [(exact[row], 0)] + [(np.full(len(row), of), k) for of, k in NEAR]:
+                    x = np.nonzero(left >= of)[0]
+                    x = x[run[x + of[x]] - run[x] >= of[x] - k]
+                    docs = np.searchsorted(starts, (begin[row] + place)[x], side="right") - 1
+                    found.update(zip(docs.tolist(), i[row[x]].tolist()))
         return [(d, x) for d, i in sorted(found) for x in self.leak[i]]
 
 
@@ -175,7 +189,7 @@ def leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item: str
     A set join with a prefix filter: items are cut into shingles, ordered by how rare they are among items; of
     each window of an item only the rarest that any leak must keep are looked up in a document.
     An alignment found so is compared word by word over windows of the item: EXACT_WORDS in a row,
-    or NEAR_WORDS with up to NEAR_REPLACED others. Documents are read whole, once for every
+    or at least NEAR_WORDS with up to one in NEAR_ONE_IN replaced. Documents are read whole, once for every
     ``block_items`` items, and never shuffled; only one block of items goes to the workers at a time.
     Null, empty and wordless texts on either side leak nothing; null keys are kept as they are.
     """

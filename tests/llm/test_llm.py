@@ -222,6 +222,29 @@ def test_leaks(spark):
     assert leakage.leaks(dd.filter("false"), "k", "t", ii, "item", "t").count() == 0 == leakage.leaks(dd, "k", "t", ii.filter("false"), "item", "t").count()
 
 
+def test_long_near_leaks(spark):
+    r = random.Random(21)
+    items = [[f"i{i}x{j}" for j in range(60)] for i in range(30)]
+    docs, want = [], set()
+    for d in range(400):
+        i, n = r.randrange(30), r.randint(20, 50)
+        a = r.randrange(60 - n + 1)
+        part = items[i][a : a + n]
+        for x in r.sample(range(n), r.randint(2, n // 6)):
+            part[x] = "other"
+        same = [x != "other" for x in part]
+        docs.append(["before"] * r.randint(0, 9) + part + ["after"])
+        ends = [(x, y) for x in range(n) for y in range(x + 12, n + 1)]
+        if any(all(same[x:y]) or (y - x >= 20 and 7 * same[x:y].count(False) <= y - x) for x, y in ends):
+            want.add((d, i))
+    for at, leak in (((6, 12, 18), True), ((4, 8, 12, 16, 20), False)):
+        docs.append([("other" if x in at else w) for x, w in enumerate(items[0][:24])])
+        want |= {(len(docs) - 1, 0)} if leak else set()
+    dd = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "k bigint, t string")
+    ii = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item bigint, t string")
+    assert {(x.k, x.item) for x in leakage.leaks(dd, "k", "t", ii, "item", "t").collect()} == want and 100 < len(want) < 400
+
+
 def test_leak_words():
     w = leakage.Words()
     assert w("Ó ti sú <i>mi</i> ɗan sa'o'i co­op &amp; x—y") == ["o", "ti", "su", "mi", "dan", "saoi", "coop", "x", "y"]
