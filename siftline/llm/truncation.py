@@ -6,7 +6,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -167,20 +167,27 @@ def _endings(df: DataFrame, record: str, text: str, source: str) -> DataFrame:
     return df.select(F.col(record).cast("string"), text, F.col(source).cast("string")).mapInArrow(run, _SCHEMA)
 
 
-def length_hazards(open_texts: DataFrame, source: str, length: str) -> DataFrame:
+def length_hazards(texts: DataFrame, stops: Column, source: str, length: str) -> DataFrame:
     """Lengths of a source at which more texts stop than at the lengths around them.
 
-    The hazard of a length is the texts that stop there by the texts that reach it. It is tested
-    against the pooled hazard of the NEIGHBOURS lengths on either side by a normal bound of the
+    The hazard of a length is the texts that stop there (those with ``stops``) by all texts of the
+    source that reach it. It is tested against the pooled hazard of the NEIGHBOURS lengths on
+    either side, their stops by the sum of the texts that reach each of them, by a normal bound of the
     Poisson tail; the lengths of a source are accepted up to the largest rank whose p-value is
     below its share of FALSE_DISCOVERIES. Returns ``source, length``. Windows run over the
     distinct lengths of a source, never over its texts.
     """
-    hist = open_texts.groupBy(source, length).agg(F.count(F.lit(1)).alias("n"))
-    by = Window.partitionBy(source).orderBy(F.col(length))
-    reach = hist.withColumn("reach", F.sum("n").over(by.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
+    hist = texts.groupBy(source, length).agg(F.count(F.lit(1)).alias("every"), F.count_if(stops).alias("n"))
+    every = Window.partitionBy(source)
+    by, at = every.orderBy(F.col(length)), F.col(length)
     near = by.rangeBetween(-NEIGHBOURS, NEIGHBOURS)
-    pooled = reach.withColumn("others", F.sum("n").over(near) - F.col("n")).withColumn("at_risk", F.col("reach") * 2 * NEIGHBOURS)
+    reach = hist.withColumn("reach", F.sum("every").over(by.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
+    # the texts that reach each length of the window, summed: one that stops within it reaches the lengths up to its own, one behind it all
+    inside, behind = F.sum("every").over(near), F.coalesce(F.sum("every").over(by.rangeBetween(NEIGHBOURS + 1, Window.unboundedFollowing)), F.lit(0))
+    reached = F.sum(F.col("every") * at).over(near) - (at - NEIGHBOURS - 1) * inside + (2 * NEIGHBOURS + 1) * behind
+    below = F.greatest(F.lit(0), NEIGHBOURS + 1 - at) * F.sum("every").over(every)  # no text stops at a length under 1
+    pooled = reach.withColumn("others", F.sum("n").over(near) - F.col("n")).withColumn("at_risk", F.greatest(reached - below - F.col("reach"), F.lit(1)))
+    pooled = pooled.filter(F.col("n") > 0)
     expected = F.greatest((F.col("others") + 1) / F.col("at_risk") * F.col("reach"), F.lit(0.05))
     # Chernoff's bound of the Poisson tail: P(N >= n) <= exp(n - e - n ln(n / e)) for n > e
     logp = F.when(F.col("n") > expected, F.col("n") - expected - F.col("n") * F.log(F.col("n") / expected)).otherwise(F.lit(0.0))
@@ -211,7 +218,7 @@ def truncated(df: DataFrame, record: str, text: str, source: str) -> DataFrame:
     share = seen.groupBy("record").agg(F.min_by((F.col("ends") + 0.0) / (F.col("ends") + F.col("goes_on")), "level").alias("share"), F.min("level").alias("level"))
     at = None
     for unit in ("chars", "bytes"):
-        limits = length_hazards(open_.filter(F.col("kind") == OPEN), "source", unit).select("source", unit, F.lit(True).alias(f"at_{unit}"))
+        limits = length_hazards(texts, F.col("kind") == OPEN, "source", unit).select("source", unit, F.lit(True).alias(f"at_{unit}"))
         at = (open_ if at is None else at).join(limits, ["source", unit], "left")
     at_limit = (F.col("kind") == OPEN) & (F.coalesce("at_chars", F.lit(False)) | F.coalesce("at_bytes", F.lit(False)))
     judged = at.join(share, "record", "left").withColumn("limit", at_limit)

@@ -282,6 +282,23 @@ def test_truncated(spark):
     assert truncation.truncated(spark.createDataFrame([], "id string, g string, t string"), "id", "t", "g").count() == 0
 
 
+def test_length_hazards(spark):
+    r = random.Random(12)
+    stops = [("a", 280, True)] * 500 + [("a", 285, True)] * 8 + [("a", 400, True)] * 2
+    stops += [("b", r.randint(1, 60), r.random() < 0.5) for _ in range(300)] + [("b", 9, True)] * 90 + [("c", 1, True)] * 4
+    got = truncation.length_hazards(spark.createDataFrame(stops, "s string, k int, open boolean"), F.col("open"), "s", "k").collect()
+    assert {(x.s, x.k) for x in got} == {("a", 280), ("a", 285), ("b", 9)}
+    tested = {}
+    for s, k, o in stops:
+        if o:
+            reach = lambda x, s=s: sum(a == s and b >= x for a, b, _ in stops)
+            around = [x for x in range(max(1, k - truncation.NEIGHBOURS), k + truncation.NEIGHBOURS + 1) if x != k]
+            n, others = (sum(c and a == s and b in at for a, b, c in stops) for at in ([k], around))
+            e = max(0.05, (others + 1) / max(1, sum(reach(x) for x in around)) * reach(k))
+            tested[s, k] = min(1.0, np.exp(n - e - n * np.log(n / e))) if n > e else 1.0
+    assert all(x.p == pytest.approx(tested[x.s, x.k], rel=1e-6) for x in got)
+
+
 def test_languages_held_out(spark):
     samples = languages.trusted_texts(table(spark, DATA, "lang_samples").filter("sample_id % 4 <> 0"), "language", "text")
     held = table(spark, DATA, "lang_samples").filter("sample_id % 4 = 0")
