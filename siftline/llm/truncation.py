@@ -174,7 +174,8 @@ def length_hazards(texts: DataFrame, stops: Column, source: str, length: str) ->
     source that reach it. It is tested against the pooled hazard of the NEIGHBOURS lengths on
     either side, their stops by the sum of the texts that reach each of them, by a normal bound of the
     Poisson tail; the lengths of a source are accepted up to the largest rank whose p-value is
-    below its share of FALSE_DISCOVERIES. Returns ``source, length``. Windows run over the
+    below its share of FALSE_DISCOVERIES. Returns ``source, length``; texts of a null source are one
+    source. Windows run over the
     distinct lengths of a source, never over its texts.
     """
     hist = texts.groupBy(source, length).agg(F.count(F.lit(1)).alias("every"), F.count_if(stops).alias("n"))
@@ -194,8 +195,9 @@ def length_hazards(texts: DataFrame, stops: Column, source: str, length: str) ->
     tested = pooled.withColumn("p", F.exp(logp))
     rank = Window.partitionBy(source).orderBy("p")
     ranked = tested.withColumn("_i", F.row_number().over(rank)).withColumn("_m", F.count(F.lit(1)).over(Window.partitionBy(source)))
-    limit = ranked.filter(F.col("p") <= FALSE_DISCOVERIES * F.col("_i") / F.col("_m")).groupBy(source).agg(F.max("p").alias("_p"))
-    return ranked.join(limit, source).filter((F.col("p") <= F.col("_p")) & (F.col("n") >= 3)).select(source, length, "n", "reach", "p")
+    # a window and no join, so that a null source is one like any other
+    limit = F.max(F.when(F.col("p") <= FALSE_DISCOVERIES * F.col("_i") / F.col("_m"), F.col("p"))).over(every)
+    return ranked.withColumn("_p", limit).filter((F.col("p") <= F.col("_p")) & (F.col("n") >= 3)).select(source, length, "n", "reach", "p")
 
 
 def truncated(df: DataFrame, record: str, text: str, source: str) -> DataFrame:
@@ -206,7 +208,7 @@ def truncated(df: DataFrame, record: str, text: str, source: str) -> DataFrame:
     replacement character). Others, also those before trailing dots, end in a word: how often
     the corpus ends a sentence at that word after the two words before decides, backing off to
     shorter contexts; a word that the corpus never has elsewhere is cut. At lengths with a
-    significant hazard for the source a likelier end is asked for. Rows repeated under one record count once; a null record gives no row.
+    significant hazard for the source a likelier end is asked for; texts of a null source are one source. Rows repeated under one record count once; a null record gives no row.
     """
     rows = written(_endings(df.filter(F.col(record).isNotNull()), record, text, source), "endings")
     texts = rows.filter(F.col("key").isNull()).drop("key", "ends", "goes_on").dropDuplicates(["record"])
@@ -218,8 +220,9 @@ def truncated(df: DataFrame, record: str, text: str, source: str) -> DataFrame:
     share = seen.groupBy("record").agg(F.min_by((F.col("ends") + 0.0) / (F.col("ends") + F.col("goes_on")), "level").alias("share"), F.min("level").alias("level"))
     at = None
     for unit in ("chars", "bytes"):
-        limits = length_hazards(texts, F.col("kind") == OPEN, "source", unit).select("source", unit, F.lit(True).alias(f"at_{unit}"))
-        at = (open_ if at is None else at).join(limits, ["source", unit], "left")
+        limits = length_hazards(texts, F.col("kind") == OPEN, "source", unit).select(F.col("source").alias("_source"), F.col(unit).alias("_length"), F.lit(True).alias(f"at_{unit}"))
+        at = open_ if at is None else at
+        at = at.join(limits, at["source"].eqNullSafe(F.col("_source")) & (F.col(unit) == F.col("_length")), "left").drop("_source", "_length")
     at_limit = (F.col("kind") == OPEN) & (F.coalesce("at_chars", F.lit(False)) | F.coalesce("at_bytes", F.lit(False)))
     judged = at.join(share, "record", "left").withColumn("limit", at_limit)
     name = F.element_at("keys", 3).isin("1\tN", "1\t0")

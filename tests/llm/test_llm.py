@@ -299,6 +299,19 @@ def test_length_hazards(spark):
     assert all(x.p == pytest.approx(tested[x.s, x.k], rel=1e-6) for x in got)
 
 
+def test_truncated_without_source(spark):
+    r = random.Random(13)
+    sentence = lambda: " ".join(r.choice(["bus", "road", "farm", "council", "market"]) for _ in range(5))
+    rows = []
+    for i in range(400):
+        t = f"The {sentence()} {'.' * r.randint(0, 1)}The {sentence()} reached Abuja"
+        rows.append((f"c{i}", (t * 3)[:60] + "Abuja" if i % 5 == 0 else t + "." * (i % 3)))
+    for g in ("gen", None):
+        got = truncation.truncated(spark.createDataFrame([(i, g, t) for i, t in rows], "id string, g string, t string"), "id", "t", "g").collect()
+        assert {x.source for x in got} == {g} and len(got) == 400
+        assert {int(x.record[1:]) % 5 for x in got if x.limit} >= {0} and all(x.cut for x in got if int(x.record[1:]) % 5 == 0)
+
+
 def test_languages_held_out(spark):
     samples = languages.trusted_texts(table(spark, DATA, "lang_samples").filter("sample_id % 4 <> 0"), "language", "text")
     held = table(spark, DATA, "lang_samples").filter("sample_id % 4 = 0")
