@@ -79,6 +79,18 @@ def test_varied(spark):
     assert varied.crowds(df.filter("false"), "g", "id", "t").count() == 0
 
 
+def test_crowds_across_blocks(spark, monkeypatch):
+    # chains of texts that are like their neighbours only, and texts of one word
+    rows = [("a", f"c{c}{i:03d}", " ".join(f"x{c}y{j}" for j in range(2 * i, 2 * i + 16 + i % 3))) for c in range(3) for i in range(50)]
+    rows += [("a", f"s{i:03d}", "Ok!" if i % 2 else "ok") for i in range(30)] + [("a", f"u{i:03d}", f"alone{i}") for i in range(20)]
+    df = spark.createDataFrame(rows, "g string, id string, t string")
+    want = {i: ((i[:2] + "000", 50) if i[0] == "c" else ("s000", 30) if i[0] == "s" else (i, 1)) for _, i, _ in rows}
+    for block, bucket in ((1000, 64), (20, 64), (20, 3)):
+        monkeypatch.setattr(varied, "BUCKET", bucket)
+        got = {x.record: (x.crowd, x.members) for x in varied.crowds(df, "g", "id", "t", block_rows=block).collect()}
+        assert got == want
+
+
 def test_disperse():
     rng = np.random.default_rng(5)
     x = rng.random((12, 2))
