@@ -309,3 +309,33 @@ def sensitivity_grid(spark, d):
     x = m.withColumn("w", grid)
     soft = sum((sign[c] * F.when(F.col("w.parameter") == f"alpha_{c}", F.col("w.value")).otherwise(base[c]) * F.col(c) for c in base), F.lit(0.0))
     return x.select("run_id", "w.parameter", "w.value", F.round(soft, 6).alias("mean_soft"))
+
+
+#: The reference's sensitivity.yaml: five values around each default.
+SENSITIVITY = {
+    "alpha_u": (0.5, 0.75, 1.0, 1.25, 1.5), "alpha_c": (0.375, 0.5625, 0.75, 0.9375, 1.125), "alpha_d": (0.25, 0.375, 0.5, 0.625, 0.75), "alpha_l": (0.5, 0.75, 1.0, 1.25, 1.5), "alpha_h": (0.375, 0.5625, 0.75, 0.9375, 1.125),
+    "tau_l": (0.075, 0.1125, 0.15, 0.1875, 0.225), "tau_c": (0.3, 0.45, 0.6, 0.75, 0.9), "tau_h": (0.35, 0.525, 0.7, 0.875, 1.0),
+}
+_AT = lambda p, default: f"(CASE WHEN g.parameter = '{p}' THEN g.value ELSE {default}::DOUBLE END)"
+
+
+@query(f"WITH {SCORED}, g AS (SELECT * FROM (VALUES " + ", ".join(f"('{p}', {v}::DOUBLE)" for p, values in SENSITIVITY.items() for v in values) + f""") t(parameter, value)),
+x AS (SELECT s.run_id, g.parameter, g.value, {_AT('alpha_u', 1.0)} * s.u + {_AT('alpha_c', 0.75)} * s.c + {_AT('alpha_d', 0.5)} * s.d - {_AT('alpha_l', 1.0)} * s.l - {_AT('alpha_h', 0.75)} * s.h AS soft, s.l <= {_AT('tau_l', 0.15)} AND s.c >= {_AT('tau_c', 0.6)} AND s.h <= {_AT('tau_h', 0.7)} AS pass FROM scored s CROSS JOIN g)
+SELECT run_id, parameter, value, count(*) AS candidates, count(*) FILTER (WHERE pass) AS passed, round(avg(soft), 6) AS mean_soft, round(avg(soft) FILTER (WHERE pass), 6) AS mean_passed FROM x GROUP BY ALL""")
+def sensitivity_grid_gated(spark, d):
+    """The reference's whole grid, 8 parameters by 5 values: every candidate is gated for each threshold; means are linear in the weights."""
+    base = {p: values[2] for p, values in SENSITIVITY.items()}
+    sign = {"u": 1, "c": 1, "d": 1, "l": -1, "h": -1}
+    gates = {("", 0.0): base} | {(p, v): base | {p: v} for p, values in SENSITIVITY.items() if p.startswith("tau") for v in values}
+    parts = [F.count(F.lit(1)).alias("candidates"), *(F.avg(c).alias(f"every_{c}") for c in sign)]
+    for k, t in enumerate(gates.values()):
+        ok = (F.col("l") <= t["tau_l"]) & (F.col("c") >= t["tau_c"]) & (F.col("h") <= t["tau_h"])
+        parts += [F.count_if(ok).alias(f"passed_{k}"), *(F.avg(F.when(ok, F.col(c))).alias(f"pass_{k}_{c}") for c in sign)]
+    rows = []
+    for p, values in SENSITIVITY.items():
+        for v in values:
+            at, k = base | {p: v}, list(gates).index((p, v)) if (p, v) in gates else 0
+            soft = lambda name, at=at: sum((sign[c] * at[f"alpha_{c}"] * F.col(f"{name}_{c}") for c in sign), F.lit(0.0))
+            rows.append(F.struct(F.lit(p).alias("parameter"), F.lit(v).alias("value"), F.col(f"passed_{k}").alias("passed"), soft("every").alias("mean_soft"), soft(f"pass_{k}").alias("mean_passed")))
+    x = scored(spark, d).groupBy("run_id").agg(*parts).select("run_id", "candidates", F.explode(F.array(*rows)).alias("w"))
+    return x.select("run_id", "w.parameter", "w.value", "candidates", "w.passed", F.round("w.mean_soft", 6).alias("mean_soft"), F.round("w.mean_passed", 6).alias("mean_passed"))

@@ -38,5 +38,17 @@ def test_query(spark, con, name):
     assert got == want
 
 
+def test_sensitivity_grid_is_whole(spark):
+    got = catalogue.QUERIES["sensitivity_grid_gated"](spark, DATA).collect()
+    runs = {r.run_id for r in got}
+    assert len(got) == 40 * len(runs) and len({(r.parameter, r.value) for r in got}) == 40
+    at = {(r.run_id, r.parameter, r.value): r for r in got}
+    for r in runs:
+        for tau, values in (("tau_l", (0.075, 0.1125, 0.15, 0.1875, 0.225)), ("tau_c", (0.9, 0.75, 0.6, 0.45, 0.3)), ("tau_h", (0.35, 0.525, 0.7, 0.875, 1.0))):
+            passed = [at[r, tau, v].passed for v in values]
+            assert passed == sorted(passed) and passed[2] == at[r, "alpha_u", 1.0].passed
+    assert any(at[r, "tau_c", 0.3].passed > at[r, "tau_c", 0.9].passed for r in runs)
+
+
 def test_catalogue_is_without_training_data():
     assert not [k for k in catalogue.QUERIES if k[0] == "p" and k[1].isdigit()]
