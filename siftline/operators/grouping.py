@@ -68,19 +68,41 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: Column, tie: s
     )
 
 
+def quality_order(quality: str) -> list[Column]:
+    """Best first, null and NaN last."""
+    none = F.col(quality).isNull() | F.isnan(quality)
+    return [F.when(none, F.lit(float("inf"))).otherwise(-F.col(quality))]
+
+
+def first_k(df: DataFrame, keys: list[str], order: list[Column], k: Column, tie: str, parts: int = 16) -> DataFrame:
+    """All rows, with ``rank`` for the first ``k`` of each group and null for the others; ``k`` is constant in a group.
+
+    As in ``top_k`` parts of a group are ranked first; rows that are beyond ``k`` in their part stay there, so the last
+    sort of a group sees at most ``parts * k`` rows, and no row is joined back.
+    """
+    first = Window.partitionBy(*keys, "_part").orderBy(*order, F.col(tie))
+    cut = df.withColumn("_part", F.pmod(F.xxhash64(tie), F.lit(parts))).withColumn("_in", F.row_number().over(first) <= k)
+    cut = cut.withColumn("_part", F.when(~F.coalesce("_in", F.lit(False)), F.col("_part")))
+    last = Window.partitionBy(*keys, "_part").orderBy(*order, F.col(tie))
+    ranked = cut.withColumn("rank", F.row_number().over(last))
+    return ranked.withColumn("rank", F.when(F.col("_part").isNull() & (F.col("rank") <= k), F.col("rank"))).drop("_part", "_in")
+
+
 def rank_in_groups(df: DataFrame, keys: list[str], quality: str, tie: str, split_rows: int = SPLIT_ROWS) -> DataFrame:
     """Adds ``rank``: the place by ``quality`` downwards (null and NaN last), then by ``tie``.
 
-    The largest group is counted first. Up to ``split_rows`` a group is sorted in one task. If one
-    is larger, the rows are written once and groups are cut by quality and, where qualities are equal, by the
-    leading bytes of ``tie``; both cuts keep the order, so the ranks of the parts add up. Empty in, empty out.
+    For ranks of whole groups; where only the first k count, ``top_k`` or ``first_k`` need no table. The rows are written once, so
+    what makes them runs once, and the largest group is counted there. Up to ``split_rows`` a group is sorted in one task;
+    beyond it groups are cut by quality and, where qualities are equal, by the leading bytes of ``tie``; both cuts
+    keep the order, so the ranks of the parts add up. Pass the columns needed, as all are written. Empty in, empty out.
     """
+    df = written(df, "ranked")
     q = F.when(F.col(quality).isNull() | F.isnan(quality), F.lit(float("inf"))).otherwise(-F.col(quality))
     lead = F.conv(F.hex(F.substring(F.encode(F.col(tie).cast("string"), "UTF-8"), 1, 6)), 16, 10).cast("double")
     rows = df.withColumn("_q", q)
     if (df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) <= split_rows:
         return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("_q", tie))).drop("_q")
-    rows = written(rows.withColumn("_lead", lead), "ranked")
+    rows = rows.withColumn("_lead", lead)
     shares = [i / RANGES for i in range(1, RANGES)]
     sizes = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"),

@@ -10,17 +10,31 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
+_RUNS: dict[tuple[str, str], str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where that is unset, as in tests, a temporary one."""
+    """This session's folder below the one that the cluster names in spark.checkpoint.dir; removed when the session's JVM ends.
+
+    Where that is unset, a temporary folder serves a local master, as in tests; any other master is refused, as its
+    executors couldn't read what the others wrote.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _OWN:
-        _OWN.append(tempfile.mkdtemp(prefix="siftline-"))
-        atexit.register(lambda: __import__("shutil").rmtree(_OWN[0], ignore_errors=True))
-    return "file://" + os.path.abspath(_OWN[0])
+    if not named:
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="siftline-"))
+            atexit.register(lambda: __import__("shutil").rmtree(_OWN[0], ignore_errors=True))
+        return "file://" + os.path.abspath(_OWN[0])
+    key = (named, spark.sparkContext.applicationId)
+    if key not in _RUNS:
+        _RUNS[key] = f"{named.rstrip('/')}/siftline-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(_RUNS[key])
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return _RUNS[key]
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:
