@@ -13,70 +13,85 @@ PART_ROWS = 50_000
 NEWTON_ROUNDS = 60
 
 
-def tilt(counts, shares, floors, size: int):
-    """Expected sample counts per category: the tilted shares, held between floors and what there is.
+#: Why a category is drawn less often than is needed: too few records, other categories' floors, or floors that fill the size.
+ENOUGH, SHORT, SQUEEZED = "", "available", "floors"
 
-    The probability of a category's records is ``min(1, exp(a + l))`` for the size dual a and the
-    category's dual l. Newton's steps solve for the duals with which the moments, the expected counts, are the
-    targets; categories whose target exceeds what there is, or falls below their floor, are then fixed there and
-    the others solved again for what remains of the size.
+
+def newton(n, target):
+    """Moments of the exponential tilting whose dual meets the targets: ``n exp(dual)`` for each category."""
+    import numpy as np
+
+    if not len(n):
+        return n
+    # dual of entropy: f(l) = sum(n exp(l)) - target . l, whose gradient is moments minus targets and whose Hessian is the moments
+    dual = np.full(len(n), np.log(max(target.sum(), 1e-9) / n.sum()))
+    for _ in range(NEWTON_ROUNDS):
+        moments = n * np.exp(np.minimum(dual, 50.0))
+        step = np.where(target > 0, (target - moments) / np.maximum(moments, 1e-12), -1.0)
+        dual = dual + np.clip(step, -2.0, 2.0)
+        if np.abs(np.where(target > 0, moments - target, moments)).max() < 1e-9 * max(1.0, target.sum()):
+            break
+    return np.where(target > 0, n * np.exp(np.minimum(dual, 50.0)), 0.0)
+
+
+def tilt(counts, shares, floors, size: int, needed=None):
+    """Expected sample counts per category, how much of what is needed can't be there, and why less is drawn.
+
+    The probability of a category's records is ``exp(a + l)`` for the size dual a and the category's dual l, between its floor and 1.
+    Newton's steps solve for the duals with which the moments, the expected counts, are the targets. Where they
+    leave those bounds, the side that is broken by more is fixed at its bound and the others are solved again for what
+    remains of the size, which ends at the one solution within all bounds. Floors that together exceed the size are cut in
+    proportion to it, so that a sample never exceeds its size; where all records are too few, all are drawn. ``gap`` is
+    what remains of ``needed`` at full probability, the bound of a category's moment.
     """
     import numpy as np
 
     n = counts.astype(float)
+    needed = np.maximum(floors, np.floor(shares * size + 0.5)) if needed is None else needed
     low = np.minimum(floors, n)
-    want = np.zeros(len(n))
-    fixed = n <= 0
-    while True:
-        free = ~fixed
-        rest = max(0.0, size - want[fixed].sum())
-        if not free.any():
-            return want
-        s = shares[free]
-        s = s / s.sum() if s.sum() > 0 else np.full(free.sum(), 1 / free.sum())
-        target = s * rest
-        # dual of entropy: f(l) = sum(n exp(l)) - target . l, whose gradient is moments minus targets and whose Hessian is the moments
-        dual = np.log(np.maximum(rest, 1e-9) / n[free].sum()) * np.ones(free.sum())
-        for _ in range(NEWTON_ROUNDS):
-            moments = n[free] * np.exp(np.minimum(dual, 50.0))
-            step = np.where(target > 0, (target - moments) / np.maximum(moments, 1e-12), -1.0)
-            dual = dual + np.clip(step, -2.0, 2.0)
-            if np.abs(np.where(target > 0, moments - target, moments)).max() < 1e-9 * max(1.0, rest):
+    gap = np.maximum(0.0, needed - n * 1.0)
+    if low.sum() > size:
+        want = low * size / low.sum()
+    else:
+        want = np.zeros(len(n))
+        fixed = n <= 0
+        while not fixed.all():
+            free = ~fixed
+            rest = max(0.0, size - want[fixed].sum())
+            s = shares[free]
+            s = s / s.sum() if s.sum() > 0 else np.full(free.sum(), 1 / free.sum())
+            want[free] = newton(n[free], s * rest)
+            over, under = np.maximum(0.0, want - n), np.maximum(0.0, low - want)
+            over[fixed] = under[fixed] = 0.0
+            if over.sum() <= 1e-9 and under.sum() <= 1e-9:
                 break
-        got = np.where(target > 0, n[free] * np.exp(np.minimum(dual, 50.0)), 0.0)
-        want[free] = got
-        over, under = got > n[free] + 1e-9, got < low[free] - 1e-9
-        if not over.any() and not under.any():
-            return want
-        at = np.nonzero(free)[0]
-        # too few are settled before floors, as they return size to the others
-        if over.any():
-            want[at[over]] = n[at[over]]
-            fixed[at[over]] = True
-        else:
-            want[at[under]] = low[at[under]]
-            fixed[at[under]] = True
+            broken, bound = (over > 1e-9, n) if over.sum() >= under.sum() else (under > 1e-9, low)
+            want[broken] = bound[broken]
+            fixed |= broken
+    # targets are met to within the rounding of what is needed
+    why = np.where(gap > 0, SHORT, np.where(needed - want >= 1.0 - 1e-9, SQUEEZED, ENOUGH))
+    return want, gap, why
 
 
 def plan_samples(counts: DataFrame, pool: list[str], category: str) -> DataFrame:
-    """Per pool and target category the records there are, those needed and the expected number to draw.
+    """Per pool and target category what is needed, the expected number to draw, the gap and why less is drawn.
 
     ``counts`` has pool, category, target_share, min_count, sample_size and ``available``. Needed is
-    the larger of min_count and target_share times sample_size, rounded; ``gap`` is by how much there are too
-    few. One task sees one pool's categories, never its records.
+    the larger of min_count and target_share times sample_size, rounded. ``draw``, ``gap`` and ``missed`` are the solver's
+    (``tilt``): the gap is by how much there are too few records; missed is "available" there, and "floors" where the
+    floors of other categories or all floors together leave less than is needed. One task sees one pool's categories, never its records.
     """
 
     def solve(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(category, kind="stable")
-        draw = tilt(part["available"].to_numpy(), part["target_share"].fillna(0).to_numpy(), part["min_count"].fillna(0).to_numpy(float), int(part["sample_size"].max()))
-        return part.assign(draw=draw)
+        draw, gap, why = tilt(part["available"].to_numpy(), part["target_share"].fillna(0).to_numpy(), part["min_count"].fillna(0).to_numpy(float), int(part["sample_size"].max()), part["needed"].to_numpy(float))
+        return part.assign(draw=draw, gap=gap.astype("int64"), missed=why)
 
-    need = F.greatest(F.coalesce("min_count", F.lit(0)), F.round(F.coalesce("target_share", F.lit(0.0)) * F.col("sample_size")).cast("long"))
+    counts = counts.withColumn("needed", F.greatest(F.coalesce("min_count", F.lit(0)), F.round(F.coalesce("target_share", F.lit(0.0)) * F.col("sample_size")).cast("long")))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in counts.schema.fields)
     # few rows, but much work for each pool: spread it over all tasks, which adaptive execution would not
     tasks = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    planned = counts.repartition(tasks, *pool).groupBy(*pool).applyInPandas(solve, f"{fields}, draw double")
-    return planned.withColumn("needed", need).withColumn("gap", F.greatest(F.lit(0), need - F.col("available")))
+    return counts.repartition(tasks, *pool).groupBy(*pool).applyInPandas(solve, f"{fields}, draw double, gap bigint, missed string")
 
 
 def pivotal(p, seed: int):
@@ -195,9 +210,15 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every target: what there is, what is needed, the expected number to draw and the gap."""
+    """For every target: what there is, what is needed and the gap."""
+    plan = _plan(spark, sf_dir)[1]
+    return plan.select("pool_table", "pool_id", F.col("_label").alias("label"), "available", "needed", "gap")
+
+
+def p4_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every target the expected number to draw and, where that is less than is needed, why."""
     plan = _plan(spark, sf_dir)[1]
-    return plan.select("pool_table", "pool_id", F.col("_label").alias("label"), "available", "needed", F.round("draw", 4).alias("draw"), "gap")
+    return plan.select("pool_table", "pool_id", F.col("_label").alias("label"), F.round("draw", 4).alias("draw"), "missed")
 
 
 def p4_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,7 +227,7 @@ def p4_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return draw_samples(records, plan, _POOL, "label", "record")
 
 
-QUERIES = {"p4_found": p4_found, "p4_report": p4_report, "p4_sample": p4_sample}
+QUERIES = {"p4_found": p4_found, "p4_report": p4_report, "p4_draws": p4_draws, "p4_sample": p4_sample}
 _HAVE = r"""
 one AS (
   SELECT 'candidates' AS pool_table, run_id AS pool_id, candidate_id AS record, label FROM candidates
@@ -220,4 +241,7 @@ need AS (
     greatest(t.min_count, CAST(round(t.target_share * t.sample_size) AS BIGINT)) AS needed
   FROM targets t LEFT JOIN have h ON h.pool_table = t.pool_table AND h.pool_id = t.pool_id AND h.label = t.label)
 """
-SQL = {"p4_found": f"WITH {_HAVE} SELECT pool_id, label FROM need WHERE available < needed"}
+SQL = {
+    "p4_found": f"WITH {_HAVE} SELECT pool_id, label FROM need WHERE available < needed",
+    "p4_report": f"WITH {_HAVE} SELECT pool_table, pool_id, label, available, needed, greatest(0, needed - available) AS gap FROM need",
+}

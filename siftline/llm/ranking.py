@@ -57,20 +57,50 @@ def combined_scores(df: DataFrame, group: str, record: str, weights: dict[str, f
 WEIGHTS = {"u": 1.0, "d": 1.0, "l": -1.0, "h": -1.0}
 
 
-def p3_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The combined score of every candidate with a complete audit."""
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = table(spark, sf_dir, "candidates").select("run_id", "candidate_id").na.drop().distinct()
     audit = latest_audit(table(spark, sf_dir, "audit"), *WEIGHTS)
-    scores = combined_scores(runs.join(audit, "candidate_id"), "run_id", "candidate_id", WEIGHTS)
-    return scores.select("run_id", "candidate_id", F.round("score", 6).alias("score"))
+    return combined_scores(runs.join(audit, "candidate_id"), "run_id", "candidate_id", WEIGHTS)
+
+
+def p3_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The combined score of every candidate with a complete audit."""
+    return _scores(spark, sf_dir).select("run_id", "candidate_id", F.round("score", 6).alias("score"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first top_n candidates of each run."""
+    """The first top_n candidates of each run; scores count as equal, and go by id, only where they differ by rounding errors."""
     limits = table(spark, sf_dir, "runs").select("run_id", "top_n")
-    best = top_k(p3_scores(spark, sf_dir).join(limits, "run_id"), ["run_id"], [F.desc("score")], F.col("top_n"), "candidate_id")
-    return best.select("run_id", "candidate_id")
+    rows = _scores(spark, sf_dir).withColumn("_s", F.round("score", 12)).join(limits, "run_id")
+    return top_k(rows, ["run_id"], [F.desc("_s")], F.col("top_n"), "candidate_id").select("run_id", "candidate_id")
+
+
+def _normal_sql(p: str) -> str:
+    """The same rational approximation in SQL."""
+
+    def poly(x: str, coefficients: list[float]) -> str:
+        out = f"({coefficients[0]!r}::DOUBLE)"
+        for c in coefficients[1:]:
+            out = f"({out} * {x} + ({c!r}::DOUBLE))"
+        return out
+
+    tail = lambda q: f"({poly(q, C)} / {poly(q, [*D, 1.0])})"
+    low, high, r = f"sqrt(-2 * ln(least({p}, 0.5)))", f"sqrt(-2 * ln(least(1 - {p}, 0.5)))", f"(({p} - 0.5) * ({p} - 0.5))"
+    return f"CASE WHEN {p} < {TAIL} THEN {tail(low)} WHEN {p} > 1 - {TAIL} THEN -{tail(high)} ELSE {poly(r, A)} * ({p} - 0.5) / {poly(r, [*B, 1.0])} END"
 
 
+_COMBINED = f"""latest AS (
+  SELECT candidate_id, scores.u::DOUBLE AS u, scores.d::DOUBLE AS d, scores.l::DOUBLE AS l, scores.h::DOUBLE AS h FROM audit WHERE candidate_id IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY candidate_id ORDER BY audited_at DESC, ingested_at DESC) = 1),
+whole AS (
+  SELECT r.run_id, candidate_id, u, d, l, h FROM (SELECT DISTINCT run_id, candidate_id FROM candidates WHERE run_id IS NOT NULL AND candidate_id IS NOT NULL) r JOIN latest USING (candidate_id)
+  WHERE NOT (u IS NULL OR d IS NULL OR l IS NULL OR h IS NULL OR isnan(u) OR isnan(d) OR isnan(l) OR isnan(h))),
+share AS (
+  SELECT run_id, candidate_id, {', '.join(f'(rank() OVER (PARTITION BY run_id ORDER BY {x}) - 1 + count(*) OVER (PARTITION BY run_id, {x}) / 2.0) / count(*) OVER (PARTITION BY run_id) AS p{x}' for x in WEIGHTS)} FROM whole),
+combined AS (SELECT run_id, candidate_id, ({' + '.join(f'({w}) * ({_normal_sql("p" + x)})' for x, w in WEIGHTS.items())}) / {sum(map(abs, WEIGHTS.values()))} AS score FROM share)"""
 QUERIES = {"p3_found": p3_found, "p3_scores": p3_scores}
-SQL: dict[str, str] = {}
+SQL = {
+    "p3_scores": f"WITH {_COMBINED} SELECT run_id, candidate_id, round(score, 6) AS score FROM combined",
+    "p3_found": f"""WITH {_COMBINED}, placed AS (SELECT c.run_id, candidate_id, top_n, row_number() OVER (PARTITION BY c.run_id ORDER BY round(score, 12) DESC, candidate_id) AS place FROM combined c JOIN runs USING (run_id))
+SELECT run_id, candidate_id FROM placed WHERE place <= top_n""",
+}

@@ -168,15 +168,14 @@ def _endings(df: DataFrame, record: str, text: str, source: str) -> DataFrame:
 
 
 def length_hazards(texts: DataFrame, stops: Column, source: str, length: str) -> DataFrame:
-    """Lengths of a source at which more texts stop than at the lengths around them.
+    """``source, length, n, reach, p, significant`` for every length at which a text of a source ends.
 
     The hazard of a length is the texts that stop there (those with ``stops``) by all texts of the
     source that reach it. It is tested against the pooled hazard of the NEIGHBOURS lengths on
     either side, their stops by the sum of the texts that reach each of them, by a normal bound of the
-    Poisson tail; the lengths of a source are accepted up to the largest rank whose p-value is
-    below its share of FALSE_DISCOVERIES. Returns ``source, length``; texts of a null source are one
-    source. Windows run over the
-    distinct lengths of a source, never over its texts.
+    Poisson tail; the lengths of a source are significant up to the largest rank whose p-value is
+    below its share of FALSE_DISCOVERIES, if at least 3 texts stop there. Texts of a null source are one
+    source. Windows run over the distinct lengths of a source, never over its texts.
     """
     hist = texts.groupBy(source, length).agg(F.count(F.lit(1)).alias("every"), F.count_if(stops).alias("n"))
     every = Window.partitionBy(source)
@@ -188,49 +187,52 @@ def length_hazards(texts: DataFrame, stops: Column, source: str, length: str) ->
     reached = F.sum(F.col("every") * at).over(near) - (at - NEIGHBOURS - 1) * inside + (2 * NEIGHBOURS + 1) * behind
     below = F.greatest(F.lit(0), NEIGHBOURS + 1 - at) * F.sum("every").over(every)  # no text stops at a length under 1
     pooled = reach.withColumn("others", F.sum("n").over(near) - F.col("n")).withColumn("at_risk", F.greatest(reached - below - F.col("reach"), F.lit(1)))
-    pooled = pooled.filter(F.col("n") > 0)
     expected = F.greatest((F.col("others") + 1) / F.col("at_risk") * F.col("reach"), F.lit(0.05))
     # Chernoff's bound of the Poisson tail: P(N >= n) <= exp(n - e - n ln(n / e)) for n > e
     logp = F.when(F.col("n") > expected, F.col("n") - expected - F.col("n") * F.log(F.col("n") / expected)).otherwise(F.lit(0.0))
-    tested = pooled.withColumn("p", F.exp(logp))
-    rank = Window.partitionBy(source).orderBy("p")
-    ranked = tested.withColumn("_i", F.row_number().over(rank)).withColumn("_m", F.count(F.lit(1)).over(Window.partitionBy(source)))
+    # lengths at which no text stops aren't tested; they are no hypotheses
+    tested = pooled.withColumn("p", F.when(F.col("n") > 0, F.exp(logp)))
+    ranked = tested.withColumn("_i", F.row_number().over(Window.partitionBy(source).orderBy(F.asc_nulls_last("p")))).withColumn("_m", F.count("p").over(every))
     # a window and no join, so that a null source is one like any other
     limit = F.max(F.when(F.col("p") <= FALSE_DISCOVERIES * F.col("_i") / F.col("_m"), F.col("p"))).over(every)
-    return ranked.withColumn("_p", limit).filter((F.col("p") <= F.col("_p")) & (F.col("n") >= 3)).select(source, length, "n", "reach", "p")
+    significant = F.coalesce((F.col("p") <= limit) & (F.col("n") >= 3), F.lit(False))
+    return ranked.select(source, length, "n", "reach", "p", significant.alias("significant"))
 
 
 def truncated(df: DataFrame, record: str, text: str, source: str) -> DataFrame:
-    """``record, source, cut``: for every text whether it stops within a word or sentence.
+    """``record, source, cut, cause``: for every text whether it stops within a word or sentence, and by what.
+
+    Each length of a source is tested for its hazard first, in characters and in bytes (``length_hazards``),
+    and the test decides by which rule the texts of that length are read; no text is judged without it.
+
+    ``limit``: at a significant length incomplete endings are cut: what a cut leaves (half an entity, tag,
+    escape or link, a replacement character, a comma) and every word, name or number without a final mark, unless the
+    corpus nearly always (END_SHARE_AT_LIMIT) ends a sentence at that word after the two words before.
+    ``transfer``: at other lengths, where no limit explains an end, only remnants are cut, and words at which
+    the corpus seldom (END_SHARE) ends a sentence, backing off to shorter contexts; a word that it never has elsewhere is cut.
 
     Whole: ends in a final mark, or in a tag, link, emoji or bracketed note; null and blank texts.
-    Cut: ends in a comma or in what a cut leaves (half an entity, tag, escape or link, a
-    replacement character). Others, also those before trailing dots, end in a word: how often
-    the corpus ends a sentence at that word after the two words before decides, backing off to
-    shorter contexts; a word that the corpus never has elsewhere is cut. At lengths with a
-    significant hazard for the source a likelier end is asked for; texts of a null source are one source. Rows repeated under one record count once; a null record gives no row.
+    Texts of a null source are one source. Rows repeated under one record count once; a null record gives no row.
     """
     rows = written(_endings(df.filter(F.col(record).isNotNull()), record, text, source), "endings")
     texts = rows.filter(F.col("key").isNull()).drop("key", "ends", "goes_on").dropDuplicates(["record"])
-    open_ = texts.filter(F.col("kind").isin(OPEN, DOTTED))
+    ended = texts.filter(F.col("kind") == WHOLE).select("record", "source", F.lit(None).cast("string").alias("cause"), F.lit(None).cast("double").alias("share"), F.lit(None).cast("int").alias("level"))
+    judged = texts.filter(F.col("kind") != WHOLE)
+    for unit in ("chars", "bytes"):
+        tested = length_hazards(texts, F.col("kind").isin(OPEN, CUT), "source", unit).select(F.col("source").alias("_source"), F.col(unit).alias("_length"), F.col("significant").alias(f"at_{unit}"))
+        judged = judged.join(tested, judged["source"].eqNullSafe(F.col("_source")) & (F.col(unit) == F.col("_length"))).drop("_source", "_length")
     contexts = rows.filter(F.col("key").isNotNull()).groupBy("key").agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("goes_on"))
-    asked = open_.select("record", F.posexplode("keys").alias("level", "key"))
+    asked = texts.filter(F.col("kind").isin(OPEN, DOTTED)).select("record", F.posexplode("keys").alias("level", "key"))
     # a place decides if it was seen often enough; the most special one that does counts
     seen = asked.join(contexts, "key").filter(F.col("ends") + F.col("goes_on") >= 3)
     share = seen.groupBy("record").agg(F.min_by((F.col("ends") + 0.0) / (F.col("ends") + F.col("goes_on")), "level").alias("share"), F.min("level").alias("level"))
-    at = None
-    for unit in ("chars", "bytes"):
-        limits = length_hazards(texts, F.col("kind") == OPEN, "source", unit).select(F.col("source").alias("_source"), F.col(unit).alias("_length"), F.lit(True).alias(f"at_{unit}"))
-        at = open_ if at is None else at
-        at = at.join(limits, at["source"].eqNullSafe(F.col("_source")) & (F.col(unit) == F.col("_length")), "left").drop("_source", "_length")
-    at_limit = (F.col("kind") == OPEN) & (F.coalesce("at_chars", F.lit(False)) | F.coalesce("at_bytes", F.lit(False)))
-    judged = at.join(share, "record", "left").withColumn("limit", at_limit)
-    name = F.element_at("keys", 3).isin("1\tN", "1\t0")
-    least = F.when(F.col("limit") & name, 1.01).when(F.col("limit"), END_SHARE_AT_LIMIT).otherwise(END_SHARE)
-    cut = F.coalesce("share", F.lit(0.0)) < least
-    decided = judged.select("record", "source", cut.alias("cut"), "share", "level", "limit")
-    sure = texts.filter(~F.col("kind").isin(OPEN, DOTTED)).select("record", "source", (F.col("kind") == CUT).alias("cut"), F.lit(None).cast("double").alias("share"), F.lit(None).cast("int").alias("level"), F.lit(False).alias("limit"))
-    return decided.unionByName(sure)
+    judged = judged.join(share, "record", "left")
+    limit = (F.col("kind") != DOTTED) & (F.col("at_chars") | F.col("at_bytes"))  # dots were put behind the cut
+    ends = F.coalesce("share", F.lit(0.0))
+    name = F.coalesce(F.element_at("keys", 3).isin("1\tN", "1\t0"), F.lit(False))
+    cause = F.when(limit & ((F.col("kind") == CUT) | name | (ends < END_SHARE_AT_LIMIT)), "limit").when(~limit & ((F.col("kind") == CUT) | (ends < END_SHARE)), "transfer")
+    every = judged.select("record", "source", cause.alias("cause"), "share", "level").unionByName(ended)
+    return every.select("record", "source", F.col("cause").isNotNull().alias("cut"), "cause", "share", "level")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,11 +242,19 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each generator, its candidates, the cut ones and their share."""
+    """For each generator, its candidates, those cut at a length limit and in transfer, and the share of both."""
     every = truncated(table(spark, sf_dir, "candidates"), "candidate_id", "text", "generator")
-    n = every.groupBy(F.col("source").alias("generator")).agg(F.count(F.lit(1)).alias("candidates"), F.count_if("cut").alias("cut"))
+    n = every.groupBy(F.col("source").alias("generator")).agg(F.count(F.lit(1)).alias("candidates"), F.count_if(F.col("cause") == "limit").alias("at_limit"), F.count_if(F.col("cause") == "transfer").alias("in_transfer"), F.count_if("cut").alias("cut"))
     return n.withColumn("share", F.round(F.col("cut") / F.col("candidates"), 6))
 
 
-QUERIES = {"p5_found": p5_found, "p5_rates": p5_rates}
+def p5_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The significant lengths of each generator, in characters and in bytes, with the texts that stop there and those that reach it."""
+    rows = _endings(table(spark, sf_dir, "candidates").filter(F.col("candidate_id").isNotNull()), "candidate_id", "text", "generator")
+    texts = written(rows.filter(F.col("key").isNull()).select("record", "source", "chars", "bytes", "kind").dropDuplicates(["record"]), "lengths")
+    one = lambda u: length_hazards(texts, F.col("kind").isin(OPEN, CUT), "source", u).filter("significant").select(F.col("source").alias("generator"), F.lit(u).alias("unit"), F.col(u).alias("length"), "n", "reach")
+    return one("chars").unionByName(one("bytes"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_rates": p5_rates, "p5_limits": p5_limits}
 SQL: dict[str, str] = {}

@@ -34,8 +34,33 @@ def test_share_levels(spark):
     groups = {f"g{i}": [max(1, int(r.paretovariate(0.7))) % 500 + 1 for _ in range(r.randint(1, 30))] for i in range(40)}
     rows = [(g, f"s{i}", n) for g, ns in groups.items() for i, n in enumerate(ns)]
     for share in (0.05, 0.2, 0.5):
-        got = {x.g: x.level for x in capping.share_levels(spark.createDataFrame(rows, "g string, s string, n bigint"), "g", "n", share).collect()}
-        assert got == {g: water_fill(ns, share) for g, ns in groups.items()}
+        counts = spark.createDataFrame(rows, "g string, s string, n bigint")
+        got = {x.g: x for x in capping.fill_levels(counts, "g", "n", share).collect()}
+        assert {g: x.level for g, x in got.items()} == {g: water_fill(ns, share) for g, ns in groups.items()}
+        for g, ns in groups.items():
+            left = [min(n, got[g].level or n) for n in ns]
+            assert got[g].filled == sum(left) and got[g].top_share == pytest.approx(max(left) / sum(left))
+        limits = {g: i % 7 + 1 for i, g in enumerate(groups)}
+        both = {x.g: x.level for x in capping.fill_levels(counts, "g", "n", share, spark.createDataFrame(list(limits.items()), "g string, limit int")).collect()}
+        for g, ns in groups.items():
+            share_level, count_level = water_fill(ns, share), limits[g] if max(ns) > limits[g] else None
+            assert both[g] == min((x for x in (share_level, count_level) if x is not None), default=None)
+
+
+def test_consistent_pool(spark):
+    r = random.Random(3)
+    rows = [("g", s, f"r{i:03d}") for i in range(300) for s in {f"s{min(39, int(r.expovariate(0.06)))}" for _ in range(r.randint(1, 3))}]
+    q = spark.createDataFrame([(f"r{i:03d}", r.random()) for i in range(300)], "id string, q double")
+    pool = {x.id for x in capping.consistent_pool(extra(spark.createDataFrame(rows, "g string, s string, id string")), q, "g", "s", "id", "q", 0.08).collect()}
+    n = collections.Counter(s for _, s, i in rows if i in pool)
+    assert 100 < len(pool) < 300 and max(n.values()) <= max(1, 0.08 * sum(n.values()) + 1e-9)
+    assert capping.consistent_pool(spark.createDataFrame([], "g string, s string, id string"), q, "g", "s", "id", "q", 0.1).count() == 0
+
+
+def test_caps_come_from_the_levels(spark, monkeypatch):
+    whole = capping.fill_levels
+    monkeypatch.setattr(capping, "fill_levels", lambda *a, **k: whole(*a, **k).withColumn("level", F.lit(None).cast("long")))
+    assert capping.p1_found(spark, DATA).count() == 0
 
 
 def test_cap_contributors(spark):
@@ -76,7 +101,10 @@ def test_varied(spark):
     for block in (1000, 50):
         chosen = [x.record for x in varied.varied_subset(df, "g", "id", "t", budget, block_rows=block).collect()]
         assert len(chosen) == len(set(chosen)) == 20 and sum(c[0] == "c" for c in chosen) <= 2
-    assert varied.crowds(df.filter("false"), "g", "id", "t").count() == 0
+    for many in (55, 400):  # beyond half a block the budget is shared out over blocks
+        got = [x.record for x in varied.varied_subset(df, "g", "id", "t", spark.createDataFrame([("a", many)], "g string, budget int"), block_rows=50).collect()]
+        assert len(got) == len(set(got)) == min(many, 153)
+    assert varied.crowds(df.filter("false"), "g", "id", "t").count() == 0 == varied.varied_subset(df.filter("false"), "g", "id", "t", budget).count()
 
 
 def test_crowds_across_blocks(spark, monkeypatch):
@@ -91,6 +119,42 @@ def test_crowds_across_blocks(spark, monkeypatch):
         assert got == want
 
 
+def test_core_set():
+    rng = np.random.default_rng(7)
+    x = rng.random((60, 2))
+    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    cover = varied.core_set(d, d <= 0.2)
+    core = set(cover)
+    assert all(cover[c] == c for c in core) and all(d[i, c] <= 0.2 for i, c in enumerate(cover))
+    assert all(d[a, b] > 0.2 for a in core for b in core if a != b) and varied.core_set(np.zeros((0, 0)), np.zeros((0, 0), bool)) == []
+
+
+def test_crowds_come_from_the_core_set(spark, monkeypatch):
+    before = varied._crowds(["a", "b", "c", "d"], ["x y z", "x y z", "p q r", "p q r"])
+    monkeypatch.setattr(varied, "core_set", lambda distance, near: list(range(len(distance))))
+    monkeypatch.setattr(varied, "similar", lambda common, sizes: np.eye(len(sizes), dtype=bool))
+    assert before == ["a", "a", "c", "c"] != varied._crowds(["a", "b", "c", "d"], ["x y z", "x y z", "p q r", "p q r"])
+
+
+def test_overlaps_in_feature_blocks(monkeypatch):
+    r = random.Random(8)
+    texts = [" ".join(r.choice("abcdefghij") for _ in range(r.randint(0, 30))) for _ in range(40)] + [None, ""]
+    whole, sizes = varied.overlaps(texts)
+    monkeypatch.setattr(varied, "FEATURES", 7)
+    assert (varied.overlaps(texts)[0] == whole).all()
+
+
+def test_swaps_end_at_a_local_optimum():
+    rng = np.random.default_rng(9)
+    x = rng.random((200, 3))
+    d = np.linalg.norm(x[:, None] - x[None], axis=2).astype(np.float32)
+    got = varied.disperse(d, 90)
+    inside = np.isin(np.arange(200), got)
+    total = d[:, inside].sum(1)
+    gain = total[~inside][None, :] - d[np.ix_(np.nonzero(inside)[0], np.nonzero(~inside)[0])] - total[inside][:, None]
+    assert gain.max() <= 1e-3
+
+
 def test_disperse():
     rng = np.random.default_rng(5)
     x = rng.random((12, 2))
@@ -122,6 +186,14 @@ def test_combined_scores(spark):
     assert "n" not in got and "m" not in got
 
 
+def test_close_scores_keep_their_order(spark):
+    # scores that differ in the ninth digit only
+    n = 2000
+    df = spark.createDataFrame([(1, f"c{i:05d}", float(i)) for i in range(n)], "g int, id string, u double")
+    z = ranking.combined_scores(df, "g", "id", {"u": 1.0}).orderBy("score").collect()
+    assert [x.id for x in z] == sorted(x.id for x in z)
+
+
 def test_latest_audit(spark):
     rows = [("a", (1.0,), 1, 5), ("a", (2.0,), 2, 1), ("a", (2.0,), 2, 1), (None, (3.0,), 9, 9), ("b", None, 1, 1)]
     df = spark.createDataFrame(rows, "candidate_id string, scores struct<s: double>, audited_at int, ingested_at int")
@@ -129,11 +201,36 @@ def test_latest_audit(spark):
 
 
 def test_tilt():
-    t = calibration.tilt
-    assert t(np.array([100, 100]), np.array([0.3, 0.7]), np.array([0, 0]), 50) == pytest.approx([15, 35])
-    assert t(np.array([5, 100, 100]), np.array([0.5, 0.25, 0.25]), np.array([0, 0, 0]), 40) == pytest.approx([5, 17.5, 17.5])
-    assert t(np.array([50, 100]), np.array([0.01, 0.99]), np.array([6, 1]), 60) == pytest.approx([6, 54])
-    assert t(np.array([0, 0]), np.array([0.5, 0.5]), np.array([1, 1]), 10) == pytest.approx([0, 0])
+    t = lambda *x: calibration.tilt(*map(np.array, x[:3]), x[3])
+    assert t([100, 100], [0.3, 0.7], [0, 0], 50)[0] == pytest.approx([15, 35])
+    assert t([5, 100, 100], [0.5, 0.25, 0.25], [0, 0, 0], 40)[0] == pytest.approx([5, 17.5, 17.5])
+    assert t([50, 100], [0.01, 0.99], [6, 1], 60)[0] == pytest.approx([6, 54])
+    assert t([0, 0], [0.5, 0.5], [1, 1], 10)[0] == pytest.approx([0, 0])
+    draw, gap, why = t([100, 100, 100], [0.4, 0.3, 0.3], [10, 10, 10], 20)  # floors beyond the size
+    assert draw.sum() == pytest.approx(20) and list(gap) == [0, 0, 0] and set(why) == {"floors"}
+    draw, gap, why = t([100, 100], [0.8, 0.2], [0, 15], 20)  # another category's floor
+    assert draw == pytest.approx([5, 15]) and list(why) == ["floors", ""]
+    draw, gap, why = t([11, 100], [0.6, 0.4], [0, 15], 20)
+    assert draw == pytest.approx([5, 15]) and list(gap) == [1, 0] and list(why) == ["available", ""]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 60), st.integers(0, 9), st.integers(0, 8)), min_size=1, max_size=8), st.integers(1, 80))
+def test_tilt_by_bisection(rows, size):
+    n, s, low = (np.array(x, float) for x in zip(*rows))
+    if not s.sum():
+        return
+    s, floor = s / s.sum(), np.minimum(low, n)
+    draw = calibration.tilt(n, s, low, size)[0]
+    assert (draw <= n + 1e-6).all() and draw.sum() <= size + 1e-6
+    if floor.sum() <= size:
+        assert (draw >= floor - 1e-6).all()
+        lo, hi = 0.0, 1e9
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if np.clip(s * mid, floor, n).sum() < min(size, np.where(s > 0, n, floor).sum()) else (lo, mid)
+        want = np.clip(s * hi, floor, n)
+        assert draw[s > 0] == pytest.approx(want[s > 0], abs=1e-4)
 
 
 @settings(max_examples=40, deadline=None)
@@ -298,7 +395,9 @@ def test_length_hazards(spark):
     r = random.Random(12)
     stops = [("a", 280, True)] * 500 + [("a", 285, True)] * 8 + [("a", 400, True)] * 2
     stops += [("b", r.randint(1, 60), r.random() < 0.5) for _ in range(300)] + [("b", 9, True)] * 90 + [("c", 1, True)] * 4
-    got = truncation.length_hazards(spark.createDataFrame(stops, "s string, k int, open boolean"), F.col("open"), "s", "k").collect()
+    every = truncation.length_hazards(spark.createDataFrame(stops, "s string, k int, open boolean"), F.col("open"), "s", "k")
+    assert every.count() == len({x[:2] for x in stops})
+    got = every.filter("significant").collect()
     assert {(x.s, x.k) for x in got} == {("a", 280), ("a", 285), ("b", 9)}
     tested = {}
     for s, k, o in stops:
@@ -321,7 +420,33 @@ def test_truncated_without_source(spark):
     for g in ("gen", None):
         got = truncation.truncated(spark.createDataFrame([(i, g, t) for i, t in rows], "id string, g string, t string"), "id", "t", "g").collect()
         assert {x.source for x in got} == {g} and len(got) == 400
-        assert {int(x.record[1:]) % 5 for x in got if x.limit} >= {0} and all(x.cut for x in got if int(x.record[1:]) % 5 == 0)
+        assert {int(x.record[1:]) % 5 for x in got if x.cause == "limit"} >= {0} and all(x.cut for x in got if int(x.record[1:]) % 5 == 0)
+
+
+def test_hazards_decide(spark, monkeypatch):
+    texts = ["The old road and the new market reached the town of Abuja"] * 40 + ["The bus left the town of Abuja" + " today" * k + "." for k in range(40)]
+    df = spark.createDataFrame([(str(i), "g", t) for i, t in enumerate(texts)], "id string, g string, t string")
+    assert truncation.truncated(df, "id", "t", "g").filter("cause = 'limit'").count() == 40
+    whole = truncation.length_hazards
+    monkeypatch.setattr(truncation, "length_hazards", lambda *a: whole(*a).withColumn("significant", F.lit(False)))
+    none = truncation.truncated(df, "id", "t", "g").filter("cut").collect()
+    monkeypatch.setattr(truncation, "length_hazards", lambda *a: whole(*a).filter("false"))
+    assert not [x for x in none if x.cause == "limit"] and truncation.truncated(df, "id", "t", "g").filter("cut").count() == 0
+
+
+def test_length_limits_in_bytes_and_characters(spark):
+    r = random.Random(15)
+    sentence = lambda a: " ".join(r.choice(a) for _ in range(r.randint(4, 9))) + ". "
+    plain, marked = [f"word{i}" for i in range(60)], [f"wọ́rd{i}" for i in range(60)]
+    rows, cut = [], set()
+    for i in range(900):
+        t = "".join(sentence(marked if i % 2 else plain) for _ in range(r.randint(2, 8))).strip()
+        if i % 9 == 0 and len(t) > 120:
+            t, g = (t[:120], "chars") if i % 18 else (t.encode()[:160].decode("utf-8", "ignore"), "bytes")
+            cut |= {str(i)} if not t.rstrip().endswith(".") else set()
+        rows.append((str(i), "chars" if i % 18 else "bytes", t))
+    got = {x.record for x in truncation.truncated(spark.createDataFrame(rows, "id string, g string, t string"), "id", "t", "g").filter("cut").collect()}
+    assert len(got & cut) >= 0.95 * len(cut) and len(got - cut) <= 0.05 * len(cut) and len(cut) > 40
 
 
 def test_languages_held_out(spark):
