@@ -28,38 +28,65 @@ def embedder(name: str, **parameters) -> Callable[[Column], Column]:
     return EMBEDDERS[name](**parameters)
 
 
-def hashed(text: str | None, dim: int) -> list[float]:
-    """Signed counts of lower-case character 3- to 5-grams by 8-byte BLAKE2b, with two blanks around the text, at length one."""
-    s = f"  {(text or '').lower()}  "
-    out = [0.0] * dim
-    for n in (3, 4, 5):
-        for i in range(len(s) - n + 1):
-            v = int.from_bytes(hashlib.blake2b(s[i : i + n].encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-            out[v % dim] += 1.0 if v >> 63 else -1.0
-    size = sum(x * x for x in out) ** 0.5
-    return [x / size for x in out] if size else out
+# Lengths of the grams, the blanks around a text, and bytes of a gram's hash, read as a little-endian number.
+GRAMS, PAD, DIGEST = (3, 4, 5), "  ", 8
+
+
+def gram_counts(texts: list[str | None], dim: int, lengths: tuple[int, ...], slot_and_sign):
+    """A row per text with the signed counts of its lower-case character grams by slot.
+
+    ``slot_and_sign`` gets the distinct grams of all texts once; the counts are added up by numpy.
+    """
+    import numpy as np
+
+    known: dict[str, int] = {}
+    grams: list[int] = []
+    many = []
+    for t in texts:
+        s = f"{PAD}{(t or '').lower()}{PAD}"
+        mine = [known.setdefault(s[i : i + n], len(known)) for n in lengths for i in range(len(s) - n + 1)]
+        grams += mine
+        many.append(len(mine))
+    slot, sign = slot_and_sign(list(known))
+    gram = np.array(grams, np.int64)
+    cell = np.repeat(np.arange(len(texts)), many) * dim + slot[gram]
+    return np.bincount(cell, weights=sign[gram], minlength=len(texts) * dim).reshape(len(texts), dim)
+
+
+def hashed(texts: list[str | None], dim: int):
+    """Counts of 3- to 5-grams by their BLAKE2b number, at length one: at its remainder by ``dim``, upwards where its highest bit is set."""
+    import numpy as np
+
+    def place(grams: list[str]):
+        number = np.frombuffer(b"".join(hashlib.blake2b(g.encode("utf-8", "surrogatepass"), digest_size=DIGEST).digest() for g in grams), "<u8")
+        return (number % np.uint64(dim)).astype(np.int64), np.where(number >> np.uint64(63), 1.0, -1.0)
+
+    out = gram_counts(texts, dim, GRAMS, place)
+    size = np.linalg.norm(out, axis=1, keepdims=True)
+    return out / np.where(size > 0, size, 1.0)
 
 
 @register("hash")
 def hash_embedder(dim: int = 768) -> Callable[[Column], Column]:
     @F.pandas_udf("array<float>")
     def embed(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: hashed(t, dim))
+        return pd.Series(list(hashed(text.tolist(), dim).astype("float32")), index=text.index)
 
     return embed
 
 
 @register("hash-md5")
 def md5_embedder(dim: int = 64) -> Callable[[Column], Column]:
-    """Counts of character trigrams by md5, within the JVM; for comparison with SQL."""
-
-    def embed(text: Column) -> Column:
-        s = F.concat(F.lit("  "), F.lower(F.coalesce(text, F.lit(""))), F.lit("  "))
-        grams = F.transform(F.sequence(F.lit(1), F.length(s) - 2), lambda i: F.substring(s, i, F.lit(3)))
-        slots = F.transform(grams, lambda g: F.conv(F.substring(F.md5(g.cast("binary")), 1, 8), 16, 10).cast("bigint") % dim)
-        # bound to a lambda's variable, the slots are made once and not once for every dimension
-        count = lambda all_slots: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.size(F.filter(all_slots, lambda x: x == k)).cast("double"))
-        return F.get(F.transform(F.array(slots), count), F.lit(0))
+    """Counts of character trigrams by the first 8 hex digits of their md5, which SQL can state too."""
+
+    def place(grams: list[str]):
+        import numpy as np
+
+        return np.array([int(hashlib.md5(g.encode("utf-8", "surrogatepass")).hexdigest()[:8], 16) % dim for g in grams], np.int64), np.ones(len(grams))
+
+    @F.pandas_udf("array<double>")
+    def embed(text: pd.Series) -> pd.Series:
+        return pd.Series(list(gram_counts(text.tolist(), dim, (3,), place)), index=text.index)
 
     return embed
 

@@ -25,7 +25,8 @@ def token_ngrams(t: Column, n: int) -> Column:
     return F.when(F.size(t) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
 
 
-EDGE = r"[\s\p{Z}]+"
+#: Blanks of every kind; the last ones are separators that count as blanks too.
+EDGE = r"[\s\p{Z}\x1c-\x1f\x85]+"
 
 
 def stripped(text: Column) -> Column:
@@ -37,21 +38,32 @@ def stable_hash(text: Column) -> Column:
     return F.substring(F.sha2(text.cast("binary"), 256), 1, 16)
 
 
-def compact_text(text: Column, most: int = 2200, marker: str = "\n[...]\n") -> Column:
-    """A stripped text; of a longer one the head, a marker and the tail, 65 % of the room for the head."""
-    s = stripped(text)
-    room = most - len(marker)
-    head = int(room * 0.65)
-    cut = F.concat(F.regexp_replace(F.substring(s, 1, head), f"{EDGE}$", ""), F.lit(marker), F.regexp_replace(F.substring(s, -(room - head), room - head), f"^{EDGE}", ""))
+# Fixed value: what stands for the middle of a compacted text.
+MARKER = "\n[... excerpt truncated ...]\n"
+
+
+def compact_text(text: Column, most: int | Column = 2200, marker: str = MARKER, head_share: float = 0.65) -> Column:
+    """A stripped text; of a longer one the head, a marker and the tail, 65 % of the room for the head. Null counts as empty."""
+    s = stripped(F.coalesce(text, F.lit("")))
+    most = F.lit(most) if isinstance(most, int) else most
+    room = F.greatest(F.lit(0), most - len(marker))
+    head = F.greatest(F.lit(1), F.floor(room * head_share).cast("int"))
+    tail = F.greatest(F.lit(1), room - head)
+    cut = F.concat(F.regexp_replace(F.substring(s, F.lit(1), head), f"{EDGE}$", ""), F.lit(marker), F.regexp_replace(F.substring(s, -tail, tail), f"^{EDGE}", ""))
     return F.when(F.length(s) <= most, s).otherwise(cut)
 
 
-def was_compacted(text: Column, most: int = 2200) -> Column:
-    return F.length(stripped(text)) > most
+def was_compacted(text: Column, most: int | Column = 2200) -> Column:
+    return F.length(stripped(F.coalesce(text, F.lit("")))) > most
+
+
+def words_of(text: Column) -> Column:
+    """Parts between blanks of any kind."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), EDGE), lambda w: w != "")
 
 
 def word_count(text: Column) -> Column:
-    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != ""))
+    return F.size(words_of(text))
 
 
 def strip_fence(text: Column) -> Column:

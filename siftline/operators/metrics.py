@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siftline.operators.grouping import value_ranks
+from siftline.operators.staging import written
 
 
 def macro_f1(df: DataFrame, truth: str, guess: str) -> DataFrame:
@@ -36,8 +37,11 @@ def pearson(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """``keys, rho`` of average ranks per group; 0 where either side doesn't vary. Groups of any size are ranked in ranges."""
-    rows = df.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).na.drop()
+    """``keys, rho`` of average ranks per group; 0 where either side doesn't vary. Groups of any size are ranked in ranges.
+
+    The two columns are written once, as both rankings read them, and again where their ranks are joined.
+    """
+    rows = written(df.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).na.drop(), "pairs")
     for v in ("_x", "_y"):
         rank = value_ranks(rows, keys, v).select(*keys, v, (F.col("below") + (F.col("ties") + 1) / 2).alias(f"{v}r"))
         rows = rows.join(rank, [*keys, v])
@@ -84,14 +88,3 @@ def total_variation(a: DataFrame, b: DataFrame, keys: list[str], label: str) ->
     full = x.withColumn(label, F.coalesce(label, F.lit("None"))).join(y.withColumn(label, F.coalesce(label, F.lit("None"))), [*keys, label], "full")
     both = full.groupBy(*keys).agg(F.sum("p").alias("sp"), F.sum("q").alias("sq"), (F.sum(F.abs(F.coalesce("p", F.lit(0.0)) - F.coalesce("q", F.lit(0.0)))) / 2).alias("t"))
     return both.select(*keys, F.when(F.col("sp").isNull() | F.col("sq").isNull(), 0.0).otherwise(F.col("t")).alias("tvd"))
-
-
-def pool_overlap(a: DataFrame, b: DataFrame, keys: list[str], item: str) -> DataFrame:
-    """``keys, jaccard, multiset_jaccard, same``: overlap of two pools as sets and as multisets, and whether they are equal."""
-    n = lambda d, c: d.groupBy(*keys, item).agg(F.count(F.lit(1)).alias(c))
-    both = n(a, "x").join(n(b, "y"), [*keys, item], "full").na.fill(0, ["x", "y"])
-    return both.groupBy(*keys).agg(
-        (F.count_if((F.col("x") > 0) & (F.col("y") > 0)) / F.count(F.lit(1))).alias("jaccard"),
-        (F.sum(F.least("x", "y")) / F.sum(F.greatest("x", "y"))).alias("multiset_jaccard"),
-        F.every(F.col("x") == F.col("y")).alias("same"),
-    )

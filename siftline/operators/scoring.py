@@ -9,19 +9,23 @@ from siftline.functions.text import bounded, word_count
 from siftline.operators.config import AuditConfig
 
 
+def _at_most(x: str, most: float) -> Column:
+    """A missing score counts as 0; NaN is beyond no threshold."""
+    return F.coalesce(F.nanvl(F.col(x), F.lit(0.0)), F.lit(0.0)) <= most
+
+
 def passes(cfg: AuditConfig, tau_c: float | None = None, l: str = "l", h: str = "h", c: str = "c") -> Column:
-    """Whether leakage and shortcut are at most, and consistency at least, their thresholds; missing and NaN scores count as 0."""
-    zero = lambda x: F.coalesce(F.nanvl(F.col(x), F.lit(0.0)), F.lit(0.0))
-    ok = (zero(l) <= cfg.tau_l) & (zero(h) <= cfg.tau_h)
-    return ok if tau_c is None else ok & (zero(c) >= tau_c)
+    """Whether leakage and shortcut are at most, and consistency at least, their thresholds; missing scores count as 0, NaN passes each."""
+    ok = _at_most(l, cfg.tau_l) & _at_most(h, cfg.tau_h)
+    return ok if tau_c is None else ok & (F.coalesce(F.col(c), F.lit(0.0)) >= tau_c)
 
 
 def reject_reasons(cfg: AuditConfig) -> Column:
     """Names of the gates that a row fails, in order."""
     hits = F.array(
-        F.when(F.col("l") > cfg.tau_l, F.lit("leakage")),
-        F.when(F.col("c") < cfg.tau_c, F.lit("counterfactual")),
-        F.when(F.col("h") > cfg.tau_h, F.lit("shortcut")),
+        F.when(~_at_most("l", cfg.tau_l), F.lit("leakage")),
+        F.when(F.coalesce(F.col("c"), F.lit(0.0)) < cfg.tau_c, F.lit("counterfactual")),
+        F.when(~_at_most("h", cfg.tau_h), F.lit("shortcut")),
     )
     return F.filter(hits, lambda x: x.isNotNull())
 
@@ -31,35 +35,46 @@ def soft_score(cfg: AuditConfig) -> Column:
     return cfg.alpha_u * F.col("u") + cfg.alpha_c * F.col("c") + cfg.alpha_d * F.col("d") - cfg.alpha_l * F.col("l") - cfg.alpha_h * F.col("h")
 
 
+JUDGED = ["label_correctness", "fluency", "cultural_plausibility", "leakage_suspicion", "counterfactual_validity", "quality_score"]
+
+
 def with_judgement(df: DataFrame) -> DataFrame:
-    """Typed numbers of the judge from the JSON column ``metadata``; null where missing or no number."""
-    names = ["label_correctness", "fluency", "cultural_plausibility", "leakage_suspicion", "counterfactual_validity", "quality_score"]
-    number = lambda path: F.expr(f"try_cast(get_json_object(metadata, '{path}') AS double)")
-    return df.withColumns({f"judge_{n}": number(f"$.llm_judge.{n}") for n in names} | {"judge_score": number("$.judge_score"), "influence_score": number("$.influence_score")})
+    """Typed numbers of the judge from the JSON column ``metadata``: null where missing, 0 for what is there but no number."""
+
+    def number(path: str) -> Column:
+        raw = F.get_json_object("metadata", path)
+        return F.when(raw.isNotNull(), F.coalesce(raw.try_cast("double"), F.lit(0.0)))
+
+    return df.withColumns({f"judge_{n}": number(f"$.llm_judge.{n}") for n in JUDGED} | {"judge_score": number("$.judge_score"), "influence_score": number("$.influence_score")})
+
+
+# Weights of the re-ranking score's gains and losses, and its bonuses.
+GAIN = {"correct": 1.25, "quality": 0.85, "fluent": 0.45, "fits": 0.35, "utility": 0.35, "keep": 0.65, "diverse": 0.45}
+LOSS = {"leak": 1.40, "shortcut": 1.00, "suspect": 1.10, "under_c": 0.55, "over_l": 0.45, "over_h": 0.35}
+STRICT_BONUS, RELAXED_BONUS = 0.25, 0.10
 
 
 def rerank_score(cfg: AuditConfig) -> Column:
     """The re-ranking score of quality and audit terms, with bonuses for the gates and penalties beyond them.
 
-    Judge numbers fall back on each other and on audit scores before each is held in [0, 1].
+    Missing audit scores fall back on the judge's numbers, and those on each other; each is held in [0, 1], NaN at 1. The
+    bonuses go by the gates' own reading of missing and NaN scores.
     """
-    h, d = bounded(F.col("h")), bounded(F.col("d"))
+    judge = lambda n: F.col(f"judge_{n}")
     first = lambda *x: bounded(F.coalesce(*x))
-    q0, lc0, ls0 = F.col("judge_quality_score"), F.col("judge_label_correctness"), F.col("judge_leakage_suspicion")
-    utility = first(F.col("u"), q0)
-    leak = first(F.col("l"), ls0)
-    keep = first(F.col("c"), F.col("judge_counterfactual_validity"))
-    quality = first(q0, utility)
-    correct = first(lc0, utility)
-    fluent = first(F.col("judge_fluency"), quality)
-    fits = first(F.col("judge_cultural_plausibility"), quality)
-    suspect = first(ls0, leak)
-    strict = F.when((leak <= cfg.tau_l) & (h <= cfg.tau_h) & (keep >= cfg.tau_c), 0.25).otherwise(0.0)
-    relaxed = F.when((leak <= cfg.tau_l) & (h <= cfg.tau_h) & (keep >= cfg.relaxed_tau_c), 0.10).otherwise(0.0)
+    x = {"shortcut": bounded(F.col("h")), "diverse": bounded(F.col("d"))}
+    x["utility"] = first(F.col("u"), judge("quality_score"))
+    x["leak"] = first(F.col("l"), judge("leakage_suspicion"))
+    x["keep"] = first(F.col("c"), judge("counterfactual_validity"))
+    x["quality"] = first(judge("quality_score"), x["utility"])
+    x["correct"] = first(judge("label_correctness"), x["utility"])
+    x["fluent"] = first(judge("fluency"), x["quality"])
+    x["fits"] = first(judge("cultural_plausibility"), x["quality"])
+    x["suspect"] = first(judge("leakage_suspicion"), x["leak"])
     beyond = lambda a, b: F.greatest(F.lit(0.0), a - b)
-    gain = 1.25 * correct + 0.85 * quality + 0.45 * fluent + 0.35 * fits + 0.35 * utility + 0.65 * keep + 0.45 * d
-    loss = 1.4 * leak + h + 1.1 * suspect + 0.55 * beyond(F.lit(cfg.tau_c), keep) + 0.45 * beyond(leak, F.lit(cfg.tau_l)) + 0.35 * beyond(h, F.lit(cfg.tau_h))
-    return gain + strict + relaxed - loss
+    x |= {"under_c": beyond(F.lit(cfg.tau_c), x["keep"]), "over_l": beyond(x["leak"], F.lit(cfg.tau_l)), "over_h": beyond(x["shortcut"], F.lit(cfg.tau_h))}
+    bonus = F.when(passes(cfg, cfg.tau_c), STRICT_BONUS).otherwise(0.0) + F.when(passes(cfg, cfg.relaxed_tau_c), RELAXED_BONUS).otherwise(0.0)
+    return sum((w * x[k] for k, w in GAIN.items()), F.lit(0.0)) + bonus - sum((w * x[k] for k, w in LOSS.items()), F.lit(0.0))
 
 
 #: Baselines by the pool that they rank: rows within the strict gate, the relaxed one, the one without consistency, or all.
@@ -95,15 +110,16 @@ def rank_score(baseline: str, cfg: AuditConfig, seed: int = 13) -> Column:
     if baseline in ("naive", "random"):
         at = seed + (7919 if baseline == "random" else 0)
         return F.conv(F.substring(F.md5(F.concat(F.lit(f"{at}|"), F.col("candidate_id")).cast("binary")), 1, 12), 16, 10).cast("double")
-    quality = F.coalesce("judge_quality_score", "u")
+    u, d, soft = (F.coalesce(F.col(c), F.lit(0.0)) for c in "uds")
+    quality = F.coalesce(F.col("judge_quality_score"), u)
     scores = {
-        "equal_budget": F.when(F.col("hard_reject"), 0.0).otherwise(100.0) + F.col("s"),
+        "equal_budget": F.when(F.col("hard_reject"), 0.0).otherwise(100.0) + soft,
         "rerank_v2": rerank_score(cfg),
-        "quality_only": F.col("u"),
-        "diversity_only": F.col("d"),
+        "quality_only": u,
+        "diversity_only": d,
         "quality_judge": F.coalesce(F.col("judge_score"), quality),
         "quality_judge_hardreject": F.coalesce(F.col("judge_score"), quality),
-        "quality_diversity": 0.45 * quality + 0.35 * F.col("d") + 0.20 * F.least(F.lit(1.0), word_count(F.col("text")) / 256.0),
-        "influence_style": F.coalesce(F.col("influence_score"), F.col("u") + 0.25 * F.col("d")),
+        "quality_diversity": 0.45 * quality + 0.35 * d + 0.20 * F.least(F.lit(1.0), word_count(F.col("text")) / 256.0),
+        "influence_style": F.coalesce(F.col("influence_score"), u + 0.25 * d),
     }
-    return scores.get(baseline, F.col("s"))
+    return scores.get(baseline, soft)

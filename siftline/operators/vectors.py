@@ -7,10 +7,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
-from siftline.functions.vectors import cosine
-
 #: Queries that are sent to the workers at a time.
 BLOCK_QUERIES = 4096
 #: Labels up to which centroids are put into the plan.
@@ -27,19 +26,33 @@ def centroids(df: DataFrame, label: str, vector: str) -> DataFrame:
 def class_probabilities(df: DataFrame, record: str, vector: str, centres: DataFrame, label: str, temperature: float = 0.25) -> DataFrame:
     """``record, class, p``: softmax of the cosines to the centroids over the temperature, at least 1e-12.
 
-    Centroids, one vector a label, are small; beyond MOST_LABELS labels this refuses.
+    Centroids, one vector a label, are small; beyond MOST_LABELS labels this refuses. A row's cosines to all of them are one array of
+    its own Arrow batch, so nothing is shuffled and no centroid is part of the plan.
     """
+    import numpy as np
+
     rows = centres.groupBy(label).agg(F.array_sort(F.collect_list(F.struct("position", "value"))).alias("c")).orderBy(label).limit(MOST_LABELS + 1).collect()
     if len(rows) > MOST_LABELS:
         raise ValueError(f"more than {MOST_LABELS} labels")
-    if not rows:
-        return df.select(record, F.lit(None).cast(centres.schema[label].dataType).alias("class"), F.lit(None).cast("double").alias("p")).filter("false")
-    kind = centres.schema[label].dataType
-    known = F.array(*[F.struct(F.lit(r[0]).cast(kind).alias("class"), F.array(*[F.lit(float(x.value)) for x in r.c]).alias("centre")) for r in rows])
-    cos = df.filter(F.col(vector).isNotNull()).select(record, F.col(vector).alias("_v"), F.explode(known).alias("k")).select(record, "k.class", (cosine(F.col("_v"), F.col("k.centre")) / temperature).alias("_x"))
-    w = Window.partitionBy(record)
-    e = cos.withColumn("_e", F.exp(F.col("_x") - F.max("_x").over(w)))
-    return e.select(record, "class", F.greatest(F.col("_e") / F.sum("_e").over(w), F.lit(1e-12)).alias("p"))
+    kind, record_kind = centres.schema[label].dataType.simpleString(), df.schema[record].dataType.simpleString()
+    labels, label_type = [r[0] for r in rows], to_arrow_type(centres.schema[label].dataType)
+    m = np.array([[x.value for x in r.c] for r in rows], dtype=np.float64)
+    m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) if len(rows) else m
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches if labels else ():
+            x = np.array(batch.column(1).to_pylist(), dtype=np.float64)
+            if not len(x):
+                continue
+            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+            c = x @ m.T
+            e = np.exp((c - c.max(1, keepdims=True)) / temperature)
+            p = np.maximum(e / e.sum(1, keepdims=True), 1e-12)
+            at = np.repeat(np.arange(len(x)), len(labels))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(labels * len(x), label_type), pa.array(p.ravel())], ["_record", "class", "p"])
+
+    out = df.filter(F.col(vector).isNotNull()).select(record, vector).mapInArrow(run, f"_record {record_kind}, class {kind}, p double")
+    return out.withColumnRenamed("_record", record)
 
 
 def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int) -> DataFrame:
@@ -89,6 +102,57 @@ def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int)
 BLOCK_REFERENCE = 20_000
 
 
+def against_all(df: DataFrame, record: str, vectors: dict[str, list[tuple[str, DataFrame, int]]], key: str = "id", vector: str = "vector", label: str = "label") -> DataFrame:
+    """``record`` and, for every named reference, the k most similar of its rows as (cosine, key, label), best first, all in one pass.
+
+    ``vectors`` names for each vector column of ``df`` its references as (name, table, k). For curated references: all together may
+    have BLOCK_REFERENCE rows, which go to the workers once; beyond that each is met by ``against_reference``, and the results are joined.
+    Null vectors and empty references get an empty list.
+    """
+    import numpy as np
+
+    tables = [(column, name, t.select(F.col(key).cast("string").alias("k"), F.col(vector).alias("v"), F.col(label).cast("string").alias("l")).filter(F.col("k").isNotNull() & F.col("v").isNotNull()), k) for column, refs in vectors.items() for name, t, k in refs]
+    counts = {id(t): t.count() for t in {id(x): x for _, _, x, _ in tables}.values()}
+    if sum(counts.values()) > BLOCK_REFERENCE:
+        out = df.select(record)
+        for column, name, t, k in tables:
+            out = out.join(against_reference(df, record, column, t, "k", "v", "l", k).withColumnRenamed("near", name), record)
+        return out
+    near = pa.struct([("cosine", pa.float64()), ("key", pa.string()), ("label", pa.string())])
+    columns = list(vectors)
+    made = []
+    for column, name, t, k in tables:
+        rows = sorted(t.collect(), key=lambda r: r.k)
+        m = np.array([r.v for r in rows], dtype=np.float64)
+        made.append((columns.index(column) + 1, m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) if len(rows) else None, np.array([r.k for r in rows], object), np.array([r.l for r in rows], object), k))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            unit = {}
+            for i in range(1, len(columns) + 1):
+                values = batch.column(i).to_pylist()
+                there = np.array([j for j, v in enumerate(values) if v is not None], np.int64)
+                x = np.array([values[j] for j in there], dtype=np.float64)
+                unit[i] = there, x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) if len(there) else x
+            out = [batch.column(0)]
+            for i, m, keys, labels, k in made:
+                there, x = unit[i]
+                sizes = np.zeros(batch.num_rows, np.int64)
+                flat = pa.array([], near)
+                if m is not None and len(there):
+                    c = np.round(x @ m.T, 9)
+                    best = np.argsort(-c, axis=1, kind="stable")[:, :k]  # keys are in order, so ties go by key
+                    sizes[there] = best.shape[1]
+                    flat = pa.StructArray.from_arrays([pa.array(np.take_along_axis(c, best, 1).ravel()), pa.array(keys[best.ravel()], pa.string()), pa.array(labels[best.ravel()], pa.string())], fields=list(near))
+                out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], sizes.cumsum()]), pa.int32()), flat))
+            yield pa.RecordBatch.from_arrays(out, ["_r", *names])
+
+    names = [name for _, name, _, _ in tables]
+    kind = df.schema[record].dataType.simpleString()
+    fields = ", ".join(f"{n} array<struct<cosine: double, key: string, label: string>>" for n in names)
+    return df.select(record, *columns).mapInArrow(run, f"_r {kind}, {fields}").withColumnRenamed("_r", record)
+
+
 def against_reference(df: DataFrame, record: str, vector: str, reference: DataFrame, reference_key: str, reference_vector: str, reference_label: str, k: int) -> DataFrame:
     """``record, near``: of every row the k most similar reference rows as (cosine, key, label), best first.
 

@@ -8,79 +8,84 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions.embedding import embedder
-from siftline.functions.text import WORD, stripped
+from siftline.functions.text import stripped
 from siftline.operators import scoring as sc
 from siftline.operators import selection as sel
 from siftline.operators.config import AuditConfig
-from siftline.operators.generation import consistency, utility
+from siftline.operators.generation import consistency, has_judgement, utility
+from siftline.operators.grouping import quality_order, top_k
 from siftline.operators.leakage import leakage
+from siftline.operators.shortcut import artifact_features, shortcut_score
 from siftline.operators.staging import written
-from siftline.operators.vectors import against_reference, centroids
+from siftline.operators.vectors import against_all, centroids
 
 
 def audit(candidates: DataFrame, gold: DataFrame, heldout: DataFrame, cfg: AuditConfig | None = None, cell: str = "run_id", embed: Callable[[Column], Column] | None = None) -> DataFrame:
     """One row per candidate with the scores u, l, h, d, c, s, their parts, hard_reject and reject_reasons.
 
     Candidates have candidate_id, the cell column, text, label, generator_confidence, metadata and counterfactual; gold has id, text,
-    label; held-out texts have item_id and text. Texts are embedded once and written; the three sets meet as vectors by
-    blocks of the curated ones, and as n-grams by joins. Defaults stand where a side is empty: teacher and vote 0.5, diversity 1, leakage 0.
+    label; held-out texts have item_id and text. Of a candidate sent again the latest row counts. Texts are embedded once and written; the three sets meet as vectors in
+    one pass over the candidates, and as n-grams by joins. Defaults stand where a side is empty: teacher and vote 0.5, diversity 1, leakage 0.
     """
     cfg = cfg or AuditConfig()
     embed = embed or embedder(cfg.embedder, dim=cfg.embedding_dim)
-    base = candidates.filter(F.col("candidate_id").isNotNull()).dropDuplicates(["candidate_id"])
+    order = [F.col(c) for c in ("received_at", "generator_confidence") if c in candidates.columns]
+    base = candidates.filter(F.col("candidate_id").isNotNull()).groupBy("candidate_id").agg(F.max_by(F.struct(*[c for c in candidates.columns if c != "candidate_id"]), F.struct(*order) if order else F.lit(0)).alias("_r")).select("candidate_id", "_r.*")
     cf = F.col("counterfactual.text")
     base = written(base.withColumns({"_v": embed(F.coalesce("text", F.lit(""))), "_cv": F.when(cf.isNotNull(), embed(F.coalesce(cf, F.lit(""))))}), "embedded")
     there = stripped(F.coalesce("text", F.lit(""))) != ""  # withheld texts are no neighbours
-    g = written(gold.filter(F.col("id").isNotNull() & there).select("id", "label", embed(F.coalesce("text", F.lit(""))).alias("_v")), "gold")
-    held = heldout.filter(there).select(F.col("item_id").cast("string").alias("item_id"), embed(F.coalesce("text", F.lit(""))).alias("_v"), F.lit("").alias("label"))
+    vector = embed(F.coalesce("text", F.lit(""))).alias("vector")
+    g = written(gold.filter(F.col("id").isNotNull() & there).select("id", "label", vector), "gold")
+    held = heldout.filter(there).select(F.col("item_id").cast("string").alias("id"), vector, F.lit("").alias("label"))
+    # as many centroids as classes; they are the reference of the teacher
+    centre = centroids(g, "label", "vector").groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "value"))), lambda p: p["value"]).alias("vector")).withColumn("id", F.col("label"))
+    classes = g.select("label").na.drop().distinct().count()
 
-    near = against_reference(base, "candidate_id", "_v", g, "id", "_v", "label", cfg.neighbor_k).withColumnRenamed("near", "_near")
-    risk = against_reference(base, "candidate_id", "_v", held, "item_id", "_v", "label", 1).withColumnRenamed("near", "_held")
+    near = against_all(base, "candidate_id", {"_v": [("_near", g, cfg.neighbor_k), ("_held", held, 1), ("_own", centre, max(1, classes))], "_cv": [("_edit", centre, max(1, classes))]})
     leak = leakage(base, "candidate_id", "text", heldout, "item_id", "text", cfg.ngram_n, cfg.shingle_n).withColumnRenamed("l", "_l")
 
-    # as many centroids as classes; they are the reference of the teacher
-    centre = centroids(g, "label", "_v").groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "value"))), lambda p: p["value"]).alias("_v"))
-    labels = [r.label for r in g.select("label").na.drop().distinct().orderBy("label").collect()]
-    own = against_reference(base, "candidate_id", "_v", centre, "label", "_v", "label", max(1, len(labels))).withColumnRenamed("near", "_own")
-    edit = against_reference(base, "candidate_id", "_cv", centre, "label", "_v", "label", max(1, len(labels))).withColumnRenamed("near", "_edit")
-
-    def teacher(near: str, label: Column) -> Column:
+    def teacher(near: str, label: Column, default: float) -> Column:
+        """The softmax probability of a label: 0.5 for a null one or without a teacher, ``default`` for one unknown to it."""
         e = F.transform(near, lambda n: F.struct(n["label"].alias("label"), F.exp((n["cosine"] - 1) / 0.25).alias("e")))
         mine = F.aggregate(e, F.lit(0.0), lambda s, n: s + F.when(n["label"] == label, n["e"]).otherwise(0.0))
-        return F.when(label.isNull() | (F.size(near) == 0), 0.5).otherwise(mine / F.aggregate(e, F.lit(0.0), lambda s, n: s + n["e"]))
+        known = F.exists(near, lambda n: n["label"] == label)
+        return F.when(label.isNull() | (F.size(near) == 0), 0.5).when(known, mine / F.aggregate(e, F.lit(0.0), lambda s, n: s + n["e"])).otherwise(default)
 
-    x = sc.with_judgement(base).join(near, "candidate_id").join(risk, "candidate_id").join(own, "candidate_id").join(edit, "candidate_id").join(leak, "candidate_id")
+    x = sc.with_judgement(base).join(near, "candidate_id").join(leak, "candidate_id")
     first = lambda a: F.get(F.col(a), F.lit(0))["cosine"]
     hits = F.size(F.filter("_near", lambda n: n["label"] == F.col("label")))
     vote = F.when(F.col("label").isNull() | (F.size("_near") == 0), 0.5).otherwise(hits / F.size("_near"))
     beyond = F.greatest(F.lit(0.0), (F.coalesce(first("_held"), F.lit(0.0)) - cfg.embedding_threshold) / max(1 - cfg.embedding_threshold, 1e-6))
-    low = F.lower(F.coalesce("text", F.lit("")))
-    length = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD))
-    x = x.withColumns({
-        "_teacher": teacher("_own", F.col("label")), "_vote": vote, "_risk": beyond, "_length": length,
-        "_hit": F.exists(F.array(*[F.lit(y.lower()) for y in labels]).cast("array<string>"), lambda y: F.contains(low, y)) if labels else F.lit(False),
-        "_template": F.contains(low, F.lit("[variant")) | F.contains(low, F.lit("counterfactual label cue")),
-        "_names": F.coalesce(F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"(?<![\p{L}\p{N}_])\p{Lu}[\p{L}\p{N}_]*")) / F.nullif(length, F.lit(0)), F.lit(0.0)),
-        "_punctuation": F.coalesce(F.regexp_count(F.coalesce("text", F.lit("")), F.lit("[!?.,;:]")) / F.nullif(F.length("text"), F.lit(0)), F.lit(0.0)),
-    })
-    pool = x.groupBy(cell).agg(F.avg("_length").alias("_m"), F.greatest(F.stddev_pop("_length"), F.lit(1.0)).alias("_sd"))
-    x = x.join(pool, cell)
-    p = F.when(F.col("counterfactual").isNull(), 0.5).otherwise(teacher("_edit", F.col("counterfactual.label")))
-    judged = F.col("judge_counterfactual_validity")
-    z = F.least(F.lit(1.0), F.abs(F.col("_length") - F.col("_m")) / F.col("_sd") / 3)
-    h = 0.35 * F.col("_hit").cast("int") + 0.30 * F.col("_template").cast("int") + 0.20 * z + 0.10 * F.col("_names") + 0.05 * F.least(F.lit(1.0), 10 * F.col("_punctuation"))
-    sem = F.col("counterfactual.semantic_edit_score")
+    x = shortcut_score(artifact_features(x.withColumns({"_teacher": teacher("_own", F.col("label"), 0.0), "_vote": vote, "_risk": beyond}), cell, "text", "label"), cell)
+    p = F.when(F.col("counterfactual.label").isNull(), 0.5).otherwise(teacher("_edit", F.col("counterfactual.label"), 0.0))
+    fields = {f.name for f in base.schema["counterfactual"].dataType.fields}
+    validity = F.col("counterfactual.judge_validity") if "judge_validity" in fields else F.lit(None).cast("double")
     x = x.withColumns({
         "u": utility(F.col("judge_quality_score"), F.col("generator_confidence"), F.col("_teacher"), F.col("_vote")),
-        "l": F.greatest("_l", "_risk"), "h": F.greatest(F.lit(0.0), F.least(F.lit(1.0), h)),
+        "l": F.greatest("_l", "_risk"),
         "d": F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.coalesce(first("_near"), F.lit(0.0)))),
-        "c": F.when(judged.isNotNull(), consistency(sem, judged, p, True)).otherwise(consistency(sem, judged, p, False)),
+        "c": consistency(F.col("counterfactual.semantic_edit_score"), validity, has_judgement(F.col("metadata")), p),
     })
     x = x.withColumn("s", sc.soft_score(cfg)).withColumn("reject_reasons", sc.reject_reasons(cfg)).withColumn("hard_reject", F.size("reject_reasons") > 0)
-    parts = F.struct(F.struct(F.col("_teacher").alias("teacher"), F.col("_vote").alias("vote")).alias("utility"), F.struct("exact", "jaccard", F.col("_risk").alias("embedding")).alias("leakage"), F.struct(F.col("_hit").alias("label_word"), F.col("_template").alias("template"), F.col("_length").alias("length"), F.col("_names").alias("names"), F.col("_punctuation").alias("punctuation")).alias("shortcut"))
+    parts = F.struct(F.struct(F.col("_teacher").alias("teacher"), F.col("_vote").alias("vote")).alias("utility"), F.struct("exact", "jaccard", F.col("_risk").alias("embedding")).alias("leakage"), F.struct("label_word", "template", "length", "names", "punctuation").alias("shortcut"), F.struct(p.alias("expected"), F.coalesce(validity, F.col("counterfactual.semantic_edit_score"), F.lit(0.0)).alias("semantic")).alias("consistency"))
     return x.select("candidate_id", cell, "text", "label", "source_seed_ids", "metadata", "generator_confidence", "u", "l", "h", "d", "c", "s", parts.alias("score_parts"), "hard_reject", "reject_reasons")
 
 
+def as_candidates(rows: DataFrame) -> DataFrame:
+    """Rows of the stages in the form in which the audit takes candidates: one list of seeds, metadata as JSON and the counterfactual as a struct."""
+    has = lambda c, kind="string": F.col(c) if c in rows.columns else F.lit(None).cast(kind)
+    out = rows
+    if "source_seed_ids" not in rows.columns:
+        out = out.withColumn("source_seed_ids", F.array(has("seed_id")))
+    if "metadata" not in rows.columns:
+        judged = F.struct(*[F.col(n) for n in sc.JUDGED if n in rows.columns])
+        out = out.withColumn("metadata", F.to_json(F.struct(judged.alias("llm_judge"))) if "quality_score" in rows.columns else F.lit(None).cast("string"))
+    if "counterfactual" not in rows.columns:
+        cf = F.struct(has("cf_text").alias("text"), has("cf_label").alias("label"), has("cf_score", "double").alias("semantic_edit_score"), has("judge_validity", "double").alias("judge_validity"))
+        out = out.withColumn("counterfactual", F.when(has("cf_text").isNotNull(), cf))
+    return out
+
+
 def select_candidates(audited: DataFrame, gold: DataFrame, baseline: str, budget: int, cfg: AuditConfig | None = None, cell: str = "run_id", max_per_source: int = 3, seed: int = 13) -> DataFrame:
     """``cell, candidate_id, rank``: a baseline's pool, ranked and taken within label quotas and source caps.
 
@@ -89,11 +94,18 @@ def select_candidates(audited: DataFrame, gold: DataFrame, baseline: str, budget
     cfg = cfg or AuditConfig()
     rows = sc.with_judgement(audited).filter(sc.pool_filter(baseline, cfg)).withColumn("_score", F.round(sc.rank_score(baseline, cfg, seed), 9))
     if baseline in ("naive", "random"):
-        from siftline.operators.grouping import rank_in_groups
-
-        return rank_in_groups(rows, [cell], "_score", "candidate_id").filter(F.col("rank") <= budget).select(cell, "candidate_id", "rank")
+        return top_k(rows, [cell], quality_order("_score"), F.lit(budget), "candidate_id").select(cell, "candidate_id", "rank")
     caps = sel.quota_caps(gold.withColumn("_all", F.lit(0)), ["_all"], "label", "id", budget)
     if caps.count() <= 1:
         caps = caps.filter("false")
     per_cell = rows.select(cell).distinct().withColumn("_all", F.lit(0)).join(caps, "_all").select(cell, "label", "cap")
-    return sel.greedy_take(rows, per_cell, [cell], "label", "source_seed_ids", "_score", "candidate_id", max_per_source, budget)
+    return sel.budgeted_take(rows, per_cell, [cell], "label", "source_seed_ids", "_score", "candidate_id", max_per_source, budget)
+
+
+def select_all(audited: DataFrame, gold: DataFrame, budget: int, baselines: list[str] | None = None, **options) -> DataFrame:
+    """``baseline`` and the columns of ``select_candidates`` for several baselines, all those known where none are named."""
+    each = [select_candidates(audited, gold, b, budget, **options).withColumn("baseline", F.lit(b)) for b in baselines or list(sc.POOLS)]
+    out = each[0]
+    for d in each[1:]:
+        out = out.unionByName(d)
+    return out

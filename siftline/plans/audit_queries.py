@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from siftline.functions.text import WORD, token_ngrams, tokens
+from siftline.functions.text import token_ngrams, tokens
 from siftline.operators import leakage as lk
 from siftline.operators import scoring as sc
 from siftline.operators import selection as sel
+from siftline.operators import shortcut as sh
 from siftline.operators.config import AuditConfig
-from siftline.operators.grouping import rank_in_groups
-from siftline.plans.views import CANDIDATES, CELL, QUERIES, SCORED, SQL, candidates, gold, query, scored, table
+from siftline.operators.grouping import quality_order, rank_in_groups, top_k
+from siftline.plans.views import AUDITED, CANDIDATES, CELL, SCORED, audited, candidates, gold, query, scored, table
 
 CFG = AuditConfig()
 GRAMS = r"""toks AS (SELECT candidate_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}]') AS t FROM cand WHERE text IS NOT NULL),
@@ -53,65 +53,50 @@ def leakage_max_jaccard(spark, d):
     return lk.max_jaccard(c, "candidate_id", "text", b, "item_id", "text").withColumn("jaccard", F.round("jaccard", 6))
 
 
-@query(_LEAK + "SELECT candidate_id, round(l, 6) AS l, l > 0.15::DOUBLE AS rejected, row_number() OVER (ORDER BY round(l, 9) DESC, candidate_id) AS place FROM leak WHERE l > 0 QUALIFY place <= 1000")
+@query(_LEAK + "SELECT candidate_id, exact, round(jaccard, 6) AS jaccard, round(l, 6) AS l, l > 0.15::DOUBLE AS rejected FROM leak")
 def leakage_score_gate(spark, d):
-    """The thousand candidates that leak most, with the gate's decision."""
+    """The leakage of every candidate by n-grams, with the gate's decision; the embedding part is in ``audit_scores``."""
     c, b = _texts(spark, d)
-    l = lk.leakage(c, "candidate_id", "text", b, "item_id", "text").filter("l > 0").withColumn("_l", F.round("l", 9))
-    top = l.orderBy(F.desc("_l"), "candidate_id").limit(1000)
-    place = F.row_number().over(Window.orderBy(F.desc("_l"), "candidate_id"))
-    return top.select("candidate_id", F.round("l", 6).alias("l"), (F.col("l") > CFG.tau_l).alias("rejected"), place.cast("bigint").alias("place"))
+    l = lk.leakage(c, "candidate_id", "text", b, "item_id", "text")
+    return l.select("candidate_id", "exact", F.round("jaccard", 6).alias("jaccard"), F.round("l", 6).alias("l"), (F.col("l") > CFG.tau_l).alias("rejected"))
 
 
-_FEATURES = rf"""feat AS (SELECT c.candidate_id, c.run_id, len(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+')) AS length,
-  EXISTS (SELECT 1 FROM (SELECT DISTINCT label FROM gold WHERE label IS NOT NULL) g WHERE contains(lower(c.text), lower(g.label))) AS hit,
-  contains(text, '[variant') OR contains(text, 'counterfactual label cue') AS template,
-  coalesce(len(regexp_extract_all(text, '\b[A-Z][\p{{L}}\p{{N}}_]*'))::DOUBLE / nullif(len(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+')), 0), 0) AS names,
-  coalesce(len(regexp_extract_all(text, '[!?.,;:]'))::DOUBLE / nullif(len(text), 0), 0) AS punctuation
-  FROM cand c WHERE text IS NOT NULL)"""
+_FEATURES = r"""labs AS (SELECT run_id, list(DISTINCT lower(label)) AS ls FROM cand WHERE label IS NOT NULL AND label <> '' GROUP BY ALL),
+body AS (SELECT c.candidate_id, c.run_id, coalesce(text, '') AS t, lower(coalesce(text, '')) AS low, regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+') AS w, ls FROM cand c LEFT JOIN labs USING (run_id)),
+feat AS (SELECT candidate_id, run_id, len(w) AS length, coalesce(len(list_filter(ls, lambda x: contains(low, x))) > 0, FALSE) AS label_word,
+  contains(low, '[variant') OR contains(low, 'counterfactual label cue') AS template,
+  len(list_filter(w, lambda x: regexp_matches(x, '^\p{Lu}')))::DOUBLE / greatest(len(w), 1) AS names,
+  len(regexp_extract_all(t, '[!?.,;:]'))::DOUBLE / greatest(length(t), 1) AS punctuation FROM body)"""
 
 
 def _features(spark, d):
-    labels = gold(spark, d).filter(F.col("label").isNotNull()).agg(F.array_sort(F.collect_set(F.lower("label"))).alias("labels"))  # a fixed set of classes
-    c = candidates(spark, d).filter(F.col("text").isNotNull())
-    lower = F.lower("text")
-    known = [r for r in labels.first().labels]
-    hit = F.exists(F.array(*[F.lit(x) for x in known]).cast("array<string>"), lambda x: F.contains(lower, x)) if known else F.lit(False)
-    length = F.regexp_count("text", F.lit(WORD))
-    names = F.regexp_count("text", F.lit(r"(?<![A-Za-z0-9_])[A-Z][\p{L}\p{N}_]*"))
-    return c.select(
-        "candidate_id", "run_id", length.cast("bigint").alias("length"), hit.alias("hit"),
-        (F.contains("text", F.lit("[variant")) | F.contains("text", F.lit("counterfactual label cue"))).alias("template"),
-        F.coalesce(names / F.nullif(length, F.lit(0)), F.lit(0.0)).alias("names"),
-        F.coalesce(F.regexp_count("text", F.lit("[!?.,;:]")) / F.nullif(F.length("text"), F.lit(0)), F.lit(0.0)).alias("punctuation"),
-    )
-
-
-@query(f"WITH {CANDIDATES}, {_FEATURES} SELECT candidate_id, length, hit, template, round(names, 6) AS names, round(punctuation, 6) AS punctuation FROM feat")
+    return sh.artifact_features(candidates(spark, d).select("candidate_id", "run_id", "text", "label"), "run_id", "text", "label")
+
+
+@query(f"WITH {CANDIDATES}, {_FEATURES} SELECT candidate_id, length, label_word, template, round(names, 6) AS names, round(punctuation, 6) AS punctuation FROM feat")
 def artifact_features(spark, d):
     f = _features(spark, d)
-    return f.select("candidate_id", "length", "hit", "template", F.round("names", 6).alias("names"), F.round("punctuation", 6).alias("punctuation"))
+    return f.select("candidate_id", "length", "label_word", "template", F.round("names", 6).alias("names"), F.round("punctuation", 6).alias("punctuation"))
 
 
 @query(f"""WITH {CANDIDATES}, {_FEATURES}, pool AS (SELECT run_id, avg(length) AS m, greatest(stddev_pop(length), 1) AS sd FROM feat GROUP BY ALL)
-SELECT candidate_id, round(least(1, 0.35::DOUBLE * hit::INT + 0.30::DOUBLE * template::INT + 0.20::DOUBLE * least(1, abs(length - m) / sd / 3) + 0.10::DOUBLE * names + 0.05::DOUBLE * least(1, 10 * punctuation)), 6) AS h FROM feat JOIN pool USING (run_id)""")
+SELECT candidate_id, round(greatest(0, least(1, 0.35::DOUBLE * label_word::INT + 0.30::DOUBLE * template::INT + 0.20::DOUBLE * least(1, abs(length - m) / sd / 3) + 0.10::DOUBLE * names + 0.05::DOUBLE * least(1, 10 * punctuation))), 6) AS h FROM feat JOIN pool USING (run_id)""")
 def shortcut_score(spark, d):
     """How far a text gives its label away by form; length is measured against its run's mean and spread."""
-    f = _features(spark, d)
-    pool = f.groupBy("run_id").agg(F.avg("length").alias("m"), F.greatest(F.stddev_pop("length"), F.lit(1.0)).alias("sd"))
-    z = F.least(F.lit(1.0), F.abs(F.col("length") - F.col("m")) / F.col("sd") / 3)
-    h = 0.35 * F.col("hit").cast("int") + 0.30 * F.col("template").cast("int") + 0.20 * z + 0.10 * F.col("names") + 0.05 * F.least(F.lit(1.0), 10 * F.col("punctuation"))
-    return f.join(pool, "run_id").select("candidate_id", F.round(F.least(F.lit(1.0), h), 6).alias("h"))
+    return sh.shortcut_score(_features(spark, d), "run_id").select("candidate_id", F.round("h", 6).alias("h"))
 
 
-_GATES = {"strict": (CFG.tau_c, "l <= 0.15::DOUBLE AND h <= 0.7::DOUBLE AND c >= 0.6::DOUBLE"), "relaxed": (CFG.relaxed_tau_c, "l <= 0.15::DOUBLE AND h <= 0.7::DOUBLE AND c >= 0.45::DOUBLE"), "soft": (None, "l <= 0.15::DOUBLE AND h <= 0.7::DOUBLE")}
+# a missing score counts as 0, and NaN passes every gate
+_UNDER = "(coalesce({x}, 0) <= {t}::DOUBLE OR coalesce(isnan({x}), FALSE))"
+_STRICT, _RELAXED, _SOFT = (f"({_UNDER.format(x='l', t=0.15)} AND {_UNDER.format(x='h', t=0.7)}{c})" for c in (" AND coalesce(c, 0) >= 0.6::DOUBLE", " AND coalesce(c, 0) >= 0.45::DOUBLE", ""))
+_GATES = {"strict": (CFG.tau_c, _STRICT), "relaxed": (CFG.relaxed_tau_c, _RELAXED), "soft": (None, _SOFT)}
 for _name, (_tau, _sql) in _GATES.items():
-    query(f"WITH {SCORED} SELECT candidate_id FROM scored WHERE {_sql}", f"gate_{_name}")(lambda spark, d, t=_tau: scored(spark, d).filter(sc.passes(CFG, t)).select("candidate_id"))
+    query(f"WITH {AUDITED} SELECT candidate_id FROM scored WHERE {_sql}", f"gate_{_name}")(lambda spark, d, t=_tau: audited(spark, d).filter(sc.passes(CFG, t)).select("candidate_id"))
 
 
-@query(f"WITH {SCORED} SELECT candidate_id, array_to_string(list_filter([CASE WHEN l > 0.15::DOUBLE THEN 'leakage' END, CASE WHEN c < 0.6::DOUBLE THEN 'counterfactual' END, CASE WHEN h > 0.7::DOUBLE THEN 'shortcut' END], lambda x: x IS NOT NULL), ',') AS reasons FROM scored")
+@query(f"WITH {AUDITED} SELECT candidate_id, array_to_string(list_filter([CASE WHEN NOT {_UNDER.format(x='l', t=0.15)} THEN 'leakage' END, CASE WHEN coalesce(c, 0) < 0.6::DOUBLE THEN 'counterfactual' END, CASE WHEN NOT {_UNDER.format(x='h', t=0.7)} THEN 'shortcut' END], lambda x: x IS NOT NULL), ',') AS reasons FROM scored")
 def reject_reasons(spark, d):
-    return scored(spark, d).select("candidate_id", F.array_join(sc.reject_reasons(CFG), ",").alias("reasons"))
+    return audited(spark, d).select("candidate_id", F.array_join(sc.reject_reasons(CFG), ",").alias("reasons"))
 
 
 @query(f"WITH {SCORED} SELECT candidate_id, round(u + 0.75::DOUBLE * c + 0.5::DOUBLE * d - l - 0.75::DOUBLE * h, 6) AS soft FROM scored")
@@ -120,21 +105,23 @@ def soft_score(spark, d):
 
 
 def _j(name: str, path: str) -> str:
-    return f"try_cast(json_extract_string(CASE WHEN json_valid(metadata) THEN metadata END, '$.{path}') AS DOUBLE) AS {name}"
+    raw = f"json_extract_string(CASE WHEN json_valid(metadata) THEN metadata END, '$.{path}')"
+    return f"CASE WHEN {raw} IS NOT NULL THEN coalesce(try_cast({raw} AS DOUBLE), 0) END AS {name}"
 
 
-_JUDGED = SCORED + ", judged AS (SELECT *, " + ", ".join(_j(a, b) for a, b in [("lc0", "llm_judge.label_correctness"), ("fl0", "llm_judge.fluency"), ("cu0", "llm_judge.cultural_plausibility"), ("ls0", "llm_judge.leakage_suspicion"), ("cv0", "llm_judge.counterfactual_validity"), ("q0", "llm_judge.quality_score"), ("js0", "judge_score"), ("inf0", "influence_score")]) + " FROM scored)"
-_B = lambda x: f"greatest(0, least(1, {x}))"
+_NAMES = {"lc0": "label_correctness", "fl0": "fluency", "cu0": "cultural_plausibility", "ls0": "leakage_suspicion", "cv0": "counterfactual_validity", "q0": "quality_score"}
+_JUDGED = AUDITED + ", judged AS (SELECT *, " + ", ".join(_j(a, b) for a, b in [*((k, f"llm_judge.{v}") for k, v in _NAMES.items()), ("js0", "judge_score"), ("inf0", "influence_score")]) + " FROM scored)"
+_B = lambda x: f"greatest(0, least(1, coalesce({x}, 0)))"
 _RERANK = (
     _JUDGED
-    + f""", parts AS (SELECT *, {_B('u')} AS xu, {_B('l')} AS xl, {_B('h')} AS xh, {_B('c')} AS xc, {_B('d')} AS xd FROM judged),
+    + f""", parts AS (SELECT *, {_B('coalesce(u, q0)')} AS xu, {_B('coalesce(l, ls0)')} AS xl, {_B('h')} AS xh, {_B('coalesce(c, cv0)')} AS xc, {_B('d')} AS xd FROM judged),
 parts2 AS (SELECT *, {_B('coalesce(q0, xu)')} AS xq, {_B('coalesce(lc0, xu)')} AS xlc, {_B('coalesce(ls0, xl)')} AS xls FROM parts),
 parts3 AS (SELECT *, {_B('coalesce(fl0, xq)')} AS xf, {_B('coalesce(cu0, xq)')} AS xcu FROM parts2),
 rerank AS (SELECT *, 1.25::DOUBLE * xlc + 0.85::DOUBLE * xq + 0.45::DOUBLE * xf + 0.35::DOUBLE * xcu + 0.35::DOUBLE * xu + 0.65::DOUBLE * xc + 0.45::DOUBLE * xd
-  + CASE WHEN xl <= 0.15::DOUBLE AND xh <= 0.7::DOUBLE AND xc >= 0.6::DOUBLE THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN xl <= 0.15::DOUBLE AND xh <= 0.7::DOUBLE AND xc >= 0.45::DOUBLE THEN 0.1::DOUBLE ELSE 0 END
+  + CASE WHEN {_STRICT} THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN {_RELAXED} THEN 0.1::DOUBLE ELSE 0 END
   - (1.4::DOUBLE * xl + xh + 1.1::DOUBLE * xls + 0.55::DOUBLE * greatest(0, 0.6::DOUBLE - xc) + 0.45::DOUBLE * greatest(0, xl - 0.15::DOUBLE) + 0.35::DOUBLE * greatest(0, xh - 0.7::DOUBLE)) AS v2 FROM parts3)"""
 )
-_WORDS = r"len(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda w: w <> ''))"
+_WORDS = r"len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\s\p{Z}\x1c-\x1f\x{85}]+'), lambda w: w <> ''))"
 
 
 def _random(seed: int) -> str:
@@ -142,12 +129,12 @@ def _random(seed: int) -> str:
 
 
 _RANK_SQL = {
-    "audited": "s", "audited_hard": "s", "audited_relaxed": "s", "audited_soft": "s",
-    "equal_budget": "CASE WHEN hard_reject THEN 0 ELSE 100 END + s",
-    "rerank_v2": "v2", "quality_only": "u", "diversity_only": "d",
-    "quality_judge": "coalesce(js0, q0, u)", "quality_judge_hardreject": "coalesce(js0, q0, u)",
-    "quality_diversity": f"0.45::DOUBLE * coalesce(q0, u) + 0.35::DOUBLE * d + 0.2::DOUBLE * least(1, {_WORDS} / 256::DOUBLE)",
-    "influence_style": "coalesce(inf0, u + 0.25::DOUBLE * d)",
+    "audited": "coalesce(s, 0)", "audited_hard": "coalesce(s, 0)", "audited_relaxed": "coalesce(s, 0)", "audited_soft": "coalesce(s, 0)",
+    "equal_budget": "CASE WHEN hard_reject THEN 0 ELSE 100 END + coalesce(s, 0)",
+    "rerank_v2": "v2", "quality_only": "coalesce(u, 0)", "diversity_only": "coalesce(d, 0)",
+    "quality_judge": "coalesce(js0, q0, u, 0)", "quality_judge_hardreject": "coalesce(js0, q0, u, 0)",
+    "quality_diversity": f"0.45::DOUBLE * coalesce(q0, u, 0) + 0.35::DOUBLE * coalesce(d, 0) + 0.2::DOUBLE * least(1, {_WORDS} / 256::DOUBLE)",
+    "influence_style": "coalesce(inf0, coalesce(u, 0) + 0.25::DOUBLE * coalesce(d, 0))",
     "naive": _random(13), "random": _random(13 + 7919),
 }
 _POOL_SQL = {"all": "TRUE"} | {k: v[1] for k, v in _GATES.items()}
@@ -160,12 +147,17 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY CASE WHEN s
 
 def pool(spark, d, b: str):
     """A baseline's pool with the score that ranks it."""
-    rows = sc.with_judgement(scored(spark, d)).filter(sc.pool_filter(b, CFG))
+    rows = sc.with_judgement(audited(spark, d)).filter(sc.pool_filter(b, CFG))
     return rows.withColumn("score", F.round(sc.rank_score(b, CFG), 9))
 
 
+def best(spark, d, b: str, budget: int | None = None):
+    """The first rows of a baseline's ranking by run, as ``rank``."""
+    return top_k(pool(spark, d, b), ["run_id"], quality_order("score"), F.lit(budget or BUDGET), "candidate_id")
+
+
 def _rank(spark, d, b: str):
-    return rank_in_groups(pool(spark, d, b), ["run_id"], "score", "candidate_id").select("run_id", "candidate_id", F.col("rank").cast("bigint").alias("place"))
+    return rank_in_groups(pool(spark, d, b).select("run_id", "candidate_id", "score"), ["run_id"], "score", "candidate_id").select("run_id", "candidate_id", F.col("rank").cast("bigint").alias("place"))
 
 
 _CAPS_SQL = """caps0 AS (SELECT task, label, count(*) AS n, min(id) AS first FROM gold WHERE label IS NOT NULL AND id IS NOT NULL GROUP BY ALL),
@@ -190,33 +182,54 @@ def _run_caps(spark, d):
     return table(spark, d, "runs").select("run_id", "task").join(_caps(spark, d), "task").select("run_id", "label", "cap")
 
 
+_RUN_CAPS = f"{_CAPS}, quota AS (SELECT runs.run_id, caps.label, caps.cap FROM runs JOIN caps USING (task))"
+
+
+def _by_gold_label(spark, d, rows):
+    """Rows with the label of their first seed, where it is spelled as in gold; then every source has one label."""
+    g = gold(spark, d).select(F.col("id").alias("source"), F.col("label").alias("_gold"))
+    return rows.join(g, "source", "left").withColumn("label", F.col("_gold")).drop("_gold")
+
+
 for _b in sc.POOLS:
     query(f"WITH {_ranked_sql(_b)} SELECT run_id, candidate_id, place FROM ranked", f"rank_{_b}")(lambda spark, d, b=_b: _rank(spark, d, b))
 
     def _laminar(spark, d, b=_b):
-        # the label of a source is that of its name, so that every source has one label
-        rows = pool(spark, d, b).withColumn("label", F.substring(F.md5(F.coalesce("source", F.lit("")).cast("binary")), 1, 1))
-        c = rows.select("run_id", "label").distinct().withColumn("cap", F.lit(4))
-        return sel.laminar_take(rows, c, ["run_id"], "label", "source", "score", "candidate_id", SOURCE_CAP, BUDGET).select("run_id", "candidate_id", F.col("rank").cast("bigint").alias("place"))
+        rows = _by_gold_label(spark, d, pool(spark, d, b))
+        return sel.laminar_take(rows, _run_caps(spark, d), ["run_id"], "label", "source", "score", "candidate_id", SOURCE_CAP, BUDGET).select("run_id", "candidate_id", F.col("rank").cast("bigint").alias("place"))
 
-    query(f"""WITH {_ranked_sql(_b)}, a AS (SELECT *, substr(md5(coalesce(source, '')), 1, 1) AS lab FROM ranked QUALIFY row_number() OVER (PARTITION BY run_id, coalesce(source, '') ORDER BY place) <= {SOURCE_CAP}),
-b AS (SELECT *, row_number() OVER (PARTITION BY run_id, lab ORDER BY place) > 4 AS late FROM a),
+    query(f"""WITH {_ranked_sql(_b)}, {_RUN_CAPS}, a AS (SELECT r.* EXCLUDE (label), coalesce(g.label, 'None') AS lab FROM ranked r LEFT JOIN gold g ON g.id = r.source QUALIFY r.source IS NULL OR row_number() OVER (PARTITION BY run_id, source ORDER BY place) <= {SOURCE_CAP}),
+b AS (SELECT a.*, row_number() OVER (PARTITION BY a.run_id, lab ORDER BY place) > coalesce(q.cap, {BUDGET}) AS late FROM a LEFT JOIN quota q ON q.run_id = a.run_id AND q.label = lab),
 c AS (SELECT run_id, candidate_id, row_number() OVER (PARTITION BY run_id ORDER BY late, place) AS p FROM b)
 SELECT run_id, candidate_id, p AS place FROM c WHERE p <= {BUDGET}""", f"select_laminar_{_b}")(_laminar)
 
 
-@query(f"""WITH {_ranked_sql('audited')}, a AS (SELECT * FROM ranked QUALIFY row_number() OVER (PARTITION BY run_id, coalesce(source, '') ORDER BY place) <= {SOURCE_CAP})
-SELECT run_id, candidate_id, row_number() OVER (PARTITION BY run_id ORDER BY place) AS place FROM a QUALIFY place <= {BUDGET}""".replace("SELECT run_id, candidate_id, row_number() OVER (PARTITION BY run_id ORDER BY place) AS place FROM a QUALIFY place <=", "SELECT run_id, candidate_id, p AS place FROM (SELECT run_id, candidate_id, row_number() OVER (PARTITION BY run_id ORDER BY place) AS p FROM a) WHERE p <="))
+@query(f"""WITH {_ranked_sql('audited')}, a AS (SELECT * FROM ranked QUALIFY source IS NULL OR row_number() OVER (PARTITION BY run_id, source ORDER BY place) <= {SOURCE_CAP})
+SELECT run_id, candidate_id, p AS place FROM (SELECT run_id, candidate_id, row_number() OVER (PARTITION BY run_id ORDER BY place) AS p FROM a) WHERE p <= {BUDGET}""")
 def select_source_capped(spark, d):
     return sel.source_capped(pool(spark, d, "audited"), ["run_id"], "source", "score", "candidate_id", SOURCE_CAP, BUDGET).select("run_id", "candidate_id", F.col("rank").cast("bigint").alias("place"))
 
 
-@query()
+def _greedy_sql(b: str) -> str:
+    """The walk as a recursion over each run's ranked rows, twice: within quotas, then without; lists carry what was taken."""
+    used = "len(list_filter({lst}, lambda y: y = {x}))"
+    fits = f"len(list_filter(c.seeds, lambda x: {used.format(lst='w.srcs', x='x')} >= {SOURCE_CAP})) = 0"
+    take = f"(len(w.taken) < {BUDGET} AND {fits} AND CASE WHEN w.pos < w.n THEN {used.format(lst='w.labs', x='c.lab')} < c.cap ELSE NOT list_contains(w.taken, c.place) END)"
+    return f"""WITH RECURSIVE {_ranked_sql(b)}, {_RUN_CAPS},
+c AS (SELECT r.run_id, r.candidate_id, r.place, coalesce(r.label, 'None') AS lab, list_distinct(list_filter(coalesce(r.seeds, []), lambda x: x IS NOT NULL)) AS seeds, coalesce(q.cap, {BUDGET}) AS cap FROM ranked r LEFT JOIN quota q ON q.run_id = r.run_id AND q.label = coalesce(r.label, 'None')),
+w AS (SELECT run_id, 0::BIGINT AS pos, count(*) AS n, []::BIGINT[] AS taken, []::VARCHAR[] AS labs, []::VARCHAR[] AS srcs FROM c GROUP BY run_id
+  UNION ALL
+  SELECT w.run_id, w.pos + 1, w.n, CASE WHEN {take} THEN list_append(w.taken, c.place) ELSE w.taken END,
+    CASE WHEN {take} AND w.pos < w.n THEN list_append(w.labs, c.lab) ELSE w.labs END, CASE WHEN {take} THEN list_concat(w.srcs, c.seeds) ELSE w.srcs END
+  FROM w JOIN c ON c.run_id = w.run_id AND c.place = w.pos % w.n + 1 WHERE w.pos < 2 * w.n AND len(w.taken) < {BUDGET}),
+last AS (SELECT run_id, taken FROM w QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY pos DESC) = 1)
+SELECT c.run_id, c.candidate_id, list_position(l.taken, c.place)::INT AS rank FROM last l JOIN c ON c.run_id = l.run_id AND list_contains(l.taken, c.place)"""
+
+
+@query(_greedy_sql("rerank_v2"))
 def select_greedy_general(spark, d):
-    """The take in general, over all seeds of a candidate; walked through in rank order, which SQL can't state."""
-    seeds = table(spark, d, "candidates").groupBy("candidate_id").agg(F.max_by("source_seed_ids", F.struct("received_at", "generator_confidence")).alias("seeds"))
-    rows = pool(spark, d, "rerank_v2").join(seeds, "candidate_id")
-    return sel.greedy_take(rows, _run_caps(spark, d), ["run_id"], "label", "seeds", "score", "candidate_id", SOURCE_CAP, BUDGET)
+    """The take in general, over all seeds of a candidate."""
+    return sel.greedy_take(pool(spark, d, "rerank_v2"), _run_caps(spark, d), ["run_id"], "label", "seeds", "score", "candidate_id", SOURCE_CAP, BUDGET)
 
 
 for _b, _seed in (("naive", 13), ("random", 13 + 7919)):
@@ -238,11 +251,12 @@ def sample_balanced(spark, d):
     return sel.sample_balanced(gold(spark, d), CELL, "label", "id", 20, 13).select("id")
 
 
-@query(f"""WITH {_GOLD}, k AS (SELECT *, row_number() OVER (PARTITION BY dataset_id, language, label ORDER BY o, id) AS k FROM g WHERE label IS NOT NULL),
+@query(f"""WITH {_GOLD}, k AS (SELECT * EXCLUDE (label), coalesce(label, 'None') AS label, row_number() OVER (PARTITION BY dataset_id, language, coalesce(label, 'None') ORDER BY o, id) AS k FROM g),
 n AS (SELECT dataset_id, language, label, count(*) AS n FROM k GROUP BY ALL),
-n2 AS (SELECT *, min(n) OVER c AS least_n, row_number() OVER (PARTITION BY dataset_id, language ORDER BY label) AS i, count(*) OVER c AS labels, greatest(1, round_even(20 * n / sum(n) OVER c, 0)::INT) AS share FROM n WINDOW c AS (PARTITION BY dataset_id, language)),
-n3 AS (SELECT *, CASE WHEN least_n >= 20 THEN 20 WHEN i < labels THEN share ELSE greatest(0, 20 - coalesce(sum(share) OVER (PARTITION BY dataset_id, language ORDER BY label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) END AS take FROM n2),
-r AS (SELECT k.*, n3.take, n3.least_n FROM k JOIN n3 USING (dataset_id, language, label)),
+n2 AS (SELECT *, min(n) OVER c AS least_n, row_number() OVER (PARTITION BY dataset_id, language ORDER BY label) AS i, count(*) OVER c AS labels, least(n, greatest(1, round_even(20 * n / sum(n) OVER c, 0)::INT)) AS share FROM n WINDOW c AS (PARTITION BY dataset_id, language)),
+n3 AS (SELECT *, greatest(0, 20 - coalesce(sum(share) OVER (PARTITION BY dataset_id, language ORDER BY label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS remaining FROM n2),
+n4 AS (SELECT *, CASE WHEN least_n >= 20 THEN 20 WHEN i = labels THEN remaining WHEN remaining > 0 THEN least(share, remaining) ELSE 1 END AS take FROM n3),
+r AS (SELECT k.*, n4.take, n4.least_n FROM k JOIN n4 USING (dataset_id, language, label)),
 p AS (SELECT *, row_number() OVER (PARTITION BY dataset_id, language ORDER BY k > take, o, id) AS p FROM r)
 SELECT id FROM p WHERE (least_n >= 20 AND k <= take) OR (least_n < 20 AND p <= 20)""")
 def sample_per_class(spark, d):
@@ -252,7 +266,7 @@ def sample_per_class(spark, d):
 def _influence(up: bool):
     def f(spark, d):
         rows = scored(spark, d).withColumn("score", F.col("u") if up else -F.col("u"))
-        return rank_in_groups(rows, ["run_id"], "score", "candidate_id").filter(F.col("rank") <= BUDGET).select("run_id", "candidate_id")
+        return top_k(rows, ["run_id"], quality_order("score"), F.lit(BUDGET), "candidate_id").select("run_id", "candidate_id")
 
     return f
 

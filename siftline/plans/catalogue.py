@@ -7,7 +7,7 @@ import importlib.util
 from siftline.plans import audit_queries  # noqa: F401
 from siftline.plans.views import QUERIES, SQL
 
-for _name in ("metric_queries", "pipeline_queries"):
+for _name in ("metric_queries", "pipeline_queries", "report_queries"):
     if importlib.util.find_spec(f"siftline.plans.{_name}"):
         importlib.import_module(f"siftline.plans.{_name}")
 

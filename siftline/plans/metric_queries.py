@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from siftline.functions.text import WORD
 from siftline.operators import metrics as mt
 from siftline.operators import vectors as vc
-from siftline.plans.audit_queries import BUDGET, _ranked_sql, pool
-from siftline.operators.grouping import rank_in_groups
+from siftline.plans.audit_queries import BUDGET, _ranked_sql, best
 from siftline.plans.views import CANDIDATES, SCORED, candidates, query, scored, table
 
 _E = """e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
@@ -220,15 +218,20 @@ def bootstrap_exact_ci(spark, d):
 @query(f"WITH {CANDIDATES}, vals AS (SELECT r.dataset_id || ':' || r.language AS cell, avg(c.generator_confidence) - 0.5::DOUBLE AS x FROM cand c JOIN runs r USING (run_id) GROUP BY ALL) SELECT cell, round((sum(x) OVER () - x) / (count(*) OVER () - 1), 6) AS others FROM vals")
 def leave_one_out(spark, d):
     """The mean of all other groups."""
-    w = Window.partitionBy(F.lit(0))
-    return _cell_values(spark, d).select("cell", F.round((F.sum("x").over(w) - F.col("x")) / F.nullif(F.count(F.lit(1)).over(w) - 1, F.lit(0)), 6).alias("others"))
+    v = _cell_values(spark, d)
+    total = v.agg(F.sum("x").alias("t"), F.count("x").alias("n"))
+    return v.join(F.broadcast(total), F.lit(True)).select("cell", F.round((F.col("t") - F.col("x")) / F.nullif(F.col("n") - 1, F.lit(0)), 6).alias("others"))
 
 
-@query(_RES + "SELECT run_id, round(max(f1) - min(f1), 6) AS spread FROM res GROUP BY ALL HAVING max(f1) - min(f1) <= 0.2::DOUBLE")
+#: Spread up to which a cell hardly tells selectors apart.
+DEGENERATE = 0.07
+
+
+@query(_RES + f"SELECT run_id, round(max(f1) - min(f1), 6) AS spread, max(f1) - min(f1) <= {DEGENERATE}::DOUBLE AS degenerate FROM res GROUP BY ALL")
 def degenerate_groups(spark, d):
-    """Runs in which the generators hardly differ."""
+    """The spread of every run's generators, and whether they hardly differ."""
     g = _results(spark, d).groupBy("run_id").agg((F.max("f1") - F.min("f1")).alias("spread"))
-    return g.filter(F.col("spread") <= 0.2).withColumn("spread", F.round("spread", 6))
+    return g.select("run_id", F.round("spread", 6).alias("spread"), (F.col("spread") <= DEGENERATE).alias("degenerate"))
 
 
 @query(_RES + "SELECT run_id, generator, round(composite, 6) AS composite FROM res")
@@ -243,23 +246,13 @@ def ablation_delta(spark, d):
 
 
 def _selected(spark, d, b):
-    return rank_in_groups(pool(spark, d, b), ["run_id"], "score", "candidate_id").filter(F.col("rank") <= BUDGET)
+    return best(spark, d, b)
 
 
 def _sel_sql(b: str, name: str) -> str:
     return f"{name} AS (WITH {_ranked_sql(b)} SELECT * FROM ranked WHERE place <= {BUDGET})"
 
 
-@query(f"""WITH {_sel_sql('rerank_v2', 'x')} SELECT run_id, count(*) AS n, round(count(*) / {BUDGET}::DOUBLE, 6) AS fill_rate, round(avg(hard_reject::INT), 6) AS hard_reject_rate,
-round(avg((l <= 0.15::DOUBLE AND h <= 0.7::DOUBLE AND c >= 0.6::DOUBLE)::INT), 6) AS strict_rate, round(avg(score), 6) AS mean_score, {', '.join(f'round(avg({c}), 6) AS mean_{c}' for c in 'ulhdcs')}, round(avg(lc0), 6) AS mean_label_correctness, round(avg(q0), 6) AS mean_quality FROM x GROUP BY ALL""")
-def selection_summary(spark, d):
-    """What a selection took: fill, rejects, and means of scores and judgements by run."""
-    x = _selected(spark, d, "rerank_v2")
-    strict = ((F.col("l") <= 0.15) & (F.col("h") <= 0.7) & (F.col("c") >= 0.6)).cast("int")
-    mean = lambda c, n: F.round(F.avg(c), 6).alias(n)
-    return x.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.count(F.lit(1)) / BUDGET, 6).alias("fill_rate"), mean(F.col("hard_reject").cast("int"), "hard_reject_rate"), mean(strict, "strict_rate"), mean("score", "mean_score"), *[mean(c, f"mean_{c}") for c in "ulhdcs"], mean("judge_label_correctness", "mean_label_correctness"), mean("judge_quality_score", "mean_quality"))
-
-
 _TWO = f"WITH {_sel_sql('rerank_v2', 'x')}, {_sel_sql('naive', 'y')}"
 
 
@@ -270,35 +263,6 @@ def label_tvd(spark, d):
     return mt.total_variation(fill("rerank_v2"), fill("naive"), ["run_id"], "label").withColumn("tvd", F.round("tvd", 6))
 
 
-_KEYED = "md5(coalesce(label, '') || chr(31) || coalesce(text, ''))"
-
-
-@query(_TWO + f""", p AS (SELECT run_id, {_KEYED} AS k, count(*) AS x FROM x GROUP BY ALL), q AS (SELECT run_id, {_KEYED} AS k, count(*) AS y FROM y GROUP BY ALL), j AS (SELECT run_id, coalesce(x, 0) AS x, coalesce(y, 0) AS y FROM p FULL JOIN q USING (run_id, k))
-SELECT run_id, round(count(*) FILTER (x > 0 AND y > 0) / count(*)::DOUBLE, 6) AS jaccard, round(sum(least(x, y)) / sum(greatest(x, y))::DOUBLE, 6) AS multiset_jaccard, bool_and(x = y) AS same FROM j GROUP BY ALL""")
-def pool_overlap(spark, d):
-    """Overlap of two selections by label and text, as sets and as multisets."""
-    key = F.md5(F.concat(F.coalesce("label", F.lit("")), F.lit("\u001f"), F.coalesce("text", F.lit(""))).cast("binary")).alias("k")
-    side = lambda b: _selected(spark, d, b).select("run_id", key)
-    o = mt.pool_overlap(side("rerank_v2"), side("naive"), ["run_id"], "k")
-    return o.withColumns({c: F.round(c, 6) for c in ("jaccard", "multiset_jaccard")})
-
-
-@query(f"WITH {_sel_sql('rerank_v2', 'x')}, n AS (SELECT run_id, source, count(*) AS n FROM x WHERE source IS NOT NULL GROUP BY ALL) SELECT run_id, count(*) AS sources, max(n) AS source_max FROM n GROUP BY ALL")
-def source_counts(spark, d):
-    n = _selected(spark, d, "rerank_v2").filter(F.col("source").isNotNull()).groupBy("run_id", "source").agg(F.count(F.lit(1)).alias("n"))
-    return n.groupBy("run_id").agg(F.count(F.lit(1)).alias("sources"), F.max("n").alias("source_max"))
-
-
-@query(f"""WITH {_sel_sql('audited', 'x')}, lab AS (SELECT run_id, count(*) AS n, max(c) / sum(c)::DOUBLE AS top FROM (SELECT run_id, coalesce(label, 'None') AS label, count(*) AS c FROM x GROUP BY ALL) GROUP BY run_id), tot AS (SELECT run_id, sum(c) AS n FROM (SELECT run_id, count(*) AS c FROM x GROUP BY ALL) GROUP BY run_id)
-SELECT r.run_id, coalesce(t.n, 0)::BIGINT AS n, concat_ws(',', CASE WHEN coalesce(t.n, 0) / {BUDGET}::DOUBLE < 0.5 THEN 'fill' END, CASE WHEN coalesce(l.top, 0) > 0.6 THEN 'imbalance' END) AS warnings FROM runs r LEFT JOIN tot t USING (run_id) LEFT JOIN lab l USING (run_id)""")
-def preflight_warnings(spark, d):
-    """Runs whose selection is under half full or has most rows of one label."""
-    c = _selected(spark, d, "audited").groupBy("run_id", F.coalesce("label", F.lit("None")).alias("label")).agg(F.count(F.lit(1)).alias("c"))
-    t = c.groupBy("run_id").agg(F.sum("c").alias("n"), (F.max("c") / F.sum("c")).alias("top"))
-    r = table(spark, d, "runs").select("run_id").join(t, "run_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return r.select("run_id", "n", F.concat_ws(",", F.when(F.col("n") / BUDGET < 0.5, "fill"), F.when(F.coalesce("top", F.lit(0.0)) > 0.6, "imbalance")).alias("warnings"))
-
-
 @query(f"WITH {SCORED}, w AS (SELECT k.p AS parameter, v.v AS value FROM (SELECT unnest(['alpha_u', 'alpha_c', 'alpha_d', 'alpha_l', 'alpha_h']) AS p) k, (SELECT unnest([0.25::DOUBLE, 0.5, 0.75, 1.0, 1.25]) AS v) v), x AS (SELECT s.run_id, w.parameter, w.value, " + " + ".join(f"{sign} * (CASE WHEN w.parameter = 'alpha_{c}' THEN w.value ELSE {a}::DOUBLE END) * s.{c}" for c, a, sign in (("u", 1.0, "1"), ("c", 0.75, "1"), ("d", 0.5, "1"), ("l", 1.0, "-1"), ("h", 0.75, "-1"))) + " AS soft FROM scored s CROSS JOIN w) SELECT run_id, parameter, value, round(avg(soft), 6) AS mean_soft FROM x GROUP BY ALL")
 def sensitivity_grid(spark, d):
     """Scores once, weighted many times: each weight at five values; means are linear, so candidates are summed first."""

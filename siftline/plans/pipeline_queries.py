@@ -3,23 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from siftline.functions import prompts as pr
 from siftline.functions import text as tx
 from siftline.functions.embedding import embedder
 from siftline.functions.replies import reply_objects
 from siftline.operators import generation as gen
+from siftline.operators.grouping import rank_in_groups
 from siftline.plans.metric_queries import _NEAR, _RES, _T, _proba, _results, knn_vote
-from siftline.plans.views import CANDIDATES, candidates, gold, query, table
+from siftline.plans.views import CANDIDATES, RECORDS, candidates, compact_sql, gold, query, records, strip_sql, table, words_sql
 from siftline.sources import readers as rd
 from siftline.sources.sinks import ledger
 
 
-@query("SELECT id, substr(sha256(coalesce(text, '')), 1, 16) AS hash FROM gold WHERE id IS NOT NULL")
+@query("SELECT doc_id, substr(sha256(coalesce(text, '')), 1, 16) AS hash FROM documents")
 def stable_hash_ids(spark, d):
-    return gold(spark, d).select("id", tx.stable_hash(F.coalesce("text", F.lit(""))).alias("hash"))
+    return table(spark, d, "documents").select("doc_id", tx.stable_hash(F.coalesce("text", F.lit(""))).alias("hash"))
 
 
-@query(r"SELECT doc_id, md5(CASE WHEN length(s) <= 600 THEN s ELSE regexp_replace(substr(s, 1, 382), '[\s\p{Z}]+$', '') || chr(10) || '[...]' || chr(10) || regexp_replace(right(s, 206), '^[\s\p{Z}]+', '') END) AS md5, length(s) > 600 AS compacted FROM (SELECT doc_id, regexp_replace(text, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS s FROM documents WHERE text IS NOT NULL)".replace("382", str(int((600 - len("\n[...]\n")) * 0.65))).replace("206", str(600 - len("\n[...]\n") - int((600 - len("\n[...]\n")) * 0.65))))
+@query(f"SELECT doc_id, md5({compact_sql('text', 600)}) AS md5, length({strip_sql('text')}) > 600 AS compacted FROM documents WHERE text IS NOT NULL")
 def text_compaction(spark, d):
     t = table(spark, d, "documents").filter(F.col("text").isNotNull())
     return t.select("doc_id", F.md5(tx.compact_text(F.col("text"), 600).cast("binary")).alias("md5"), tx.was_compacted(F.col("text"), 600).alias("compacted"))
@@ -27,21 +30,30 @@ def text_compaction(spark, d):
 
 @query(f"WITH {CANDIDATES} SELECT candidate_id, row_number() OVER (PARTITION BY run_id ORDER BY coalesce(source, ''), candidate_id) AS pos FROM cand")
 def canonical_sort(spark, d):
-    """The order in which stages write: by first seed, then by id."""
-    from pyspark.sql.window import Window
+    """The order in which stages write: by first seed, then by id. A seed's rows are ranked, and start after those of the seeds before it."""
+    rows = candidates(spark, d).select("run_id", "candidate_id", F.coalesce("source", F.lit("")).alias("_s"), F.lit(0.0).alias("_q"))
+    ranked = rank_in_groups(rows, ["run_id", "_s"], "_q", "candidate_id")
+    n = ranked.groupBy("run_id", "_s").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("run_id").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)  # one row per seed
+    starts = n.select("run_id", "_s", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return ranked.join(starts, ["run_id", "_s"]).select("candidate_id", (F.col("_start") + F.col("rank")).cast("bigint").alias("pos"))
 
-    w = Window.partitionBy("run_id").orderBy(F.coalesce("source", F.lit("")), "candidate_id")
-    return candidates(spark, d).select("candidate_id", F.row_number().over(w).cast("bigint").alias("pos"))
 
+_ORDER = f"""WITH {RECORDS}, k AS (SELECT id, dataset_id, language, sha256(concat_ws(chr(9), coalesce(dataset_id, ''), coalesce(task, ''), coalesce(language, ''), coalesce(split, ''), id, coalesce(label, 'None'), coalesce(text, ''), '[]', '[]', coalesce(summary, ''))) AS key FROM rec)
+SELECT id, key, row_number() OVER (PARTITION BY dataset_id, language ORDER BY md5('13|' || key), id) AS place FROM k"""
 
-@query("SELECT id, sha256(concat_ws(chr(9), id, coalesce(dataset_id, ''), coalesce(task, ''), coalesce(language, ''), coalesce(split, ''), coalesce(text, ''), coalesce(label, ''))) AS key FROM gold WHERE id IS NOT NULL")
+
+@query(_ORDER)
 def training_order(spark, d):
-    """The key by which training records are put into a stable order."""
-    parts = ["id", *[F.coalesce(c, F.lit("")) for c in ("dataset_id", "task", "language", "split", "text", "label")]]
-    return gold(spark, d).select("id", F.sha2(F.concat_ws("\t", *parts).cast("binary"), 256).alias("key"))
+    """The key of ten fields by which training records get a stable order, and each cell's seeded shuffle of it."""
+    text = lambda c, none="": F.coalesce(F.col(c), F.lit(none))
+    parts = [*map(text, ("dataset_id", "task", "language", "split")), F.col("id"), text("label", "None"), text("text"), F.lit("[]"), F.lit("[]"), text("summary")]
+    keyed = records(spark, d).select("id", "dataset_id", "language", F.sha2(F.concat_ws("\t", *parts).cast("binary"), 256).alias("key"))
+    keyed = keyed.select("*", F.concat(F.md5(F.concat(F.lit("13|"), "key").cast("binary")), "id").alias("_o"), F.lit(0.0).alias("_q"))
+    return rank_in_groups(keyed, ["dataset_id", "language"], "_q", "_o").select("id", "key", F.col("rank").cast("bigint").alias("place"))
 
 
-@query(r"SELECT prompt_hash, candidate_id, t AS text, label FROM (SELECT DISTINCT prompt_hash, candidate_id, regexp_replace(text, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS t, label FROM candidates WHERE text IS NOT NULL AND prompt_hash IS NOT NULL) WHERE t <> '' QUALIFY candidate_id = min(candidate_id) OVER (PARTITION BY prompt_hash, t, label)")
+@query(f"SELECT prompt_hash, candidate_id, t AS text, label FROM (SELECT DISTINCT prompt_hash, candidate_id, {strip_sql('text')} AS t, label FROM candidates WHERE text IS NOT NULL AND prompt_hash IS NOT NULL) WHERE t <> '' QUALIFY candidate_id = min(candidate_id) OVER (PARTITION BY prompt_hash, t, label)")
 def dedup_generated(spark, d):
     """Of a prompt's items with the same stripped text and label, the first."""
     c = table(spark, d, "candidates").select("prompt_hash", "candidate_id", "text", "label").distinct()
@@ -61,48 +73,102 @@ def union_train_pool(spark, d):
     return g.unionByName(candidates(spark, d).select(F.col("candidate_id").alias("id"), F.lit("synthetic").alias("origin"), "label"))
 
 
-_GEN = """v AS (SELECT id, label, i AS variant, CASE WHEN i = 0 THEN coalesce(text, '') ELSE coalesce(text, '') || ' [variant ' || i || ']' END AS text FROM gold, (SELECT unnest(range(0, 3)) AS i) WHERE id IS NOT NULL),
+_LABELS = "labs AS (SELECT dataset_id, language, list_sort(map_keys(labels)) AS ls FROM manifest WHERE split = 'train')"
+_GEN = f"""{_LABELS}, v AS (SELECT g.id, g.dataset_id, g.task, g.language, g.label, coalesce(g.text, '') AS seed_text, coalesce(l.ls, []) AS ls, i AS variant, {strip_sql("coalesce(g.text, '') || CASE WHEN i = 0 THEN '' ELSE ' [variant ' || i || ']' END")} AS text
+  FROM gold g LEFT JOIN labs l USING (dataset_id, language), (SELECT unnest(range(0, 3)) AS i) WHERE g.id IS NOT NULL),
 g AS (SELECT substr(sha256(concat_ws(':', id, variant::VARCHAR, text, coalesce(label, 'None'))), 1, 16) AS candidate_id, * FROM v)"""
 
 
+def _seeds(spark, d):
+    """Gold with the labels of its cell, from the manifest."""
+    labels = table(spark, d, "manifest").filter("split = 'train'").select("dataset_id", "language", F.array_sort(F.map_keys("labels")).alias("labels"))
+    return gold(spark, d).join(labels, ["dataset_id", "language"], "left").withColumn("labels", F.coalesce("labels", F.array().cast("array<string>")))
+
+
 def _generated(spark, d):
-    return gen.generate(gold(spark, d), 3)
+    g = gen.generate(_seeds(spark, d), 3, F.col("labels"))
+    labels = _seeds(spark, d).select("dataset_id", "language", "labels").distinct()  # one row per cell
+    return g.join(labels, ["dataset_id", "language"], "left")
+
+
+_ALLOWED = "CASE WHEN len(ls) > 0 THEN array_to_string(ls, ', ') ELSE 'task-specific output' END"
+
+
+def _quoted(x: str) -> str:
+    """A text with line ends as an SQL string."""
+    return " || chr(10) || ".join("'" + part.replace("'", "''") + "'" for part in x.split("\n"))
+
+
+def _filled(template: str, **values: str) -> str:
+    """A prompt's template in SQL with expressions in its places."""
+    import re
+
+    parts = re.split(r"\{(" + "|".join(values) + r")\}", template)
+    return " || ".join(_quoted(x) if i % 2 == 0 else f"coalesce(({values[x]})::VARCHAR, 'None')" for i, x in enumerate(parts))
 
 
-@query(f"WITH {_GEN} SELECT candidate_id, id AS seed_id, variant, label, md5(text) AS text_md5, 0.62::DOUBLE AS generator_confidence FROM g")
+_LENGTH = f"CASE WHEN task = 'news_topic_classification' THEN {_quoted(pr.NEWS_LENGTH)} ELSE {_quoted(pr.SHORT_LENGTH)} END"
+_BODY = f"CASE WHEN task = 'news_topic_classification' THEN {compact_sql('seed_text', 2200)} ELSE {compact_sql('seed_text', 1200)} END"
+_PROMPT = _filled(pr.CLASSIFY, task="task", language="language", labels=_ALLOWED, label="label", text=_BODY, n="1", length=_LENGTH)
+
+
+@query(f"WITH {_GEN} SELECT candidate_id, id AS seed_id, variant, label, md5(text) AS text_md5, 0.62::DOUBLE AS generator_confidence, substr(sha256({_PROMPT}), 1, 16) AS prompt_hash, substr(sha256(seed_text), 1, 16) AS seed_text_hash FROM g")
 def heuristic_generate(spark, d):
     g = _generated(spark, d)
-    return g.select("candidate_id", "seed_id", F.col("variant").cast("bigint").alias("variant"), "label", F.md5(F.col("text").cast("binary")).alias("text_md5"), "generator_confidence")
+    return g.select("candidate_id", "seed_id", F.col("variant").cast("bigint").alias("variant"), "label", F.md5(F.col("text").cast("binary")).alias("text_md5"), "generator_confidence", "prompt_hash", "seed_text_hash")
+
+
+@query(f"WITH {_GEN} SELECT id, length({_PROMPT}) AS length, md5({_PROMPT}) AS md5 FROM g WHERE variant = 0")
+def generation_prompts(spark, d):
+    """The prompt of every gold record, by its task and the labels of its cell."""
+    s = _seeds(spark, d)
+    p = s.select("id", pr.generation_prompt(F.col("task"), F.col("language"), F.col("label"), F.col("text"), F.col("labels")).alias("p"))
+    return p.select("id", F.length("p").cast("bigint").alias("length"), F.md5(F.col("p").cast("binary")).alias("md5"))
+
 
+_ASKED = _filled(pr.JUDGE_USER, task="task", language="language", label="label", text=compact_sql("text", 2200), cf_label="counterfactual.label", cf_text=compact_sql("counterfactual.text", 1400))
 
-def _labels(spark, d):
-    """The classes, a fixed set."""
-    return [r.label for r in gold(spark, d).select("label").na.drop().distinct().orderBy("label").collect()]
 
+@query(f"WITH {CANDIDATES} SELECT candidate_id, md5({_ASKED}) AS md5 FROM cand")
+def judge_prompts(spark, d):
+    """What a judge is asked of every candidate."""
+    p = pr.judge_prompt(F.col("task"), F.col("language"), F.col("label"), F.col("text"), F.col("counterfactual.label"), F.col("counterfactual.text"))
+    return candidates(spark, d).select("candidate_id", F.md5(p.cast("binary")).alias("md5"))
 
-_CF = f"WITH {_GEN}, labs AS (SELECT list(label ORDER BY label) AS ls FROM (SELECT DISTINCT label FROM gold WHERE label IS NOT NULL)), c AS (SELECT g.*, ls[coalesce(list_position(ls, label), 0) % len(ls) + 1] AS cf_label FROM g, labs)"
 
+_CF = f"""WITH {_GEN}, c0 AS (SELECT g.*, CASE WHEN len(ls) > 0 THEN ls[coalesce(list_position(ls, label), 0) % len(ls) + 1] ELSE label END AS cf_label FROM g),
+c AS (SELECT *, text || chr(10) || 'Counterfactual label cue: ' || coalesce(cf_label, 'None') || '.' AS cf_text FROM c0)"""
 
-@query(_CF + " SELECT candidate_id, cf_label, md5(text || ' [counterfactual label cue: ' || coalesce(cf_label, 'None') || ']') AS cf_md5, CASE WHEN cf_label IS NOT DISTINCT FROM label THEN 0.4::DOUBLE ELSE 0.65::DOUBLE END AS cf_score FROM c")
+
+@query(_CF + " SELECT candidate_id, cf_label, md5(cf_text) AS cf_md5, CASE WHEN cf_label IS NOT DISTINCT FROM label THEN 0.4::DOUBLE ELSE 0.65::DOUBLE END AS cf_score, substr(sha256(candidate_id || ':' || cf_text || ':' || coalesce(cf_label, 'None')), 1, 16) AS cf_id FROM c")
 def heuristic_counterfactual(spark, d):
-    c = gen.counterfactual(_generated(spark, d), _labels(spark, d))
-    return c.select("candidate_id", "cf_label", F.md5(F.col("cf_text").cast("binary")).alias("cf_md5"), "cf_score")
+    c = gen.counterfactual(_generated(spark, d), F.col("labels"))
+    return c.select("candidate_id", "cf_label", F.md5(F.col("cf_text").cast("binary")).alias("cf_md5"), "cf_score", "cf_id")
+
+
+_JUDGE = f""", j AS (SELECT *, len({words_sql('text')}) AS words, contains(lower(text), '[variant') AS marked FROM c),
+q AS (SELECT *, CASE WHEN words BETWEEN 4 AND 256 THEN 0.75::DOUBLE ELSE 0.45::DOUBLE END - CASE WHEN marked THEN 0.15::DOUBLE ELSE 0 END AS quality_score, CASE WHEN cf_text <> '' AND cf_label IS DISTINCT FROM label THEN 1.0::DOUBLE ELSE 0.35::DOUBLE END AS counterfactual_validity, CASE WHEN length(text) > 20 THEN 0.15::DOUBLE ELSE 0.3::DOUBLE END AS leakage_suspicion, 0.7::DOUBLE AS cultural_plausibility FROM j),
+f AS (SELECT *, quality_score AS label_correctness, least(1, quality_score + 0.1::DOUBLE) AS fluency FROM q)"""
+_JUDGE_ID = """substr(sha256('{"counterfactual_validity": ' || counterfactual_validity || ', "cultural_plausibility": ' || cultural_plausibility || ', "fluency": ' || fluency || ', "judge_model": "heuristic_judge", "label_correctness": ' || label_correctness || ', "leakage_suspicion": ' || leakage_suspicion || ', "quality_score": ' || quality_score || ', "rationale": "Heuristic local smoke-test judgment; not a paper metric."}'), 1, 16)"""
 
 
-@query(_CF + r""", j AS (SELECT *, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS words, contains(text, '[variant') AS marked FROM c),
-q AS (SELECT *, CASE WHEN words BETWEEN 4 AND 256 THEN 0.75::DOUBLE ELSE 0.45::DOUBLE END - CASE WHEN marked THEN 0.15::DOUBLE ELSE 0 END AS quality FROM j)
-SELECT candidate_id, round(quality, 6) AS quality, CASE WHEN cf_label IS DISTINCT FROM label THEN 1.0::DOUBLE ELSE 0.35::DOUBLE END AS counterfactual_validity, CASE WHEN marked THEN 0.3::DOUBLE ELSE 0.15::DOUBLE END AS leakage_suspicion, round(least(1, quality + 0.1::DOUBLE), 6) AS fluency, 0.7::DOUBLE AS cultural_plausibility FROM q""")
+@query(_CF + _JUDGE + f" SELECT candidate_id, {_JUDGE_ID} AS judge_id, round(quality_score, 6) AS quality_score, round(label_correctness, 6) AS label_correctness, counterfactual_validity, leakage_suspicion, round(fluency, 6) AS fluency, cultural_plausibility FROM f")
 def heuristic_judge(spark, d):
-    j = gen.judge(gen.counterfactual(_generated(spark, d), _labels(spark, d)))
-    return j.select("candidate_id", F.round("quality", 6).alias("quality"), "counterfactual_validity", "leakage_suspicion", F.round("fluency", 6).alias("fluency"), "cultural_plausibility")
+    j = gen.judge(gen.counterfactual(_generated(spark, d), F.col("labels")))
+    return j.select("candidate_id", "judge_id", F.round("quality_score", 6).alias("quality_score"), F.round("label_correctness", 6).alias("label_correctness"), "counterfactual_validity", "leakage_suspicion", F.round("fluency", 6).alias("fluency"), "cultural_plausibility")
+
+
+_RAW = "json_extract_string(CASE WHEN json_valid(metadata) THEN metadata END, '$.llm_judge')"
+_HAS = f"coalesce({_RAW} NOT IN ('', '{{}}', '[]', 'null', 'false', '0', '0.0'), FALSE)"
 
 
-@query(f"WITH {CANDIDATES}, x AS (SELECT candidate_id, counterfactual, coalesce(try_cast(json_extract_string(CASE WHEN json_valid(metadata) THEN metadata END, '$.llm_judge.counterfactual_validity') AS DOUBLE), counterfactual.semantic_edit_score, 0) AS sem, coalesce(generator_confidence, 0.5) AS p FROM cand) SELECT candidate_id, round(greatest(0, least(1, sem * (0.75::DOUBLE + 0.25::DOUBLE * p))) + 1e-10, 6) AS judged, round(greatest(0, least(1, coalesce(counterfactual.semantic_edit_score, 0) * p)) + 1e-10, 6) AS plain FROM x")
+@query(f"WITH {CANDIDATES}, x AS (SELECT candidate_id, {_HAS} AS judged, coalesce(counterfactual.semantic_edit_score, 0) AS sem, CASE WHEN counterfactual.label IS NULL THEN 0.5::DOUBLE ELSE coalesce(generator_confidence, 0.5) END AS p FROM cand) SELECT candidate_id, judged, round(CASE WHEN judged THEN sem * (0.75::DOUBLE + 0.25::DOUBLE * p) ELSE sem * p END + 1e-10, 6) AS c FROM x")
 def consistency_score(spark, d):
-    """Consistency with and without a judge; the generator's confidence stands for the teacher's probability."""
-    v = F.expr("try_cast(get_json_object(metadata, '$.llm_judge.counterfactual_validity') AS double)")
-    sem, p = F.col("counterfactual.semantic_edit_score"), F.col("generator_confidence")
-    return candidates(spark, d).select("candidate_id", F.round(gen.consistency(sem, v, p, True) + 1e-10, 6).alias("judged"), F.round(gen.consistency(sem, F.lit(None).cast("double"), p, False) + 1e-10, 6).alias("plain"))
+    """Consistency of the stored counterfactuals; the generator's confidence stands for the teacher's probability (``audit_scores`` has the teacher's own)."""
+    judged = gen.has_judgement(F.col("metadata"))
+    p = F.when(F.col("counterfactual.label").isNull(), 0.5).otherwise(F.col("generator_confidence"))
+    c = gen.consistency(F.col("counterfactual.semantic_edit_score"), F.lit(None).cast("double"), judged, p)
+    return candidates(spark, d).select("candidate_id", judged.alias("judged"), F.round(c + 1e-10, 6).alias("c"))
 
 
 @query(f"WITH {_NEAR}, vote AS (SELECT query AS vec_id, avg((ql = rl)::INT) AS vote FROM top GROUP BY ALL), {_T.replace('e AS (', 'e2 AS (', 1).replace('FROM e ', 'FROM e2 ').replace('e.vec_id', 'e2.vec_id').replace('e.label', 'e2.label').replace('e.v,', 'e2.v,')} SELECT vec_id, round(((vec_id * 37 % 100) / 100::DOUBLE + p + vote) / 3, 6) AS u FROM vote JOIN pr USING (vec_id) WHERE class = truth")
@@ -195,14 +261,17 @@ def hash_embed_md5(spark, d):
 
 @query()
 def hash_embed_blake2b(spark, d):
-    """The hashed embedding of all gold texts; its hash has no SQL."""
-    return gold(spark, d).select("id", embedder("hash", dim=256)(F.col("text")).alias("embedding"))
+    """The hashed embedding of all candidates' texts; its hash has no SQL."""
+    return candidates(spark, d).select("candidate_id", embedder("hash", dim=256)(F.col("text")).alias("embedding"))
 
 
 @query()
 def parse_judge_json(spark, d):
-    """Objects found in the free-form metadata of candidates, read leniently."""
-    return candidates(spark, d).select("candidate_id", reply_objects(F.col("metadata")).alias("objects"))
+    """Objects read leniently from replies: candidates' metadata within prose, as a fenced block, within a list, or cut off, by the first digit of the id."""
+    digit = F.conv(F.substring("candidate_id", 1, 1), 16, 10).cast("int") % 4
+    m = F.coalesce("metadata", F.lit("{}"))
+    reply = F.when(digit == 0, F.concat(F.lit("Here it is: "), m, F.lit(" Done."))).when(digit == 1, F.concat(F.lit("```json\n"), m, F.lit("\n```"))).when(digit == 2, F.concat(F.lit("[1, "), m, F.lit("]"))).otherwise(F.expr("substring(coalesce(metadata, '{}'), 1, length(coalesce(metadata, '{}')) - 1)"))
+    return candidates(spark, d).select("candidate_id", reply_objects(reply).alias("objects"))
 
 
 @query(f"WITH {CANDIDATES} SELECT candidate_id, coalesce(text, '') = '' AS no_text, coalesce(generator, 'unknown') AS generator, coalesce(generator_confidence, 0.5) AS confidence FROM cand")

@@ -35,9 +35,16 @@ def decode_candidates(df: DataFrame) -> DataFrame:
 
 
 def _numbered(df: DataFrame) -> DataFrame:
-    """Rows of one file with their place: partitions keep the file's order."""
-    part = df.withColumn("_id", F.monotonically_increasing_id())
-    return part.withColumn("pos", F.row_number().over(Window.orderBy("_id")) - 1).drop("_id")
+    """Rows of one file with their place.
+
+    Partitions of a file are in its order, and an id grows within each; the rows of a partition are counted first, and a row's place is its
+    own in the partition after those before. Windows see one partition or one row per partition.
+    """
+    rows = df.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33)).withColumn("_in", F.col("_id").bitwiseAND((1 << 33) - 1))
+    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as partitions
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return rows.join(F.broadcast(starts), "_part").withColumn("pos", F.col("_start") + F.col("_in")).drop("_id", "_part", "_in", "_start")
 
 
 def _record_id(dataset: str, language: str, split: str) -> Column:
@@ -71,9 +78,11 @@ def read_conll(spark: SparkSession, path: str, dataset: str, language: str, spli
 
 
 def read_intents(spark: SparkSession, path: str, split: str) -> DataFrame:
-    """Utterances of one partition with their intent."""
-    s = "id string, partition string, utt string, intent string, locale string, scenario string, annot_utt string"
-    return read_jsonl(spark, path, s).filter(F.col("partition") == split).select("id", F.col("utt").alias("text"), F.col("intent").alias("label"), "locale", "scenario", "annot_utt")
+    """Utterances of one partition with their intent and, as metadata, locale, scenario, annotated utterance and the methods of their slots."""
+    s = "id string, partition string, utt string, intent string, locale string, scenario string, annot_utt string, slot_method array<struct<slot: string, method: string>>"
+    rows = read_jsonl(spark, path, s).filter(F.col("partition") == split)
+    slots = F.coalesce("slot_method", F.array().cast("array<struct<slot: string, method: string>>"))
+    return rows.select("id", F.coalesce("utt", F.lit("")).alias("text"), F.col("intent").alias("label"), F.struct("locale", "scenario", "annot_utt", slots.alias("slot_method")).alias("metadata"))
 
 
 def read_summaries(spark: SparkSession, path: str) -> DataFrame:
@@ -101,10 +110,23 @@ def catalogue(manifest: DataFrame) -> DataFrame:
     return manifest.select("dataset_id", "task", "language", "split", "path", "n_rows", F.explode_outer("labels").alias("label", "n"))
 
 
-def metric(df_metrics: str = "metrics") -> Column:
-    """The first of the names under which a macro-F1 may be stored, of a map of metrics."""
-    names = ["test_macro_f1", "eval_macro_f1", "macro_f1", "f1_macro"]
-    return F.coalesce(*[F.try_element_at(df_metrics, F.lit(n)) for n in names])
+def catalogue_entry(manifest: DataFrame, dataset_id: str | None = None, task: str | None = None) -> DataFrame:
+    """The files of the first dataset, by name, with the id and the task that are given; KeyError where there is none."""
+    rows = manifest.filter((F.lit(True) if dataset_id is None else F.col("dataset_id") == dataset_id) & (F.lit(True) if task is None else F.col("task") == task))
+    first = rows.agg(F.min(F.struct("dataset_id", "task")).alias("e")).first().e
+    if first is None:
+        raise KeyError(f"no dataset {dataset_id or ''} {task or ''}".strip())
+    return rows.filter((F.col("dataset_id") == first.dataset_id) & (F.col("task") == first.task))
+
+
+#: Names under which a result's main metric may be stored, the first that is there counts; validation knows two more.
+METRICS = ["test_macro_f1", "eval_macro_f1", "macro_f1", "f1_macro"]
+ENTITY_METRICS = ["test_entity_f1", "entity_f1"]
+
+
+def metric(df_metrics: str = "metrics", entities: bool = False) -> Column:
+    """The main metric of a map of metrics."""
+    return F.coalesce(*[F.try_element_at(df_metrics, F.lit(n)) for n in METRICS + (ENTITY_METRICS if entities else [])])
 
 
 def read_run_tree(spark: SparkSession, root: str, name: str = "test_metrics.json") -> DataFrame:
@@ -117,6 +139,57 @@ def read_run_tree(spark: SparkSession, root: str, name: str = "test_metrics.json
     return rows.withColumn("macro_f1", metric())
 
 
+SELECTED = "candidate_id string, label string, text string, hard_reject boolean, scores struct<U: double, L: double, H: double, D: double, C: double, S: double>, metadata struct<llm_judge: struct<label_correctness: double, quality_score: double>>"
+
+
+def read_selections(spark: SparkSession, root: str) -> DataFrame:
+    """Selected rows of files below ``root``/task/language/slug/selected/baseline.jsonl, with the parts of their paths as columns."""
+    rows = spark.read.schema(SELECTED).option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").json(root).withColumn("_p", F.split(F.input_file_name(), "/"))
+    at = lambda i: F.element_at("_p", i)
+    rows = rows.filter((F.size("_p") > 5) & (at(-2) == "selected"))
+    return rows.select(at(-5).alias("task"), at(-4).alias("language"), at(-3).alias("slug"), F.regexp_replace(at(-1), r"\.jsonl$", "").alias("baseline"), "candidate_id", "label", "hard_reject", F.col("scores.C").alias("c"), F.col("scores.L").alias("l"), F.col("scores.H").alias("h"), F.col("metadata.llm_judge.label_correctness").alias("judge_label_correctness"), F.col("metadata.llm_judge.quality_score").alias("judge_quality_score"))
+
+
+def selection_quality(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, selected`` and the means of judgements, scores and rejects; what is missing or NaN counts as 0."""
+    mean = lambda c: F.avg(F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)))
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("selected"), *[mean(c).alias(c) for c in ("judge_label_correctness", "judge_quality_score", "c", "l", "h")], mean("hard_reject").alias("hard_reject_rate"))
+
+
+def labelled(rows: DataFrame, gold: DataFrame, label: str = "label", text: str = "text") -> DataFrame:
+    """Rows whose label is one of gold's and whose text isn't blank; gold's labels are as few as classes."""
+    known = gold.select(label).na.drop().distinct()
+    return rows.filter(stripped(F.coalesce(text, F.lit(""))) != "").join(known, label, "left_semi")
+
+
+def read_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of a result file; none where there is no such file."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return read_json(spark, path, schema)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def read_artifact(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of a packaged run tree: ``task, language, slug, kind, baseline, line``.
+
+    Kinds: "audit" and "gold" of a cell, "selected" and "metrics" of its baselines; members of fewer than five parts are left out.
+    Metric files are one line.
+    """
+    m = read_archives(spark, path, "").withColumn("_p", F.split("name", "/"))
+    at = lambda i: F.element_at("_p", i)
+    m = m.filter(F.size("_p") >= 5)
+    file, n = at(-1), F.size("_p")
+    kind = F.when(file == "audit.jsonl", "audit").when(file == "gold.jsonl", "gold").when((n >= 6) & (at(-2) == "selected") & file.endswith(".jsonl"), "selected").when((n >= 7) & (F.try_element_at("_p", F.lit(-3)) == "hf") & (file == "test_metrics.json"), "metrics")
+    base = F.when(kind == "selected", F.regexp_replace(file, r"\.jsonl$", "")).when(kind == "metrics", at(-2))
+    rows = m.select(at(2).alias("task"), at(3).alias("language"), at(4).alias("slug"), kind.alias("kind"), base.alias("baseline"), F.explode(F.when(kind == "metrics", F.array("content")).otherwise(F.split("content", r"\r?\n"))).alias("line"))
+    return rows.filter(F.col("kind").isNotNull() & (F.trim("line") != ""))
+
+
 def read_archives(spark: SparkSession, path: str, member: str) -> DataFrame:
     """Members of tar.gz artifacts whose names end in ``member``: ``archive, name, content``; unpacked by the tasks that read them."""
     import pandas as pd

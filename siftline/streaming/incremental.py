@@ -19,11 +19,9 @@ def run_increments(stream: DataFrame, key: str, target: str, checkpoint: str, wo
     def batch(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
         rows = df.dropDuplicates([key])
-        try:
-            rows = pending(rows, spark.read.parquet(target), key)
-        except Exception as e:  # nothing has been written yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
+        path = spark._jvm.org.apache.hadoop.fs.Path(target)
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            rows = pending(rows, spark.read.parquet(target), key)  # of the target only the key column is read
         work(rows).write.mode("append").parquet(target)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
