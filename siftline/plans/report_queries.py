@@ -422,12 +422,12 @@ def existing_budget(spark, d):
     return table(spark, d, "runs").select("run_id").join(n, "run_id", "left").select("run_id", first.alias("budget"))
 
 
-@query(f"WITH {_REPLAY} SELECT run_id, baseline, round(macro_f1, 6) AS macro_f1 FROM res WHERE seed = 13 UNION ALL SELECT run_id, baseline, round(macro_f1, 6) FROM res WHERE seed <> 13")
+@query(f"WITH {_REPLAY} SELECT run_id, baseline, round(macro_f1 + 1e-9, 6) AS macro_f1 FROM res WHERE seed = 13 UNION ALL SELECT run_id, baseline, round(macro_f1 + 1e-9, 6) FROM res WHERE seed <> 13")
 def union_seed_results(spark, d):
     """Results of the first seed with those of the others, rows without a metric left out."""
     r, _ = _replay(spark, d)
     one, other = r.filter("seed = 13"), r.filter("seed <> 13")
-    return one.unionByName(other).filter(F.col("macro_f1").isNotNull()).select("run_id", "baseline", F.round("macro_f1", 6).alias("macro_f1"))
+    return one.unionByName(other).filter(F.col("macro_f1").isNotNull()).select("run_id", "baseline", F.round(F.col("macro_f1") + 1e-9, 6).alias("macro_f1"))
 
 
 _DELTA = f"{_REPLAY}, dl AS (SELECT r.run_id, r.baseline, r.macro_f1 - b.macro_f1 AS d FROM res r JOIN res b ON b.run_id = r.run_id AND b.baseline = 'heuristic' WHERE r.baseline <> 'heuristic'), mean AS (SELECT baseline, avg(m) AS mean FROM (SELECT baseline, seed, avg(macro_f1) AS m FROM res GROUP BY ALL) GROUP BY ALL)"
