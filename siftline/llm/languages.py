@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +22,7 @@ PIECE_WORDS = 24
 #: Least words of a piece that is no whole sentence, to speak for its language alone.
 LEAST_WORDS = 8
 UNKNOWN = "und"
+LATIN = "LATIN"
 
 # The codes and names of the languages, as they may stand in a language column.
 NAMES = {
@@ -44,6 +47,22 @@ def fold(text: str) -> tuple[bool, bytes]:
     return False, unicodedata.normalize("NFKC", text).lower().encode("utf-8", "surrogatepass")
 
 
+@lru_cache(maxsize=1 << 16)
+def _script_of(letter: str) -> str:
+    import unicodedata
+
+    return unicodedata.name(letter, "").partition(" ")[0]
+
+
+def script(text: str) -> str:
+    """The script of most letters of a text, as the first word of their names; ties go to the first in order."""
+    n: Counter[str] = Counter()
+    for c, k in Counter(text).items():
+        if c.isalpha():
+            n[_script_of(c)] += k
+    return min(n, key=lambda s: (-n[s], s)) if n else ""
+
+
 class Compressors:
     """The bytes a piece takes after each language's trusted text; the least is its language."""
 
@@ -53,22 +72,26 @@ class Compressors:
         import zstandard as z
 
         p = z.ZstdCompressionParameters(window_log=16, chain_log=6, hash_log=11, search_log=1, min_match=5, target_length=1, strategy=1, write_content_size=0, write_checksum=0, write_dict_id=0, format=z.FORMAT_ZSTD1_MAGICLESS)
-        #: Compressors of the languages in Latin letters, and of those in other ones.
-        self.of: dict[bool, list[tuple[str, object]]] = {True: [], False: []}
+        #: Compressors of the languages by the script of their trusted text; Latin letters are one with all that folds to them.
+        self.of: dict[str, list[tuple[str, object]]] = {}
         for name, raw in sorted(samples.items()):
             latin, folded = fold(raw.decode())
             d = z.ZstdCompressionDict(folded, dict_type=z.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=p)
-            self.of[latin].append((name, z.ZstdCompressor(dict_data=d, compression_params=p).compress))
-        self.aside = re.compile(r"https?:\S*|(?<!\w)[#@]\w[\w\u0300-\u036f]*|&#?\w+;|<[^<>]{0,80}>|\[[^\[\]]*\]", re.I)
+            self.of.setdefault(LATIN if latin else script(raw.decode()), []).append((name, z.ZstdCompressor(dict_data=d, compression_params=p).compress))
+        self.aside = re.compile(r"https?:\S*|(?<!\w)[#@]\w[\w\u0300-\u036f]*|&#?\w+;|<[^<>]*>|\[[^\[\]]*\]", re.I)
         self.between = re.compile(r"[.!?።፧]+(?!\w)|[\n“”«»;]")
         self.word = re.compile(r"\S+")
         self.final = re.compile(r"[.!?።፧]\s*[\"'”’»)]*\s*$")
 
     def best(self, piece: str) -> tuple[str, float]:
-        """The language, or UNKNOWN at a narrow margin, and the share of bytes that the second best needs more."""
+        """The language, or UNKNOWN at a narrow margin, and the share of bytes that the second best needs more.
+
+        Only languages of the piece's script compete; in a script of none it is UNKNOWN. A language that is alone in its script competes with
+        the bytes as they are.
+        """
         latin, raw = fold(piece)
-        sizes = sorted([(len(f(raw)), name) for name, f in self.of[latin]])
+        sizes = sorted([(len(f(raw)), name) for name, f in self.of.get(LATIN if latin else script(piece), ())])
         if not sizes:
             return UNKNOWN, 0.0
         second = sizes[1][0] if len(sizes) > 1 else max(len(raw), sizes[0][0])
@@ -180,33 +203,34 @@ def label_languages(df: DataFrame, record: str, text: str, samples: dict[str, by
     return df.select(record, text).mapInArrow(run, schema).withColumnRenamed("_record", record)
 
 
-def named_language(name: Column) -> Column:
-    """The code of the language that a free-form code or name names; null for none."""
+def named_language(name: Column, languages: list[str] | None = None) -> Column:
+    """The code of the language that a free-form code or name names; null for none. Of ``languages`` those without known names are named by their code."""
     first = F.regexp_extract(F.lower(F.trim(F.regexp_replace(name, r"[\p{Z}\p{C}]+", " "))), r"^([\p{L}\p{M}]+)", 1)
     out = F.lit(None).cast("string")
-    for code, names in NAMES.items():
+    for code, names in ({code: [code.lower()] for code in languages or []} | NAMES).items():
         out = F.when(first.isin(names), code).otherwise(out)
     return out
 
 
-def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
     samples = trusted_texts(table(spark, sf_dir, "lang_samples"), "language", "text")
     # the language column rides along in the record, so that no join is needed
     rows = table(spark, sf_dir, "candidates").filter(F.col("candidate_id").isNotNull())
     rows = rows.select(F.struct("candidate_id", F.col("language").alias("named")).alias("record"), "text")
-    return label_languages(rows, "record", "text", samples)
+    return label_languages(rows, "record", "text", samples), sorted(samples)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of a candidate's text that its language column does not name."""
-    found = _labelled(spark, sf_dir).select("record", F.explode("languages").alias("_language"))
-    wrong = found.filter(~F.col("_language").eqNullSafe(named_language(F.col("record.named"))))
+    labelled, languages = _labelled(spark, sf_dir)
+    found = labelled.select("record", F.explode("languages").alias("_language"))
+    wrong = found.filter(~F.col("_language").eqNullSafe(named_language(F.col("record.named"), languages)))
     return wrong.select("record.candidate_id", F.col("_language").alias("language")).distinct()
 
 
 def p6_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The segments of every candidate's text with language and confidence."""
-    rows = _labelled(spark, sf_dir).select("record.candidate_id", F.posexplode("segments").alias("segment", "_s"))
+    rows = _labelled(spark, sf_dir)[0].select("record.candidate_id", F.posexplode("segments").alias("segment", "_s"))
     return rows.select("candidate_id", "segment", "_s.start", "_s.end", "_s.language", "_s.confidence").dropDuplicates(["candidate_id", "segment"])
 
 

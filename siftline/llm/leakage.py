@@ -6,8 +6,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siftline.llm.tables import table
+from siftline.operators.staging import written
 
 #: Successive words of an item that leak it unchanged; shorter items must be whole.
 EXACT_WORDS = 12
@@ -19,8 +21,10 @@ SHINGLE = 5
 NEAR = [(NEAR_WORDS, NEAR_REPLACED)] + [(k * NEAR_ONE_IN, k) for k in range(NEAR_REPLACED + 1, (2 * NEAR_WORDS - 1) // NEAR_ONE_IN + 1)]
 #: Words of alignments that are compared at once.
 VERIFIED_WORDS = 1 << 20
-#: Items in the index of one pass.
+#: Items whose index goes to the workers; more of them are met as tables.
 BLOCK_ITEMS = 20_000
+#: Bits of the filter through which a document's shingles pass before they are joined with those of many items.
+FILTER_BITS = 1 << 27
 
 # Letters whose plain form is no part of their decomposition.
 PLAIN = {"ɗ": "d", "ɓ": "b", "ƙ": "k", "ƴ": "y", "ı": "i", "ø": "o", "đ": "d", "ł": "l", "œ": "oe", "æ": "ae"}
@@ -34,7 +38,7 @@ class Words:
     def __init__(self) -> None:
         import re
 
-        self.markup = re.compile(r"</?[A-Za-z!][^<>]{0,300}>")
+        self.markup = re.compile(r"</?[A-Za-z!][^<>]*>")
         self.not_latin = re.compile("[\u0370-\u1dbf\u2c00-\ua71f\ua7ff-\ufaff\U00010000-\U0001efff\U00020000-\U000fffff]")
         self.drop = re.compile("[\u0300-\u036f\u0483-\u0487\u0591-\u05bd\u064b-\u065f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe00-\ufe0f\ufe20-\ufe2f\u00ad\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufeff'’‘ʼʻ`´ʹ-]+")
         self.word = re.compile(r"[^\W_]+")
@@ -189,34 +193,126 @@ def leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item: str
     A set join with a prefix filter: items are cut into shingles, ordered by how rare they are among items; of
     each window of an item only the rarest that any leak must keep are looked up in a document.
     An alignment found so is compared word by word over windows of the item: EXACT_WORDS in a row,
-    or at least NEAR_WORDS with up to one in NEAR_ONE_IN replaced. Documents are read whole, once for every
-    ``block_items`` items, and never shuffled; only one block of items goes to the workers at a time.
+    or at least NEAR_WORDS with up to one in NEAR_ONE_IN replaced. Up to ``block_items`` items are an index that goes to the workers, and documents are
+    read once and not shuffled; more items are tables that are joined (``_joined``), with the same result.
     Null, empty and wordless texts on either side leak nothing; null keys are kept as they are.
     """
-    from pyspark.sql import functions as F
-
     kind, item_kind = documents.schema[key].dataType.simpleString(), items.schema[item].dataType.simpleString()
     rows = items.select(F.col(item).alias("i"), F.col(item_text).alias("t")).na.drop()
-    blocks = max(1, -(-rows.count() // block_items))
-    out = None
-    for b in range(blocks):
-        # items of one text are in one block
-        part = rows.filter(F.pmod(F.xxhash64("t"), F.lit(blocks)) == b).groupBy("t").agg(F.sort_array(F.collect_set("i")).alias("i")).select("i", "t").collect()
-        listed = sorted((list(r.i), r.t) for r in part)
-
-        def run(batches: Iterator[pa.RecordBatch], listed: list = listed) -> Iterator[pa.RecordBatch]:
-            index, words = Index(listed), Words()
-            for batch in batches:
-                texts = batch.column(1).to_pylist()
-                for a in range(0, len(texts), 500):
-                    leaked = index.leaked([words(t) if t else [] for t in texts[a : a + 500]])
-                    keys = batch.column(0).take(pa.array([a + d for d, _ in leaked], pa.int64()))
-                    yield pa.RecordBatch.from_arrays([keys, pa.array([x for _, x in leaked], batch_type)], ["_key", "_item"])
-
-        batch_type = pa.int64() if item_kind in ("bigint", "int") else pa.string()
-        one = documents.select(key, text).mapInArrow(run, f"_key {kind}, _item {'bigint' if item_kind in ('bigint', 'int') else 'string'}")
-        out = one if out is None else out.unionByName(one)
-    return out.select(F.col("_key").alias(key), F.col("_item").alias(item)).distinct()
+    texts = rows.groupBy("t").agg(F.sort_array(F.collect_set("i")).alias("i")).select("i", "t")
+    if rows.count() > block_items:
+        return _joined(documents.select(F.col(key).alias("_key"), F.col(text).alias("_text")), texts).select(F.col("_key").alias(key), F.col("_item").cast(item_kind).alias(item))
+    listed = sorted((list(r.i), r.t) for r in texts.collect())
+    out_kind = "bigint" if item_kind in ("bigint", "int") else "string"
+    batch_type = pa.int64() if out_kind == "bigint" else pa.string()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, words = Index(listed), Words()
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for a in range(0, len(texts), 500):
+                leaked = index.leaked([words(t) if t else [] for t in texts[a : a + 500]])
+                keys = batch.column(0).take(pa.array([a + d for d, _ in leaked], pa.int64()))
+                yield pa.RecordBatch.from_arrays([keys, pa.array([x for _, x in leaked], batch_type)], ["_key", "_item"])
+
+    found = documents.select(key, text).mapInArrow(run, f"_key {kind}, _item {out_kind}")
+    return found.select(F.col("_key").alias(key), F.col("_item").alias(item)).distinct()
+
+
+def shingle_codes(words: list[str], of: int) -> list[int]:
+    """A 64-bit number for every ``of`` successive words."""
+    import xxhash
+
+    return [xxhash.xxh64_intdigest("\x1f".join(words[a : a + of])) - (1 << 63) for a in range(len(words) - of + 1)]
+
+
+def _joined(documents: DataFrame, texts: DataFrame) -> DataFrame:
+    """``_key, _item`` for more items than an index may hold: items, their shingles and what documents share with them are tables.
+
+    Shingles of all items are counted, and of each item those that any leak must keep one of are its prefix. Documents pass their
+    shingles through a filter of FILTER_BITS bits, whatever the number of items, and only what passes is joined with the prefixes by its number. Documents
+    that met an item are read again and aligned with the items that they met, as in the index. Items of fewer words than a shingle
+    are looked up whole, as shingles of their own length.
+    """
+    kind = documents.schema["_key"].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches:
+            ids, place, codes = [], [], []
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                w = words(t)
+                of = min(SHINGLE, len(w))
+                for p, c in enumerate(shingle_codes(w, of) if w else ()):
+                    ids.append(i), place.append(p), codes.append(c)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(place, pa.int32()), pa.array(codes, pa.int64())], ["n", "place", "code"])
+
+    numbered = written(texts.withColumn("n", F.xxhash64("t")), "items")
+    shingles = written(numbered.select("n", "t").mapInArrow(cut, "n bigint, place int, code bigint"), "shingles")
+    often = shingles.groupBy("code").agg(F.count(F.lit(1)).alias("often"))
+    of_item = shingles.join(often, "code").groupBy("n").agg(F.array_sort(F.collect_list(F.struct("place", "code", "often"))).alias("s")).join(numbered.select("n", "t"), "n")
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        words = Words()
+        for batch in batches:
+            ids, codes, lengths = [], [], []
+            for n, s, t in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                many = len(words(t))
+                code, r = [x["code"] for x in s], np.array([x["often"] for x in s])
+                needed = np.zeros(len(code), bool)
+                if many < SHINGLE:
+                    needed[:] = True
+                else:
+                    for wide, must in Index.windows(many):
+                        rows = np.lib.stride_tricks.sliding_window_view(r, wide)
+                        first = np.argsort(rows, axis=1, kind="stable")[:, : wide - must + 1]
+                        needed[np.arange(len(rows))[:, None] + first] = True
+                for i in np.nonzero(needed)[0]:
+                    ids.append(n), codes.append(code[i]), lengths.append(min(SHINGLE, many))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(codes, pa.int64()), pa.array(lengths, pa.int32())], ["n", "code", "of"])
+
+    prefix = written(of_item.select("n", "s", "t").mapInArrow(choose, "n bigint, code bigint, of int").distinct(), "prefix")
+    lengths = sorted(r.of for r in prefix.select("of").distinct().collect())  # at most SHINGLE of them
+    slot = F.pmod("code", F.lit(FILTER_BITS))
+    slots = prefix.select((slot / 32).cast("int").alias("at"), F.pmod(slot, F.lit(32)).cast("int").alias("_s"))
+    bits = slots.groupBy("at").agg(F.bit_or(F.expr("shiftleft(1L, _s)")).alias("bits")).collect()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        words, known = Words(), np.zeros(FILTER_BITS // 32, np.int64)
+        known[[r[0] for r in filled]] = [r[1] for r in filled]
+        for batch in batches:
+            rows, codes = [], []
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                w = words(t) if t else []
+                c = np.unique(np.array([x for of in lengths for x in shingle_codes(w, of)], np.int64))
+                at = c % FILTER_BITS
+                c = c[(known[at // 32] >> (at % 32)) & 1 == 1]
+                rows += [i] * len(c)
+                codes += c.tolist()
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(codes, pa.int64())], ["_key", "code"])
+
+    filled = [(r.at, r.bits) for r in bits]
+    numbered_docs = documents.withColumn("_key", F.struct("_key", F.xxhash64("_text").alias("h")))
+    key_kind = numbered_docs.schema["_key"].dataType.simpleString()
+    met = numbered_docs.select("_key", "_text").mapInArrow(meet, f"_key {key_kind}, code bigint").join(prefix.select("code", "n"), "code").select("_key", "n").distinct()
+    pairs = met.join(numbered.select("n", "i", "t"), "n").groupBy("_key").agg(F.collect_list(F.struct("i", "t")).alias("items"))
+    whole = numbered_docs.dropDuplicates(["_key"]).select(F.col("_key").alias("_k"), "_text").join(pairs, F.col("_k").eqNullSafe(F.col("_key")))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches:
+            rows, found = [], []
+            for i, (t, items) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                for _, x in Index(sorted(([str(v) for v in y["i"]], y["t"]) for y in items)).leaked([words(t)]):
+                    rows.append(i)
+                    found.append(x)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(found, pa.string())], ["_key", "_item"])
+
+    return whole.select("_key._key", "_text", "items").mapInArrow(verify, f"_key {kind}, _item string").distinct()
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,8 +322,6 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every leaked item with the number of documents that hold it."""
-    from pyspark.sql import functions as F
-
     return p8_found(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
 
 

@@ -34,12 +34,12 @@ class Endings:
         c = regex.compile
         self.trail = c(r"[\s\p{Z}\p{Cf}\p{Cc}]+$")
         self.dots = c(r"[\s\p{Z}]*[\[(]?(?:…|\.\.\.+)[\])]?$")
-        self.remnant = c(r"(?:�+|&#?\w{0,7}|<[!/]?\w*(?:\s[^<>]{0,80})?|\\(?:u[0-9a-fA-F]{0,3})?|[\[({]\s?\w*|\bhttps?:?/{0,2}[^\s/]*|\bht{1,2}p?)$", regex.I)
+        self.remnant = c(r"(?:�+|&#?\w{0,7}|<[!/]?\w*(?:\s[^<>]*)?|\\(?:u[0-9a-fA-F]{0,3})?|[\[({]\s?\w*|\bhttps?:?/{0,2}[^\s/]*|\bht{1,2}p?)$", regex.I)
         self.extra = c(r"(?:https?://[^\s/]+/\S+|(?<![^\s\p{Z}\p{P}])[#@]\w[\w\p{M}]*|[\[({][^\[\](){}]*[\])}]|[\p{Extended_Pictographic}\p{Emoji_Modifier}\p{Regional_Indicator}‍️⃣]+)$", regex.I)
         self.mark = c(r"[.!?።፧؟。！？‽‼⁉‥]+[\s\p{Z}]*[\"'”’»›)\]}*_~`]*$")
         self.part = c(r"[\p{L}\p{N}][\p{L}\p{M}\p{N}'’ʼ-]*|[^\p{L}\p{M}\p{N}\s\p{Z}\p{Cf}'’ʼ-]+|\n")
         self.letters = c(r"\p{L}")
-        self.aside = c(r"https?:\S*|(?<!\w)[#@]\w[\w\p{M}]*|&#?\w+;|<[^<>]{0,80}>|\[[^\[\]]*\]", regex.I)
+        self.aside = c(r"https?:\S*|(?<!\w)[#@]\w[\w\p{M}]*|&#?\w+;|<[^<>]*>|\[[^\[\]]*\]", regex.I)
 
     def kind(self, text: str) -> tuple[int, str]:
         """CUT, WHOLE or OPEN, and the text without what follows its last word."""
