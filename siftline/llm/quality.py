@@ -21,8 +21,10 @@ ROUNDS = 5
 NEAR = 26.1
 #: Share of words among a language's common ones from which a text is measured against that language only.
 LEAST_KNOWN = 0.06
-#: Distance from prose beyond which a text is none.
+#: Distance from prose beyond which a text is none, where the distances of a corpus show no valley of their own; about twice that of the last of 1000 normal texts.
 NO_PROSE = 12.0
+#: Bins of a sixteenth of an octave of distance on either side over which the histogram is smoothed before its valley is sought.
+SMOOTH = 2
 
 
 class Statistics:
@@ -32,7 +34,7 @@ class Statistics:
         self.common = {k: {_marks_off(w).lower() for w in v} for k, v in common.items()}
         self.any = set().union(*self.common.values()) if self.common else set()
         self.languages = {w: [k for k, s in self.common.items() if w in s] for w in self.any}
-        self.aside = re.compile(r"</?[A-Za-z!][^<>]{0,300}>|https?://\S+|&#?\w{1,8};")
+        self.aside = re.compile(r"</?[A-Za-z!][^<>]*>|https?://\S+|&#?\w+;")
         self.word = re.compile(r"[^\W_](?:[^\W_]|['’])*")
         self.end = re.compile(r"[.!?።፧…]+(?!\w)|\n")
         self.final = ".!?።፧…"
@@ -127,49 +129,163 @@ def _shape(stats: DataFrame) -> DataFrame:
     return stats.withColumn("x", F.when(F.col("word_count").isNotNull(), F.array(*parts)))
 
 
-def fit_prose(stats: DataFrame) -> dict[str, tuple[list[float], list[list[float]]]]:
+Model = dict[str, tuple[list[float], list[list[float]]]]
+#: Bins of squared distances to an octave, and how many there are from 2 ** -8 on; all beyond fall in the last.
+BINS, MOST_BINS = 8, 256
+#: Median of the squared distance of as many normal statistics.
+MEDIAN = 7.344
+
+
+def _matrix(batch: pa.RecordBatch, column: int):
+    import numpy as np
+
+    return batch.column(column).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(SHAPE)).astype(np.float64)
+
+
+def _moments(rows: DataFrame, model: Model) -> DataFrame:
+    """``language, bin, n, s``: of every language and bin of squared distance the rows, their sums and their products, added up batch by batch.
+
+    One pass without joins; each task gives one row per language and bin, and these are added up.
+    """
+    import numpy as np
+
+    d = len(SHAPE)
+    upper = np.triu_indices(d)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[str, int], list] = {}
+        known = {k: (np.array(m), np.array(p)) for k, (m, p) in model.items()}
+        for batch in batches:
+            language, x = np.array(batch.column(0).to_pylist(), object), _matrix(batch, 1)
+            for k, (mean, inverse) in known.items():
+                mine = x[language == k]
+                if not len(mine):
+                    continue
+                off = mine - mean
+                squared = np.einsum("ij,jk,ik->i", off, inverse, off)
+                at = np.clip(np.floor(BINS * (np.log2(np.maximum(squared, 2.0**-8)) + 8)), 0, MOST_BINS - 1).astype(int)
+                for b in np.unique(at):
+                    part = mine[at == b]
+                    s = np.concatenate([part.sum(0), (part.T @ part)[upper]])
+                    t = total.setdefault((k, int(b)), [0, 0.0])
+                    t[0] += len(part)
+                    t[1] = t[1] + s
+        if total:
+            keys, values = list(total), list(total.values())
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys]), pa.array([b for _, b in keys], pa.int32()), pa.array([n for n, _ in values], pa.int64()), pa.array([s.tolist() for _, s in values], pa.list_(pa.float64()))], ["language", "bin", "n", "s"])
+
+    parts = rows.select("language", "x").mapInArrow(run, "language string, bin int, n bigint, s array<double>")
+    sums = [F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(d + d * (d + 1) // 2)]
+    return parts.groupBy("language", "bin").agg(F.sum("n").alias("n"), *sums)
+
+
+def fit_prose(stats: DataFrame) -> Model:
     """Mean and inverse covariance of the prose of each language, robustly and over all texts.
 
     Starts from medians and median deviations, then ROUNDS times takes mean and covariance of
     the texts within the squared distance NEAR, scaled so that the median text is at the median of
-    the normal case. Every round is one aggregation of sums and products per language; only those, a few dozen
-    numbers for each language, come to the driver.
+    the normal case. Every round is one pass whose sums are kept by bins of the distance, so that the median and the
+    sums of what lies within it come from the same pass; only those, a few hundred rows for each language, come to the driver.
     """
     import numpy as np
 
     d = len(SHAPE)
     x = [F.col("x")[i] for i in range(d)]
     rows = stats.filter(F.col("language").isNotNull() & F.col("x").isNotNull())
-    medians = {r.language: r for r in rows.groupBy("language").agg(*[F.percentile_approx(x[i], 0.5, 1000).alias(f"m{i}") for i in range(d)]).collect()}
+    medians = {r.language: [float(r[f"m{i}"]) for i in range(d)] for r in rows.groupBy("language").agg(*[F.percentile_approx(x[i], 0.5, 1000).alias(f"m{i}") for i in range(d)]).collect()}
     if not medians:
         return {}
-    spark = rows.sparkSession
-    mids = spark.createDataFrame([(k, [float(r[f"m{i}"]) for i in range(d)]) for k, r in medians.items()], "language string, mid array<double>")
-    dev = rows.join(F.broadcast(mids), "language").groupBy("language").agg(*[F.percentile_approx(F.abs(x[i] - F.col("mid")[i]), 0.5, 1000).alias(f"s{i}") for i in range(d)])
-    model = {r.language: (np.array([medians[r.language][f"m{i}"] for i in range(d)]), np.diag([max(1.4826 * r[f"s{i}"], LEAST_SPREAD[i]) ** 2 for i in range(d)])) for r in dev.collect()}
+    mid = F.create_map(*[F.lit(v) for k, m in medians.items() for v in (k, m)])[F.col("language")]  # as many as languages
+    dev = rows.withColumn("_mid", mid).groupBy("language").agg(*[F.percentile_approx(F.abs(x[i] - F.col("_mid")[i]), 0.5, 1000).alias(f"s{i}") for i in range(d)])
+    model = {r.language: (np.array(medians[r.language]), np.diag([max(1.4826 * r[f"s{i}"], LEAST_SPREAD[i]) ** 2 for i in range(d)])) for r in dev.collect()}
     floor = np.diag(np.array(LEAST_SPREAD) ** 2 / 4)
+    upper = np.triu_indices(d)
     for _ in range(ROUNDS):
-        near = with_distance(rows, {k: (m.tolist(), np.linalg.inv(c).tolist()) for k, (m, c) in model.items()}).select("language", "x", "squared")
-        scale = near.groupBy("language").agg(F.greatest(F.lit(1.0), F.percentile_approx("squared", 0.5, 1000) / 7.344).alias("scale"))
-        near = near.join(F.broadcast(scale), "language").filter(F.col("squared") <= NEAR * F.col("scale"))
-        sums = [F.sum(x[i]).alias(f"a{i}") for i in range(d)] + [F.sum(x[i] * x[j]).alias(f"b{i}_{j}") for i in range(d) for j in range(i, d)]
-        for r in near.groupBy("language").agg(F.count(F.lit(1)).alias("n"), *sums).collect():
-            if r.n < 3 * d:
+        bins: dict[str, list] = {}
+        for r in _moments(rows, inverted(model)).collect():
+            bins.setdefault(r.language, []).append((r.bin, r.n, np.array(r[3:])))
+        for k, found in bins.items():
+            found.sort(key=lambda b: b[0])
+            up = np.cumsum([n for _, n, _ in found])
+            middle = found[int(np.searchsorted(up, up[-1] / 2))][0]
+            scale = max(1.0, 2.0 ** ((middle + 0.5) / BINS - 8) / MEDIAN)
+            near = [(n, s) for b, n, s in found if 2.0 ** ((b + 0.5) / BINS - 8) <= NEAR * scale]
+            n = sum(n for n, _ in near)
+            if n < 3 * d:
                 continue
-            mean = np.array([r[f"a{i}"] for i in range(d)]) / r.n
-            second = np.array([[r[f"b{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)]) / r.n
-            model[r.language] = (mean, second - np.outer(mean, mean) + floor)
+            s = sum(s for _, s in near)
+            mean, second = s[:d] / n, np.zeros((d, d))
+            second[upper] = s[d:] / n
+            second = second + second.T - np.diag(np.diag(second))
+            model[k] = (mean, second - np.outer(mean, mean) + floor)
+    return inverted(model)
+
+
+def inverted(model: dict) -> Model:
+    import numpy as np
+
     return {k: (m.tolist(), np.linalg.inv(c).tolist()) for k, (m, c) in model.items()}
 
 
-def with_distance(rows: DataFrame, model: dict[str, tuple[list[float], list[list[float]]]]) -> DataFrame:
-    """Adds ``squared``, the squared Mahalanobis distance, and ``parts``, what each statistic adds to it."""
-    models = rows.sparkSession.createDataFrame([(k, m, p) for k, (m, p) in model.items()], "language string, _m array<double>, _p array<array<double>>")
-    off = F.zip_with("x", "_m", lambda a, b: a - b)
-    dot = lambda row: F.aggregate(F.zip_with(row, "_o", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    out = rows.join(F.broadcast(models), "language").withColumn("_o", off)
-    out = out.withColumn("parts", F.zip_with("_o", F.transform("_p", dot), lambda a, b: a * b))
-    return out.withColumn("squared", F.aggregate("parts", F.lit(0.0), lambda s, v: s + v)).drop("_m", "_p", "_o")
+def with_distance(rows: DataFrame, key: str, model: Model) -> DataFrame:
+    """``key, *statistics, language, squared, parts``: the squared Mahalanobis distance and what each statistic adds to it, in one pass.
+
+    A text of a language without a model, or of none, is measured against all, the nearest counts, and its language is null. Texts without statistics get nulls.
+    """
+    import numpy as np
+
+    kind = rows.schema[key].dataType.simpleString()
+    names = list(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        means, inverses = np.array([model[k][0] for k in names]), np.array([model[k][1] for k in names])
+        for batch in batches:
+            language = batch.column(1).to_pylist()
+            there = np.nonzero(np.array(batch.column(2).is_valid()))[0]
+            squared = np.full(batch.num_rows, np.nan)
+            parts = np.zeros((batch.num_rows, len(SHAPE)))
+            if len(there):
+                x = _matrix(batch, 2)
+                own = np.array([names.index(language[i]) if language[i] in model else -1 for i in there])
+                off = x[:, None, :] - means[None]
+                every = np.einsum("ijk,jkl->ijl", off, inverses) * off
+                best = np.where(own >= 0, own, every.sum(2).argmin(1))
+                parts[there] = every[np.arange(len(there)), best]
+                squared[there] = parts[there].sum(1)
+            none = np.isnan(squared)
+            lists = pa.array([None if none[i] else parts[i].tolist() for i in range(batch.num_rows)], pa.list_(pa.float64()))
+            known = pa.array([k if k in model else None for k in language], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), known, pa.array(squared, pa.float64(), mask=none), lists], ["_key", "language", "squared", "parts"])
+
+    # the other columns ride along in the key
+    rider = rows.select(F.struct(key, *_COLUMNS).alias("_r"), "language", "x")
+    kind = rider.schema["_r"].dataType.simpleString()
+    out = rider.mapInArrow(run, f"_key {kind}, language string, squared double, parts array<double>")
+    return out.select("_key.*", "language", "squared", "parts")
+
+
+def valley(histogram: dict[int, int]) -> float:
+    """The distance at the lowest place between the prose's mode and the highest mode behind it; NO_PROSE where there is no second one.
+
+    ``histogram`` counts texts by bin of squared distance. A second mode is at least twice as high as the lowest place
+    before it. Of equally low places the middle one counts.
+    """
+    import numpy as np
+
+    if not histogram:
+        return NO_PROSE
+    h = np.zeros(MOST_BINS)
+    h[list(histogram)] = list(histogram.values())
+    h = np.convolve(h, np.ones(2 * SMOOTH + 1), "same")
+    mode = int(h.argmax())
+    low = np.minimum.accumulate(h[mode:])
+    behind = np.where((h[mode:] >= 2 * low) & (h[mode:] > 2 * SMOOTH), h[mode:], 0.0)
+    behind[0] = 0.0
+    if not behind.any():
+        return NO_PROSE
+    part = h[mode : mode + int(behind.argmax()) + 1]
+    lowest = np.nonzero(part == part.min())[0]
+    return float(2.0 ** (((mode + lowest[len(lowest) // 2] + 0.5) / BINS - 8) / 2))
 
 
 def prose_distances(df: DataFrame, key: str, text: str, common: dict[str, list[str]]) -> DataFrame:
@@ -177,24 +293,20 @@ def prose_distances(df: DataFrame, key: str, text: str, common: dict[str, list[s
 
     Adds ``distance``, a robust Mahalanobis distance over all statistics, ``contribution``, the
     share of its square that each statistic makes, and ``natural``, whether it is at most
-    NO_PROSE. Texts with hardly a common word are measured against all languages, the nearest counts.
+    the corpus's own cut: the valley of its distances between prose and the rest (``valley``). Texts with hardly a common word are measured against all languages, the nearest counts.
     Null, empty and blank texts get nulls.
     """
     stats = written(_shape(text_statistics(df, key, text, common)), "statistics")
     model = fit_prose(stats)
-    blank = stats.filter(F.col("x").isNull()).select(key, *_COLUMNS, "language", F.lit(None).cast("double").alias("distance"), F.lit(None).cast("map<string,double>").alias("contribution"), F.lit(None).cast("boolean").alias("natural"))
     if not model:
-        none = stats.filter(F.col("x").isNotNull()).select(key, *_COLUMNS, "language", F.lit(None).cast("double").alias("distance"), F.lit(None).cast("map<string,double>").alias("contribution"), F.lit(False).alias("natural"))
-        return blank.unionByName(none)
-    names = F.array(*[F.lit(s) for s in SHAPE])
-    full = stats.filter(F.col("x").isNotNull())
-    known = with_distance(full.filter(F.col("language").isin(list(model))), model)
-    other = full.filter(~F.coalesce(F.col("language").isin(list(model)), F.lit(False))).withColumn("language", F.explode(F.array(*[F.lit(k) for k in model])))
-    other = with_distance(other, model).groupBy(key).agg(F.min_by(F.struct(*_COLUMNS, "squared", "parts"), "squared").alias("s")).select(key, "s.*", F.lit(None).cast("string").alias("language"))
-    both = known.select(key, *_COLUMNS, "squared", "parts", "language").unionByName(other)
-    share = F.map_from_arrays(names, F.transform("parts", lambda p: p / F.greatest("squared", F.lit(1e-9))))
-    distance = F.sqrt(F.greatest("squared", F.lit(0.0)))
-    return both.select(key, *_COLUMNS, "language", distance.alias("distance"), share.alias("contribution"), (distance <= NO_PROSE).alias("natural")).unionByName(blank)
+        blank = F.col("x").isNull()
+        return stats.select(key, *_COLUMNS, "language", F.lit(None).cast("double").alias("distance"), F.lit(None).cast("map<string,double>").alias("contribution"), F.when(~blank, F.lit(False)).alias("natural"))
+    out = written(with_distance(stats, key, model), "distances")
+    octave = F.least(F.lit(MOST_BINS - 1), F.floor(BINS * (F.log2(F.greatest("squared", F.lit(2.0**-8))) + 8)))
+    cut = valley({int(r.b): r["count"] for r in out.filter(F.col("squared").isNotNull()).groupBy(octave.alias("b")).count().collect()})
+    share = F.map_from_arrays(F.array(*[F.lit(s) for s in SHAPE]), F.transform("parts", lambda p: p / F.greatest("squared", F.lit(1e-9))))
+    distance = F.sqrt(F.greatest("squared", F.when(F.col("squared").isNotNull(), 0.0)))
+    return out.select(key, *_COLUMNS, "language", distance.alias("distance"), share.alias("contribution"), (distance <= cut).alias("natural"))
 
 
 def _prose(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -351,7 +351,8 @@ def test_long_near_leaks(spark):
         want |= {(len(docs) - 1, 0)} if leak else set()
     dd = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "k bigint, t string")
     ii = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item bigint, t string")
-    assert {(x.k, x.item) for x in leakage.leaks(dd, "k", "t", ii, "item", "t").collect()} == want and 100 < len(want) < 400
+    for block in (20_000, 10):  # by the index, and by joins
+        assert {(x.k, x.item) for x in leakage.leaks(dd, "k", "t", ii, "item", "t", block_items=block).collect()} == want and 100 < len(want) < 400
 
 
 def test_leak_words():
@@ -463,6 +464,38 @@ def test_languages_held_out(spark):
     assert languages.label_languages(held.select("language", "text").filter("false"), "language", "text", samples).count() == 0
 
 
+def test_scripts(spark):
+    samples = languages.trusted_texts(table(spark, DATA, "lang_samples"), "language", "text")
+    c = languages.Compressors(samples)
+    for text in ("يجتمع المجلس في المدينة غدا صباحا للحديث عن الطريق", "Совет собрался сегодня утром в старом городе у реки", "委员会今天早上在城里开会讨论新的道路"):
+        assert c.label(text)[0] == "und" and not c.label(text)[2]
+    amh = next(r.text for r in table(spark, DATA, "lang_samples").filter("language = 'amh'").collect())
+    assert c.label(amh)[0] == "amh" and languages.script("ሀለ a б") == "ETHIOPIC" and languages.script("12") == ""
+    df = spark.createDataFrame([("xyz",), ("ha",)], "n string").select(languages.named_language(F.col("n"), ["xyz", "hau"]).alias("l"))
+    assert [r.l for r in df.collect()] == ["xyz", "hau"]
+
+
+def test_valley():
+    r = np.random.default_rng(3)
+    bins = lambda x: dict(collections.Counter(np.clip(np.floor(quality.BINS * (np.log2(np.maximum(x * x, 2.0**-8)) + 8)), 0, 255).astype(int).tolist()))
+    prose, junk = np.sqrt(r.chisquare(8, 5000)), r.normal(18, 3, 400)
+    assert 5 < quality.valley(bins(np.concatenate([prose, junk]))) < 12
+    assert quality.valley(bins(prose)) == quality.valley({}) == quality.NO_PROSE
+
+
+def test_fit_prose_by_numpy(spark):
+    r = np.random.default_rng(5)
+    x = r.multivariate_normal(np.arange(8.0), np.diag(np.linspace(1, 3, 8)), 3000)
+    x[:200] += 40
+    df = spark.createDataFrame([("a", v.tolist(), i) for i, v in enumerate(x)], "language string, x array<double>, k int")
+    mean, inverse = quality.fit_prose(df)["a"]
+    assert np.abs(np.array(mean) - np.arange(8)).max() < 0.15 and np.abs(np.linalg.inv(np.array(inverse)) - np.cov(x[200:].T)).max() < 0.6
+    rows = df.select("k", *[F.lit(1.0).alias(c) for c in quality._COLUMNS], F.when(F.col("k") % 2 == 0, "a").otherwise("other").alias("language"), F.when(F.col("k") != 7, F.col("x")).alias("x"))
+    got = {q.k: q for q in quality.with_distance(rows, "k", {"a": (mean, inverse)}).collect()}
+    off = x[9] - np.array(mean)
+    assert got[9].squared == pytest.approx(off @ np.array(inverse) @ off) and sum(got[9].parts) == pytest.approx(got[9].squared) and got[9].language is None and got[8].language == "a" and got[7].squared is None
+
+
 def test_named_language(spark):
     names = {"hau": "hau", " Yor": "yor", "sw-KE": "swa", "swh_Latn": "swa", "Kiswahili": "swa", "amh_Ethi": "amh", "FRA": "fra", "und": None, "": None, None: None}
     df = spark.createDataFrame([(k,) for k in names], "n string").select("n", languages.named_language(F.col("n")).alias("l"))
