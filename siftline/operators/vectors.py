@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
+from siftline.operators.staging import written
+
 #: Queries that are sent to the workers at a time.
 BLOCK_QUERIES = 4096
 #: Labels up to which centroids are put into the plan.
@@ -58,8 +60,8 @@ def class_probabilities(df: DataFrame, record: str, vector: str, centres: DataFr
 def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     """``query, key, cosine, place``: the k most similar rows of every query, without the query itself.
 
-    Queries go to the workers in blocks of BLOCK_QUERIES; every task of a block keeps k rows for each query from
-    the batches it sees, and only those are shuffled. Equal cosines, to 9 digits, go by key.
+    Queries go to the workers in blocks of BLOCK_QUERIES, each of which is written before the next one is fetched; every task of a
+    block keeps k rows for each query from the batches it sees, and only those are shuffled. Equal cosines, to 9 digits, go by key.
     """
     import numpy as np
 
@@ -93,6 +95,8 @@ def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(best_k.ravel()), pa.array(best_c.ravel())], ["query", "key", "cosine"])
 
         one = rows.select(F.col(key).cast("bigint"), vector).mapInArrow(run, "query bigint, key bigint, cosine double").filter(F.col("cosine") > float("-inf"))
+        if blocks > 1:  # k rows a query and task; the driver keeps one block at a time
+            one = written(one, "near")
         out = one if out is None else out.unionByName(one)
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cosine"), "key"))
     return out.withColumn("place", place).filter(F.col("place") <= k)
@@ -188,6 +192,8 @@ def against_reference(df: DataFrame, record: str, vector: str, reference: DataFr
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(near))], ["_r", "near"])
 
         one = df.select(record, vector).mapInArrow(run, f"_r {kind}, near array<struct<cosine: double, key: string, label: string>>")
+        if blocks > 1:
+            one = written(one, "near")
         out = one if out is None else out.unionByName(one)
     if blocks > 1:
         order = lambda a, b: F.when(a["cosine"] != b["cosine"], F.signum(b["cosine"] - a["cosine"])).when(a["key"] < b["key"], -1).otherwise(1).cast("int")

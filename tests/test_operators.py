@@ -183,10 +183,9 @@ def test_takes(spark):
     rows = [(r.choice("ab"), r.sample(["s1", "s2", "s3", "s4"], r.randint(0, 2)), round(r.random(), 1), f"{i:03d}") for i in range(60)]
     df = spark.createDataFrame([("c", *x) for x in rows], "c string, lab string, src array<string>, score double, id string")
     caps = spark.createDataFrame([("c", "a", 3), ("c", "b", 5)], "c string, lab string, cap int")
-    for walk in (50_000, 3):  # in rounds of three rows too
-        for cap, budget in ((2, 8), (1, 8), (2, 30)):
-            got = [x.id for x in sel.greedy_take(df, caps, ["c"], "lab", "src", "score", "id", cap, budget, walk_rows=walk).orderBy("rank").collect()]
-            assert got == greedy(rows, {"a": 3, "b": 5}, cap, budget)
+    for walk, cap, budget in ((50_000, 2, 8), (12, 1, 8), (12, 2, 30)):  # in rounds of twelve rows too
+        got = [x.id for x in sel.greedy_take(df, caps, ["c"], "lab", "src", "score", "id", cap, budget, walk_rows=walk).orderBy("rank").collect()]
+        assert got == greedy(rows, {"a": 3, "b": 5}, cap, budget)
     assert not sel.is_laminar(df, ["c"], "lab", "src") and sel.greedy_take(df.filter("false"), caps, ["c"], "lab", "src", "score", "id", 2, 8).count() == 0
     one = [(x[0], [x[0] + str(i % 5)], x[2], x[3]) for i, x in enumerate(rows)]
     lam = spark.createDataFrame([("c", a, s[0], q, i) for a, s, q, i in one], "c string, lab string, src string, score double, id string")
@@ -307,6 +306,19 @@ def test_nearest(spark):
         c = np.round(n @ n[q], 9)
         c[q] = -9
         assert [got[q, p] for p in (1, 2, 3)] == np.lexsort((np.arange(60), -c))[:3].tolist()
+    ref = df.filter("id < 20").select(F.col("id").cast("string").alias("id"), F.col("v").alias("vector"), F.lit("x").alias("label"))
+    one = {r.id: [x.key for x in r.near] for r in vc.against_all(df, "id", {"v": [("near", ref, 2), ("first", ref, 1)]}).collect()}
+    again = {r.id: [x.key for x in r.near] for r in vc.against_reference(df, "id", "v", ref, "id", "vector", "label", 2).collect()}
+    assert one == again and one[99] == [] and len(one) == 61
+
+
+def test_blocks_of_queries_and_references(spark, monkeypatch):
+    df = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(30)], "id bigint, v array<float>")
+    ref = df.select(F.col("id").cast("string").alias("id"), F.col("v").alias("vector"), F.lit("x").alias("label"))
+    whole = {(r["query"], r.place): r.key for r in vc.nearest(df, df, "id", "v", 2).collect()}, {r.id: [x.key for x in r.near] for r in vc.against_all(df, "id", {"v": [("near", ref, 3)]}).collect()}
+    monkeypatch.setattr(vc, "BLOCK_QUERIES", 11)
+    monkeypatch.setattr(vc, "BLOCK_REFERENCE", 11)
+    assert whole == ({(r["query"], r.place): r.key for r in vc.nearest(df, df, "id", "v", 2).collect()}, {r.id: [x.key for x in r.near] for r in vc.against_all(df, "id", {"v": [("near", ref, 3)]}).collect()})
 
 
 def test_generation(spark):
