@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from siftline.llm.tables import latest_audit, table
-from siftline.operators.grouping import top_k, value_ranks
+from siftline.operators.grouping import SPLIT_ROWS, top_k, value_ranks
+from siftline.operators.staging import written
 
 # Coefficients of the rational approximation of the inverse normal distribution
 # (relative error under 1.2e-9), for the middle and for the tails.
@@ -33,25 +35,47 @@ def inverse_normal(p: Column) -> Column:
     return F.when(p < TAIL, tail(low)).when(p > 1 - TAIL, -tail(high)).otherwise(_poly(r, A) * q / _poly(r, [*B, 1.0]))
 
 
-def combined_scores(df: DataFrame, group: str, record: str, weights: dict[str, float]) -> DataFrame:
+def _within_windows(rows: DataFrame, group: str, names: list[str]) -> DataFrame:
+    """Adds each score's normal quantile; a group's rows meet once, and are sorted there by each score."""
+    every, out = Window.partitionBy(group), rows
+    for s in names:
+        ties = F.count(F.lit(1)).over(Window.partitionBy(group, s))
+        p = (F.rank().over(every.orderBy(s)) - 1 + ties / 2) / F.count(F.lit(1)).over(every)
+        out = out.withColumn(f"_z{s}", inverse_normal(p))
+    return out
+
+
+def _within_ranges(rows: DataFrame, group: str, names: list[str]) -> DataFrame:
+    """The same for groups too large for one task: distinct values are ranked in ranges of their order and joined to the rows."""
+    out = rows
+    for s in names:
+        r = value_ranks(rows, [group], s)
+        p = (F.col("below") + F.col("ties") / 2) / F.col("group_rows")
+        out = out.join(r.select(group, s, inverse_normal(p).alias(f"_z{s}")), [group, s])
+    return out.select(*rows.columns, *[f"_z{s}" for s in names])
+
+
+def combined_scores(df: DataFrame, group: str, record: str, weights: dict[str, float], split_rows: int = SPLIT_ROWS) -> DataFrame:
     """``group, record, score``: the weighted mean of the normal quantiles of each score's percentile.
 
     A percentile is (rows below + (ties + 1) / 2 - 1/2) / rows of the group, so ties share their
     average and one-row groups get the middle. A negative weight turns a score downwards. Rows
     with a null or NaN among the scores, group or record are left out. Records must be unique.
+    The rows are written once. Groups of up to ``split_rows`` are ranked by windows over one shuffle, larger ones in ranges, with the same result.
     """
-    names = list(weights)
-    rows = df.select(group, record, *names).na.drop()
+    names = [f"_s{i}" for i in range(len(weights))]
+    rows = df.select(F.col(group), F.col(record), *[F.col(s).cast("double").alias(n) for s, n in zip(weights, names)]).na.drop()
     for s in names:
         rows = rows.filter(~F.isnan(s))
-    long = rows.select(group, record, F.explode(F.array(*[F.struct(F.lit(s).alias("_score"), F.col(s).cast("double").alias("_value")) for s in names])).alias("_x"))
-    long = long.select(group, record, "_x._score", "_x._value")
-    ranks = value_ranks(long, [group, "_score"], "_value")
-    p = (F.col("below") + F.col("ties") / 2) / F.col("group_rows")
-    z = ranks.select(group, "_score", "_value", inverse_normal(p).alias("_z"))
-    weight = F.create_map(*[F.lit(x) for s in names for x in (s, float(weights[s]))])[F.col("_score")]
+    rows = written(rows, "scores")
+    large = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > split_rows).select(group)
+    if large.limit(1).count():
+        large = written(large, "large")
+        ranked = _within_windows(rows.join(large, group, "left_anti"), group, names).unionByName(_within_ranges(rows.join(large, group, "left_semi"), group, names))
+    else:
+        ranked = _within_windows(rows, group, names)
     total = sum(abs(w) for w in weights.values())
-    return long.join(z, [group, "_score", "_value"]).groupBy(group, record).agg((F.sum(F.col("_z") * weight) / total).alias("score"))
+    return ranked.select(group, record, (sum((float(w) * F.col(f"_z{n}") for w, n in zip(weights.values(), names)), F.lit(0.0)) / total).alias("score"))
 
 
 WEIGHTS = {"u": 1.0, "d": 1.0, "l": -1.0, "h": -1.0}

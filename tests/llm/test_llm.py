@@ -176,13 +176,15 @@ def test_inverse_normal(spark):
 def test_combined_scores(spark):
     r = random.Random(6)
     rows = [(g, f"{g}{i}", r.choice([1.0, 2.0, 3.0]), r.random() ** 4 * 1e6) for g in "ab" for i in range(40)] + [("a", "n", None, 1.0), ("a", "m", float("nan"), 1.0)]
-    got = {x.id: x.score for x in ranking.combined_scores(extra(spark.createDataFrame(rows, "g string, id string, u double, l double")), "g", "id", {"u": 1.0, "l": -1.0}).collect()}
+    rows += [("b", f"b{i}", 2.0, float(i)) for i in range(100, 130)]
     z = NormalDist().inv_cdf
-    for g in "ab":
-        mine = [x for x in rows if x[0] == g and x[2] is not None and x[2] == x[2]]
-        for _, i, u, low in mine:
-            p = lambda v, k: (sum(y[k] < v for y in mine) + sum(y[k] == v for y in mine) / 2) / len(mine)  # noqa: B023, E731
-            assert got[i] == pytest.approx((z(p(u, 2)) - z(p(low, 3))) / 2, abs=1e-6)
+    for split in (1000, 50):  # by windows, and the larger group in ranges
+        got = {x.id: x.score for x in ranking.combined_scores(extra(spark.createDataFrame(rows, "g string, id string, u double, l double")), "g", "id", {"u": 1.0, "l": -1.0}, split).collect()}
+        for g in "ab":
+            mine = [x for x in rows if x[0] == g and x[2] is not None and x[2] == x[2]]
+            for _, i, u, low in mine:
+                p = lambda v, k: (sum(y[k] < v for y in mine) + sum(y[k] == v for y in mine) / 2) / len(mine)  # noqa: B023, E731
+                assert got[i] == pytest.approx((z(p(u, 2)) - z(p(low, 3))) / 2, abs=1e-6)
     assert "n" not in got and "m" not in got
 
 
