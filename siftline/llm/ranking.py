@@ -41,7 +41,8 @@ def _within_windows(rows: DataFrame, group: str, names: list[str]) -> DataFrame:
     for s in names:
         ties = F.count(F.lit(1)).over(Window.partitionBy(group, s))
         p = (F.rank().over(every.orderBy(s)) - 1 + ties / 2) / F.count(F.lit(1)).over(every)
-        out = out.withColumn(f"_z{s}", inverse_normal(p))
+        # a column of its own, as the quantile's expression names it many times
+        out = out.withColumn("_p", p).withColumn(f"_z{s}", inverse_normal(F.col("_p"))).drop("_p")
     return out
 
 
@@ -50,8 +51,8 @@ def _within_ranges(rows: DataFrame, group: str, names: list[str]) -> DataFrame:
     out = rows
     for s in names:
         r = value_ranks(rows, [group], s)
-        p = (F.col("below") + F.col("ties") / 2) / F.col("group_rows")
-        out = out.join(r.select(group, s, inverse_normal(p).alias(f"_z{s}")), [group, s])
+        r = r.withColumn("_p", (F.col("below") + F.col("ties") / 2) / F.col("group_rows"))
+        out = out.join(r.select(group, s, inverse_normal(F.col("_p")).alias(f"_z{s}")), [group, s])
     return out.select(*rows.columns, *[f"_z{s}" for s in names])
 
 
