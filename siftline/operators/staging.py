@@ -21,7 +21,7 @@ def shared_folder(spark: SparkSession) -> str:
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not spark.conf.get("spark.master", "").startswith("local["):
+        if spark.conf.get("spark.master", "").split("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if not _OWN:
             _OWN.append(tempfile.mkdtemp(prefix="siftline-"))
