@@ -1,7 +1,10 @@
-"""Problem 2: a varied subset, by max-sum dispersion over composable core-sets."""
+"""Problem 2: crowds by core-sets of blocks, and a varied subset by max-sum dispersion over whole groups."""
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,12 +24,14 @@ BUCKET = 64
 CROWD = 6
 #: Features that are compared at once.
 FEATURES = 4096
+#: Chosen records, and others, of a group between which one round swaps; a constant, so that rounds don't depend on the blocks.
+SWAPS = 500
+#: Whole units of a distance of 1: their sums are exact in double precision, in any order.
+UNIT = 1 << 30
 
 
 def overlaps(texts: list[str | None]):
     """Common words and neighbouring word pairs of every two texts, and how many each has, without case, marks and blanks."""
-    import re
-
     import numpy as np
 
     find = re.compile(r"\w+").findall
@@ -140,15 +145,18 @@ def disperse(distance, k: int) -> list[int]:
     return swapped(distance, chosen)
 
 
-def swapped(distance, chosen: list[int]) -> list[int]:
-    """The chosen rows after swaps with others, the best one first, as long as one raises the sum of their pairwise distances."""
+def swapped(distance, chosen: list[int], total=None) -> list[int]:
+    """The chosen rows after swaps with others, the best one first, as long as one raises the sum of their pairwise distances.
+
+    ``total`` has each row's sum of distances to all that is chosen, where that is more than the chosen rows of this matrix.
+    """
     import numpy as np
 
     inside = np.zeros(len(distance), bool)
     inside[chosen] = True
     if inside.all() or not inside.any():
         return np.nonzero(inside)[0].tolist()
-    total = distance[:, inside].sum(1, dtype=np.float64)
+    total = distance[:, inside].sum(1, dtype=np.float64) if total is None else total.astype(np.float64)
     while True:
         a, b = np.nonzero(inside)[0], np.nonzero(~inside)[0]
         gain = total[b][None, :] - distance[np.ix_(a, b)] - total[a][:, None]
@@ -180,34 +188,6 @@ def _crowds(ids: list[str], texts: list[str | None]) -> list[str]:
     return [ids[c] for c in components(len(ids), pairs)]
 
 
-def _core(texts: list[str | None], ranks: list[int], budget: int) -> list[int]:
-    """The core-set of one block: ``budget`` rows by local search, those of rank 1 (one of each crowd) before all others."""
-    import numpy as np
-
-    common, sizes = overlaps(texts)
-    distance = _distances(common, sizes)
-    ranks = np.array(ranks)
-    first = np.nonzero(ranks == 1)[0]
-    pick = first[disperse(distance[np.ix_(first, first)], budget)].tolist()
-    if len(pick) < budget and len(pick) < len(texts):
-        # fewer crowds than places: second texts before third ones, the farthest first, then swaps among those of the last rank taken
-        while len(pick) < budget and len(pick) < len(texts):
-            rest = np.setdiff1d(np.arange(len(texts)), pick)
-            level = rest[ranks[rest] == ranks[rest].min()]
-            take = level if len(level) <= budget - len(pick) else level[np.argsort(-distance[np.ix_(level, pick)].min(1), kind="stable")][: budget - len(pick)]
-            pick += take.tolist()
-        last = max(ranks[pick])
-        fixed = [i for i in pick if ranks[i] < last]
-        rows = np.array(fixed + [i for i in range(len(texts)) if ranks[i] == last])
-        local = distance[np.ix_(rows, rows)].copy()
-        local[: len(fixed), : len(fixed)] += 1e6  # never worth giving up
-        np.fill_diagonal(local, 0.0)
-        taken = set(pick)
-        if len(fixed) < budget:
-            pick = rows[swapped(local, [x for x, i in enumerate(rows.tolist()) if i in taken])].tolist() if len(fixed) > 1 else pick
-    return pick
-
-
 def _blocks(rows: DataFrame, sizes: DataFrame, block_rows: int) -> DataFrame:
     parts = sizes.select("_group", F.ceil(F.col("_n") / block_rows).alias("_parts"))
     return rows.join(parts, "_group").withColumn("_block", F.pmod(F.xxhash64("record"), F.col("_parts"))).drop("_parts")
@@ -225,18 +205,6 @@ def _crowds_per_block(rows: DataFrame) -> DataFrame:
     return rows.groupBy("_group", "_block").applyInPandas(run, f"_group {kind}, record string, crowd string")
 
 
-def _core_per_block(rows: DataFrame) -> DataFrame:
-    """``_group, record`` of the core-set of every block of every group, ``take`` records of each."""
-
-    def run(key, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("record").reset_index(drop=True)
-        pick = _core(part["text"].tolist(), part["rank"].tolist(), int(part["take"].iloc[0]))
-        return pd.DataFrame({"_group": [key[0]] * len(pick), "record": part["record"].iloc[pick].tolist()})
-
-    kind = rows.schema["_group"].dataType.simpleString()
-    return rows.groupBy("_group", "_block").applyInPandas(run, f"_group {kind}, record string")
-
-
 def _input(df: DataFrame, group: str, record: str, text: str, budget: DataFrame | None = None) -> DataFrame:
     rows = df.select(F.col(group).alias("_group"), F.col(record).cast("string").alias("record"), F.col(text).alias("text")).filter(F.col("_group").isNotNull() & F.col("record").isNotNull())
     if budget is None:
@@ -342,38 +310,186 @@ def smallest_reachable(links: DataFrame) -> DataFrame:
         before = state
 
 
+def units(a: list, b: list):
+    """Distances of every bag of features in ``a`` from every one in ``b``, rounded to whole units: 1 less their Jaccard similarity."""
+    import numpy as np
+
+    sizes = np.array([len(x) for x in [*a, *b]], np.int64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    flat = np.concatenate([np.zeros(0, np.int64), *[np.asarray(x, np.int64) for x in [*a, *b]]])
+    codes, column = np.unique(flat, return_inverse=True)
+    left = row < len(a)
+    shared = (np.bincount(column[left], minlength=len(codes)) > 0) & (np.bincount(column[~left], minlength=len(codes)) > 0)
+    keep = shared[column]
+    row, column = row[keep], (np.cumsum(shared) - 1)[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(a), len(b)))
+    for lo in range(0, int(shared.sum()), FEATURES):
+        i, j = np.searchsorted(column, [lo, lo + FEATURES])
+        m = np.zeros((len(sizes), min(FEATURES, int(shared.sum()) - lo)), np.float32)
+        m[row[i:j], column[i:j] - lo] = 1.0
+        common += m[: len(a)] @ m[len(a) :].T
+    return whole_units(common, sizes[: len(a)], sizes[len(a) :])
+
+
+def whole_units(common, a, b):
+    """Jaccard distances in whole units, of the sizes of two sides and what they have in common."""
+    import numpy as np
+
+    union = a[:, None].astype(np.float64) + b[None, :] - common
+    return np.where(union > 0, np.rint((1 - common / np.maximum(union, 1)) * UNIT), 0.0)
+
+
+def _bags(rows: DataFrame) -> DataFrame:
+    """``text`` replaced by ``bag``: digests of its words and neighbouring word pairs, without case, marks and blanks, as in ``overlaps``."""
+    words = F.pandas_udf(lambda s: s.map(lambda t: re.findall(r"\w+", fold(t)[1].decode("utf-8", "replace")) if t else []), "array<string>")
+    pairs = F.transform(F.sequence(F.lit(1), F.size("_w") - 1), lambda i: F.concat_ws(" ", F.element_at("_w", i), F.element_at("_w", i + 1)))
+    every = F.concat("_w", F.when(F.size("_w") > 1, pairs).otherwise(F.array().cast("array<string>")))
+    return rows.withColumn("_w", words("text")).withColumn("bag", F.array_distinct(F.transform(every, lambda x: F.xxhash64(x)))).drop("text", "_w")
+
+
+def _meet(left: DataFrame, right: DataFrame, block_rows: int, run, schema: str) -> DataFrame:
+    """``run`` for every part of a group's rows ``left`` with every part of its rows ``right``, about ``block_rows`` rows in a task.
+
+    Both sides have ``_group, record, bag, value``; ``run`` gets two frames and returns one with ``record`` and what ``schema`` adds.
+    """
+    half = max(1, block_rows // 2)
+    parts = lambda df, c: df.groupBy("_group").agg(F.ceil(F.count(F.lit(1)) / half).alias(c))
+    n = parts(left, "_ps").join(parts(right, "_qs"), "_group")
+    side = lambda df, own, other, first: df.select("_group", "record", "bag", "value", F.lit(first).alias("_first")).join(n, "_group").withColumn(own, F.pmod(F.xxhash64("record"), F.col(own + "s"))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other + "s") - 1))).drop("_ps", "_qs")
+
+    def pair(key, part: pd.DataFrame) -> pd.DataFrame:
+        out = run(part[part["_first"]], part[~part["_first"]])
+        out.insert(0, "_group", key[0])
+        return out
+
+    kind = left.schema["_group"].dataType.simpleString()
+    both = side(left, "_p", "_q", True).unionByName(side(right, "_q", "_p", False))
+    return both.groupBy("_group", "_p", "_q").applyInPandas(pair, f"_group {kind}, record string, {schema}")
+
+
+def _moved(state: DataFrame, changed: DataFrame, block_rows: int) -> DataFrame:
+    """``state`` with ``total``, each row's distance to all that is chosen, after the rows ``changed`` were taken (1) or given up (-1)."""
+
+    def run(rows: pd.DataFrame, by: pd.DataFrame) -> pd.DataFrame:
+        moved = units(rows["bag"].tolist(), by["bag"].tolist()) @ by["value"].to_numpy(float)
+        return pd.DataFrame({"record": rows["record"].to_numpy(), "moved": moved.astype("int64")})
+
+    moved = _meet(state.withColumn("value", F.lit(0).cast("long")), changed, block_rows, run, "moved long").groupBy("_group", "record").agg(F.sum("moved").alias("_moved"))
+    return state.join(moved, ["_group", "record"], "left").withColumn("total", F.col("total") + F.coalesce("_moved", F.lit(0))).drop("_moved")
+
+
+def _gains(state: DataFrame, block_rows: int) -> DataFrame:
+    """``_group, record, gain``: the most that a swap of each row with one of the other side adds to the sum of distances."""
+
+    def run(inside: pd.DataFrame, outside: pd.DataFrame) -> pd.DataFrame:
+        if inside.empty or outside.empty:
+            return pd.DataFrame({"record": [], "gain": []}).astype({"record": object, "gain": "int64"})
+        gain = outside["value"].to_numpy(float)[None, :] - units(inside["bag"].tolist(), outside["bag"].tolist()) - inside["value"].to_numpy(float)[:, None]
+        return pd.DataFrame({"record": [*inside["record"], *outside["record"]], "gain": [*gain.max(1).astype("int64"), *gain.max(0).astype("int64")]})
+
+    rows = state.withColumn("value", F.col("total"))
+    return _meet(rows.filter("inside"), rows.filter("NOT inside"), block_rows, run, "gain long").groupBy("_group", "record").agg(F.max("gain").alias("gain"))
+
+
+def _swaps(rows: DataFrame) -> DataFrame:
+    """``_group, record, value``: rows to take (1) and to give up (-1), by swaps among each group's ``rows`` until none helps."""
+
+    def run(key, part: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        part = part.sort_values("record").reset_index(drop=True)
+        bags, before = part["bag"].tolist(), part["inside"].to_numpy(bool)
+        after = np.zeros(len(part), bool)
+        after[swapped(units(bags, bags), np.nonzero(before)[0].tolist(), part["total"].to_numpy())] = True
+        moved = part[before != after]
+        return pd.DataFrame({"_group": [key[0]] * len(moved), "record": moved["record"].tolist(), "value": np.where(after, 1, -1)[moved.index]})
+
+    kind = rows.schema["_group"].dataType.simpleString()
+    return rows.groupBy("_group").applyInPandas(run, f"_group {kind}, record string, value long")
+
+
+def _subset_at_once(rows: DataFrame) -> DataFrame:
+    """``_group, record`` of the subset of groups that one task holds: the single round that ``_subset_by_rounds`` would take."""
+
+    def run(key, part: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        part = part.sort_values("record").reset_index(drop=True)
+        k, ranks = int(part["budget"].iloc[0]), part["rank"].to_numpy()
+        pick = np.arange(len(part))
+        if k < len(part):
+            last = np.sort(ranks)[k]
+            fixed, level = np.nonzero(ranks < last)[0], np.nonzero(ranks == last)[0]
+            common, sizes = overlaps(part["text"].tolist())
+            start = np.argsort(part["_start"].to_numpy()[level], kind="stable")[: k - len(fixed)]
+            distance = whole_units(common[level], sizes[level], sizes)
+            total = distance[:, np.concatenate([fixed, level[start]])].sum(1)
+            pick = np.concatenate([fixed, level[swapped(distance[:, level], start.tolist(), total)]]).astype(int)
+        return pd.DataFrame({"_group": [key[0]] * len(pick), "record": part["record"].iloc[pick].tolist()})
+
+    kind = rows.schema["_group"].dataType.simpleString()
+    return rows.withColumn("_start", F.xxhash64("record")).groupBy("_group").applyInPandas(run, f"_group {kind}, record string")
+
+
+def _levels(rows: DataFrame) -> DataFrame:
+    """``_group, rank, _n, _places``: of each rank that has places left in its group's budget, its records and these places."""
+    before = Window.partitionBy("_group").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    level = rows.groupBy("_group", "rank").agg(F.count(F.lit(1)).alias("_n"), F.max("budget").alias("_b"))
+    return level.select("_group", "rank", "_n", (F.col("_b") - F.coalesce(F.sum("_n").over(before), F.lit(0))).alias("_places")).filter("_places > 0")
+
+
+def _subset_by_rounds(rows: DataFrame, block_rows: int) -> DataFrame:
+    """``_group, record`` of the subset of groups of any size: rounds over all pairs of parts, until none finds a gain."""
+    rows = written(_bags(rows.join(_levels(rows), ["_group", "rank"])).select("_group", "record", "bag", "_n", "_places"), "bags")
+    fixed, last = rows.filter("_n <= _places"), rows.filter("_n > _places").select("_group", "record", "bag", "_places")
+    start = top_k(last.drop("bag"), ["_group"], [F.xxhash64("record")], F.col("_places"), "record").select("_group", "record", F.lit(True).alias("inside"))
+    state = last.drop("_places").join(start, ["_group", "record"], "left").withColumns({"inside": F.coalesce("inside", F.lit(False)), "total": F.lit(0).cast("long")})
+    state = written(state, "state")
+    out = [fixed.select("_group", "record")]
+    changed = fixed.join(state.select("_group").distinct(), "_group", "left_semi").select("_group", "record", "bag").unionByName(state.filter("inside").select("_group", "record", "bag")).withColumn("value", F.lit(1).cast("long"))
+    while state.limit(1).count():
+        state = written(_moved(state, changed, block_rows), "totals")
+        gain = written(_gains(state, block_rows), "gains")
+        open_ = state.join(gain.groupBy("_group").agg(F.max("gain").alias("_most")).filter("_most > 0").drop("_most"), "_group", "left_semi")
+        out.append(state.filter("inside").join(open_.select("_group").distinct(), "_group", "left_anti").select("_group", "record"))
+        most = top_k(open_.join(gain, ["_group", "record"]), ["_group", "inside"], [F.desc("gain")], F.lit(SWAPS), "record")
+        swaps = written(_swaps(most.select("_group", "record", "bag", "inside", "total")), "swaps")
+        state = written(open_.join(swaps, ["_group", "record"], "left").withColumn("inside", F.coalesce(F.col("value") > 0, "inside")).drop("value"), "state")
+        # where one round had all records, no swap is left
+        over = state.groupBy("_group").agg(F.count_if("inside").alias("_i"), F.count_if(~F.col("inside")).alias("_o")).filter((F.col("_i") <= SWAPS) & (F.col("_o") <= SWAPS)).select("_group")
+        out.append(state.filter("inside").join(over, "_group", "left_semi").select("_group", "record"))
+        state = state.join(over, "_group", "left_anti")
+        changed = swaps.join(state.select("_group", "record", "bag"), ["_group", "record"])
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
 def varied_subset(df: DataFrame, group: str, record: str, text: str, budget: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``group, record``: at most ``budget`` records of each group with a large sum of pairwise distances.
 
-    Records are ranked within their crowd (``crowds``), the fullest text first, so that a crowd is taken from once
-    before any is taken from twice. Every block yields a core-set of ``budget`` records by local search over the Jaccard distance of
-    words and word pairs. The union of a group's core-sets is cut into blocks and reduced again until a group is one block.
-    A budget beyond half a block, which no union could reduce, is instead shared out over the blocks in proportion to their
-    records, each of them dispersed in itself. So no task ever sees more than about ``block_rows`` records, whatever the budget. Groups without a
-    budget give nothing; a group with fewer records than its budget is taken whole.
+    Records are ranked within their crowd (``crowds``), the fullest text first. All first texts are taken before any second
+    one, over the whole group, and so on; of the rank at which the budget ends, those records that no swap with another one of this rank
+    improves: none raises the sum of Jaccard distances of words and word pairs over all that the group's subset has. One method
+    holds for groups and budgets of any size. It starts from a hash of the records; a round compares all chosen records with all others,
+    part by part, and swaps among the SWAPS of each that gain most, until a round finds no gain. Distances are whole
+    numbers, so neither the parts nor their order change the result: ``block_rows`` bounds what a task sees, and nothing else; a group that fits
+    a task and a round takes this round in one step, with the same result. A round's work grows with records times budget. Groups without a budget give nothing; a group with
+    fewer records than its budget is taken whole.
     """
     every = _input(df, group, record, text, budget).dropDuplicates(["_group", "record"])
     named = crowds(df, group, record, text, block_rows).select(F.col(group).alias("_group"), "record", "crowd")
-    # of a crowd only the first ``budget`` texts can be taken
-    best = top_k(every.join(named, ["_group", "record"]).withColumn("_words", F.length(F.coalesce("text", F.lit("")))), ["_group", "crowd"], [F.desc("_words")], F.col("budget"), "record")
-    rows = written(best.select("_group", "record", "text", "budget", "rank"), "ranked")
-    small = F.col("budget") * 2 <= block_rows
-    shared = rows.filter(~small)
-    parts = shared.groupBy("_group").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("_parts"), F.count(F.lit(1)).alias("_n"))
-    cut = shared.join(parts, "_group").withColumn("_block", F.pmod(F.xxhash64("record"), F.col("_parts")))
-    up = Window.partitionBy("_group").orderBy("_block")
-    size = cut.groupBy("_group", "_block").agg(F.count(F.lit(1)).alias("_m"), F.max("_n").alias("_n"), F.max("budget").alias("_b"))
-    until = F.floor(F.sum("_m").over(up) * F.least("_b", "_n") / F.col("_n"))
-    size = size.withColumn("_until", until).withColumn("take", (F.col("_until") - F.coalesce(F.lag("_until").over(up), F.lit(0))).cast("int"))
-    large = _core_per_block(cut.join(size.select("_group", "_block", "take"), ["_group", "_block"]))
-    rows = rows.filter(small).withColumn("take", F.col("budget"))
-    while True:
-        sizes = rows.groupBy("_group").agg(F.count(F.lit(1)).alias("_n"))
-        last = (sizes.agg(F.max("_n")).first()[0] or 0) <= block_rows
-        core = _core_per_block(_blocks(rows, sizes, block_rows))
-        if last:
-            return core.unionByName(large).select(F.col("_group").alias(group), "record")
-        rows = written(rows.join(core, ["_group", "record"]), "core")
+    # of a crowd only the first ``budget`` texts can be taken; texts themselves aren't moved for the ranks
+    words = every.select("_group", "record", "budget", F.length(F.coalesce("text", F.lit(""))).alias("_words"))
+    best = top_k(words.join(named, ["_group", "record"]), ["_group", "crowd"], [F.desc("_words")], F.col("budget"), "record")
+    rows = written(every.join(best.select("_group", "record", "rank"), ["_group", "record"]).select("_group", "record", "text", "budget", "rank"), "ranked")
+    limit = min(block_rows, SWAPS)
+    sizes = written(_levels(rows).groupBy("_group").agg(F.max("rank").alias("_last"), F.sum("_n").alias("_size")), "sizes")
+    every = rows.join(sizes, "_group").filter(F.col("rank") <= F.col("_last")).drop("_last")
+    out = _subset_at_once(every.filter(F.col("_size") <= limit).drop("_size"))
+    if (sizes.agg(F.max("_size")).first()[0] or 0) > limit:
+        out = out.unionByName(_subset_by_rounds(every.filter(F.col("_size") > limit).drop("_size"), block_rows))
+    return out.select(F.col("_group").alias(group), "record")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

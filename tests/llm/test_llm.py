@@ -107,6 +107,36 @@ def test_varied(spark):
     assert varied.crowds(df.filter("false"), "g", "id", "t").count() == 0 == varied.varied_subset(df.filter("false"), "g", "id", "t", budget).count()
 
 
+def test_subset_is_one_method_for_any_size(spark, monkeypatch):
+    r = random.Random(6)
+    vocabulary = [f"word{i}" for i in range(300)]
+    rows = []
+    for c in range(40):
+        base = [r.choice(vocabulary) for _ in range(30)]
+        for i in range(r.choice([1, 1, 2, 7])):
+            w = list(base)
+            w[r.randrange(30)] = r.choice(vocabulary)
+            rows.append(("a", f"c{c:02d}{i}", " ".join(w)))
+    df = spark.createDataFrame(rows, "g string, id string, t string")
+    d = varied._distances(*varied.overlaps([t for _, _, t in rows])).astype(float)
+    place = {i: n for n, (_, i, _) in enumerate(rows)}
+
+    def subset(k, block):
+        budget = spark.createDataFrame([("a", k)], "g string, budget int")
+        return {x.record for x in varied.varied_subset(df, "g", "id", "t", budget, block_rows=block).collect()}
+
+    for k in (20, 40, 50):  # less than half a block of 1000, more than half a block of 14
+        whole = subset(k, 1000)
+        # every crowd once before any twice, whatever the parts
+        assert len(whole) == k and len({i[:3] for i in whole}) == min(k, 40) and subset(k, 14) == whole
+    monkeypatch.setattr(varied, "SWAPS", 2)  # several rounds
+    got = subset(20, 14)
+    first = {x.record for x in varied.varied_subset(df, "g", "id", "t", spark.createDataFrame([("a", 40)], "g string, budget int")).collect()}
+    a, b = [place[i] for i in sorted(got)], [place[i] for i in sorted(first - got)]
+    total = d[:, a].sum(1)
+    assert len(got) == 20 and got < first and (total[b][None, :] - d[np.ix_(a, b)] - total[a][:, None]).max() <= 1e-6
+
+
 def test_crowds_across_blocks(spark, monkeypatch):
     # chains of texts that are like their neighbours only, and texts of one word
     rows = [("a", f"c{c}{i:03d}", " ".join(f"x{c}y{j}" for j in range(2 * i, 2 * i + 16 + i % 3))) for c in range(3) for i in range(50)]
