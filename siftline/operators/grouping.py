@@ -68,6 +68,16 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: Column, tie: s
     )
 
 
+def means_in_order(df: DataFrame, keys: list[str], order: str, values: dict[str, Column]) -> DataFrame:
+    """``keys``, ``rows`` and the means of ``values``, each group summed row by row in its ``order``, which has no ties.
+
+    So the last digits, and what they round to, don't depend on partitions. The sums run within a sorted window; no group is collected.
+    """
+    running = df.select(*keys, F.col(order).alias("_order"), *[v.alias(n) for n, v in values.items()])
+    up = Window.partitionBy(*keys).orderBy("_order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return running.select(*keys, "_order", *[F.avg(n).over(up).alias(n) for n in values]).groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), *[F.max_by(n, "_order").alias(n) for n in values])
+
+
 def quality_order(quality: str) -> list[Column]:
     """Best first, null and NaN last."""
     none = F.col(quality).isNull() | F.isnan(quality)

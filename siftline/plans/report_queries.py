@@ -27,6 +27,11 @@ from siftline.sources import sinks as sk
 SELECTORS = [*rp.ANCHORS, "rerank_v2"]
 
 
+def _rounded(c: str):
+    """Six decimals as the SQL rounds: of the double's millionfold, not of its decimal digits, which differ where these end in 5."""
+    return (F.round(F.col(c) * 1e6) / 1e6).alias(c)
+
+
 def _selections(spark, d, names=None):
     """The first rows of each baseline's ranking by run."""
     each = [best(spark, d, b).withColumn("baseline", F.lit(b)) for b in names or SELECTORS]
@@ -70,8 +75,8 @@ def selected_training_records(spark, d):
 @query(f"WITH {_selections_sql()} SELECT run_id, baseline, count(*) AS selected, round(avg(coalesce(lc0, 0)), 6) AS judge_label_correctness, round(avg(coalesce(q0, 0)), 6) AS judge_quality_score, round(avg(coalesce(CASE WHEN isnan(c) THEN 0 ELSE c END, 0)), 6) AS c, round(avg(coalesce(CASE WHEN isnan(l) THEN 0 ELSE l END, 0)), 6) AS l, round(avg(coalesce(CASE WHEN isnan(h) THEN 0 ELSE h END, 0)), 6) AS h, round(avg(hard_reject::INT), 6) AS hard_reject_rate FROM chosen GROUP BY ALL")
 def selection_quality(spark, d):
     """Means of judgements, scores and rejects of every selection."""
-    q = rd.selection_quality(_selections(spark, d), ["run_id", "baseline"])
-    return q.select("run_id", "baseline", "selected", *[F.round(c, 6).alias(c) for c in ("judge_label_correctness", "judge_quality_score", "c", "l", "h", "hard_reject_rate")])
+    q = rd.selection_quality(_selections(spark, d), ["run_id", "baseline"], "rank")
+    return q.select("run_id", "baseline", "selected", *[_rounded(c) for c in ("judge_label_correctness", "judge_quality_score", "c", "l", "h", "hard_reject_rate")])
 
 
 # a source in which a few texts have changed since the digests were taken

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siftline.functions.text import stripped
+from siftline.operators.grouping import means_in_order
 
 RECORD = "id string, dataset_id string, task string, language string, split string, text string, label string, tokens array<string>, tags array<string>, summary string, metadata map<string,string>"
 CANDIDATE = "candidate_id string, dataset_id string, task string, language string, text string, label string, source_seed_ids array<string>, generator string, generator_confidence double, prompt_hash string, metadata string, counterfactual struct<text: string, label: string, semantic_edit_score: double, method: string, failed: boolean>"
@@ -150,10 +151,16 @@ def read_selections(spark: SparkSession, root: str) -> DataFrame:
     return rows.select(at(-5).alias("task"), at(-4).alias("language"), at(-3).alias("slug"), F.regexp_replace(at(-1), r"\.jsonl$", "").alias("baseline"), "candidate_id", "label", "hard_reject", F.col("scores.C").alias("c"), F.col("scores.L").alias("l"), F.col("scores.H").alias("h"), F.col("metadata.llm_judge.label_correctness").alias("judge_label_correctness"), F.col("metadata.llm_judge.quality_score").alias("judge_quality_score"))
 
 
-def selection_quality(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, selected`` and the means of judgements, scores and rejects; what is missing or NaN counts as 0."""
-    mean = lambda c: F.avg(F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)))
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("selected"), *[mean(c).alias(c) for c in ("judge_label_correctness", "judge_quality_score", "c", "l", "h")], mean("hard_reject").alias("hard_reject_rate"))
+def selection_quality(rows: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """``keys, selected`` and the means of judgements, scores and rejects; what is missing or NaN counts as 0.
+
+    With ``order``, a column without ties in a selection, means are summed in it and don't depend on partitions.
+    """
+    zero = lambda c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))
+    values = {c: zero(c) for c in ("judge_label_correctness", "judge_quality_score", "c", "l", "h")} | {"hard_reject_rate": zero("hard_reject")}
+    if order is None:
+        return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("selected"), *[F.avg(v).alias(n) for n, v in values.items()])
+    return means_in_order(rows, keys, order, values).withColumnRenamed("rows", "selected")
 
 
 def labelled(rows: DataFrame, gold: DataFrame, label: str = "label", text: str = "text") -> DataFrame:

@@ -23,7 +23,7 @@ from siftline.operators import selection as sel
 from siftline.operators import shortcut as sh
 from siftline.operators import vectors as vc
 from siftline.operators.config import AuditConfig, RunConfig, flag, from_mapping, load_config
-from siftline.operators.grouping import first_k, quality_order, rank_in_groups, top_k, value_ranks
+from siftline.operators.grouping import first_k, means_in_order, quality_order, rank_in_groups, top_k, value_ranks
 from siftline.operators.leakage import leakage
 from siftline.operators.scoring import pool_filter
 from siftline.sources import readers as rd
@@ -567,3 +567,11 @@ def test_command_line(spark, tmp_path):
     main(["plan-summary", "--config", at("c.yaml"), "--out", at("summary")])
     main(["plan-training", "--config", at("c.yaml"), "--out", at("training")])
     assert spark.read.parquet(at("summary")).first().cells == 1 and spark.read.parquet(at("training")).count() == 2
+
+
+def test_means_in_order(spark):
+    rows = [("a", 1, 1e16), ("a", 2, 1.0), ("a", 3, 1.0), ("a", 4, -1e16), ("b", 1, 1e16), ("b", 2, -1e16), ("b", 3, 1.0), ("b", 4, 1.0), ("c", 1, None)]
+    for n in (1, 3, 8):
+        df = spark.createDataFrame(rows[::-1], "g string, k int, x double").repartition(n)
+        got = {r.g: (r.rows, r.m) for r in means_in_order(df, ["g"], "k", {"m": F.col("x")}).collect()}
+        assert got == {"a": (4, 0.0), "b": (4, 0.5), "c": (1, None)}
