@@ -236,13 +236,13 @@ _NUMBERS = ["fill_rate", "hard_reject_rate", "strict_pass_rate", "proxy_score",
 def _summaries(spark, d):
     g = gold(spark, d).filter(F.col("label").isNotNull()).groupBy("task", "label").agg(F.count(F.lit(1)).alias("n"))
     shares = g.join(g.groupBy("task").agg(F.sum("n").alias("of")), "task").join(table(spark, d, "runs").select("run_id", "task"), "task").select("run_id", "label", (F.col("n") / F.col("of")).alias("share"))
-    return rp.selection_summary(written(_selections(spark, d), "selections"), shares, ["run_id", "baseline"], F.lit(BUDGET), CFG)
+    return rp.selection_summary(written(_selections(spark, d), "selections"), shares, ["run_id", "baseline"], F.lit(BUDGET), CFG, "rank")
 
 
 @query(f"{_SUMMARY} SELECT run_id, baseline, selected, source_max, {', '.join(f'round({c}, 6) AS {c}' for c in _NUMBERS)} FROM summary")
 def selection_summary(spark, d):
     """What every selection took: fill, label shares, rejects, sources, means of scores and judgements, and overlap with the anchors."""
-    return _summaries(spark, d).select("run_id", "baseline", "selected", "source_max", *[F.round(c, 6).alias(c) for c in _NUMBERS])
+    return _summaries(spark, d).select("run_id", "baseline", "selected", "source_max", *[_rounded(c) for c in _NUMBERS])
 
 
 _ACROSS = ["fill_rate", "label_tvd", "hard_reject_rate", "strict_pass_rate", "proxy_score", "source_max", "jaccard_vs_naive", *(f"score_{c}" for c in rp.SCORES), *(f"judge_{n}" for n in _NAMES.values())]

@@ -38,7 +38,7 @@ def test_query(spark, con, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", ["selection_quality"])
+@pytest.mark.parametrize("name", ["selection_quality", "selection_summary"])
 def test_means_equal_to_the_last_digit(spark, name):
     # means of two-digit judgements over 32 rows often end in a 5 at the seventh digit
     folder = DATA.replace("sf0.001", "sf0.01")
