@@ -7,6 +7,8 @@ joined with the totals of the ranges before.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -78,6 +80,20 @@ def means_in_order(df: DataFrame, keys: list[str], order: str, values: dict[str,
     return running.select(*keys, "_order", *[F.avg(n).over(up).alias(n) for n in values]).groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), *[F.max_by(n, "_order").alias(n) for n in values])
 
 
+def exact_mean(value: str) -> Column:
+    """The mean of a column by its exact sum, rounded once: the same in any order of rows; plain where a number isn't finite or beyond 1e6.
+
+    A double is summed as two whole numbers, units of 2^-30 and of 2^-82; what a number has below that is cut off.
+    """
+    x = F.col(value).cast("double")
+    plain = F.isnan(x) | (F.abs(x) > 1e6)
+    scaled = F.when(~plain, x) * 2.0**30
+    whole = F.floor(scaled)
+    units = lambda n: F.sum(n.cast("decimal(19,0)"))
+    total = (units(whole) * F.lit(Decimal(2**52)) + units(F.floor((scaled - whole) * 2.0**52))).cast("double") / 2.0**82
+    return F.when(F.count_if(plain) > 0, F.avg(x)).otherwise(total / F.nullif(F.count(x), F.lit(0)))
+
+
 def quality_order(quality: str) -> list[Column]:
     """Best first, null and NaN last."""
     none = F.col(quality).isNull() | F.isnan(quality)

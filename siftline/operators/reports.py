@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftline.operators import scoring as sc
 from siftline.operators.config import AuditConfig
-from siftline.operators.grouping import means_in_order
+from siftline.operators.grouping import exact_mean, means_in_order
 from siftline.operators.metrics import spearman
 
 SCORES = ["u", "c", "d", "l", "h", "s"]
@@ -92,10 +92,10 @@ def selection_summary(selected: DataFrame, gold_shares: DataFrame, keys: list[st
 
 
 def across_cells(summaries: DataFrame, by: str = "baseline") -> DataFrame:
-    """``by, n`` and the means over cells of every number of a summary but its sizes and the later anchors."""
+    """``by, n`` and the means over cells of every number of a summary but its sizes and the later anchors, whatever the order of cells."""
     left_out = {"selected", *(f"jaccard_vs_{a}" for a in ANCHORS[1:])}
     names = [f.name for f in summaries.schema.fields if f.dataType.typeName() in ("double", "long", "integer") and f.name not in left_out | {"run_id", by}]
-    return summaries.groupBy(by).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in names])
+    return summaries.groupBy(by).agg(F.count(F.lit(1)).alias("n"), *[exact_mean(c).alias(c) for c in names])
 
 
 def judge_means(selected: DataFrame, scores: DataFrame, keys: list[str], by: str = "baseline", score: str = "score") -> DataFrame:

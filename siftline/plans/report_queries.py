@@ -251,7 +251,7 @@ _ACROSS = ["fill_rate", "label_tvd", "hard_reject_rate", "strict_pass_rate", "pr
 @query(f"{_SUMMARY} SELECT baseline, count(*) AS n, {', '.join(f'round(avg({c}), 6) AS {c}' for c in _ACROSS)} FROM summary GROUP BY ALL")
 def selection_across_cells(spark, d):
     """The means over runs of every selector's summaries."""
-    return rp.across_cells(_summaries(spark, d)).select("baseline", "n", *[F.round(c, 6).alias(c) for c in _ACROSS])
+    return rp.across_cells(_summaries(spark, d)).select("baseline", "n", *[_rounded(c) for c in _ACROSS])
 
 
 _OVERLAP = f"""{_selections_sql(['rerank_v2', 'naive'])}, p AS (SELECT run_id, {_KEY} AS k, count(*) FILTER (baseline = 'rerank_v2') AS x, count(*) FILTER (baseline = 'naive') AS y FROM chosen GROUP BY ALL),

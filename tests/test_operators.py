@@ -23,7 +23,7 @@ from siftline.operators import selection as sel
 from siftline.operators import shortcut as sh
 from siftline.operators import vectors as vc
 from siftline.operators.config import AuditConfig, RunConfig, flag, from_mapping, load_config
-from siftline.operators.grouping import first_k, means_in_order, quality_order, rank_in_groups, top_k, value_ranks
+from siftline.operators.grouping import exact_mean, first_k, means_in_order, quality_order, rank_in_groups, top_k, value_ranks
 from siftline.operators.leakage import leakage
 from siftline.operators.scoring import pool_filter
 from siftline.sources import readers as rd
@@ -575,3 +575,21 @@ def test_means_in_order(spark):
         df = spark.createDataFrame(rows[::-1], "g string, k int, x double").repartition(n)
         got = {r.g: (r.rows, r.m) for r in means_in_order(df, ["g"], "k", {"m": F.col("x")}).collect()}
         assert got == {"a": (4, 0.0), "b": (4, 0.5), "c": (1, None)}
+
+
+def test_exact_mean(spark):
+    r = random.Random(2)
+    values = {"a": [r.random() for _ in range(3000)], "b": [1e5, 1e-9, -1e5, 0.1], "c": [None, None], "d": [0.5, float("nan")], "e": [float("inf"), 1.0, None]}
+    for n in (1, 5):
+        df = spark.createDataFrame([(g, x) for g, v in values.items() for x in v], "g string, x double").repartition(n)
+        got = {x.g: x.m for x in df.groupBy("g").agg(exact_mean("x").alias("m")).collect()}
+        assert got["a"] == float(sum(map(Fraction, values["a"]))) / 3000 and got["b"] == float(sum(map(Fraction, values["b"]))) / 4
+        assert got["c"] is None and got["d"] != got["d"] and got["e"] == float("inf")
+
+
+def test_across_cells_in_any_order(spark):
+    # one after another, these add up to something else in either order
+    rows = [("s", i, x) for i, x in enumerate([0.107, 0.703, 0.652, 0.94, 0.271, 0.256, 0.734, 0.658])]
+    for order in (rows, rows[::-1]):
+        got = rp.across_cells(spark.createDataFrame(order, "baseline string, run_id int, proxy_score double").coalesce(1)).first()
+        assert (got.n, got.proxy_score) == (8, float(sum(Fraction(x) for _, _, x in rows)) / 8)
