@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,23 +15,34 @@ PUNCTUATION = "[!?.,;:]"
 WEIGHTS = {"label_word": 0.35, "template": 0.30, "length": 0.20, "names": 0.10, "punctuation": 0.05}
 
 
-def artifact_features(df: DataFrame, pool: str, text: str, label: str) -> DataFrame:
-    """Adds length (words), label_word, template, names (share of words that begin with a capital) and punctuation (share of characters).
-
-    A label word is any label of the pool's rows, in any case, anywhere in the text; empty labels are none. Null texts count as empty.
-    """
-    labels = df.filter(F.col(label).isNotNull() & (F.col(label) != "")).groupBy(pool).agg(F.collect_set(F.lower(label)).alias("_labels"))  # as many as classes
+def form_features(df: DataFrame, text: str) -> DataFrame:
+    """Adds the features of ``artifact_features`` that each text has by itself, all but label_word."""
     body = F.coalesce(text, F.lit(""))
-    rows = df.join(labels, pool, "left").withColumn("_low", F.lower(body))
     length = F.regexp_count(body, F.lit(WORD))
-    capital = F.regexp_count(body, F.lit(r"(?<![\p{L}\p{N}_])\p{Lu}"))
-    return rows.withColumns({
+    capital = F.regexp_count(body, F.lit(r"(?=\p{Lu})(?<![\p{L}\p{N}_])\p{Lu}"))  # looks back from capitals only
+    return df.withColumns({
         "length": length.cast("bigint"),
-        "label_word": F.coalesce(F.exists("_labels", lambda x: F.contains(F.col("_low"), x)), F.lit(False)),
-        "template": F.exists(F.array(*[F.lit(m) for m in MARKS]), lambda m: F.contains(F.col("_low"), m)),
+        "template": reduce(lambda x, y: x | y, [F.contains(F.lower(body), F.lit(m)) for m in MARKS]),
         "names": F.least(F.lit(1.0), capital / F.greatest(length, F.lit(1))),
         "punctuation": F.regexp_count(body, F.lit(PUNCTUATION)) / F.greatest(F.length(body), F.lit(1)),
-    }).drop("_labels", "_low")
+    })
+
+
+def label_word(df: DataFrame, pool: str, text: str, label: str) -> DataFrame:
+    """Adds whether a text holds any label of its pool's rows, in any case, anywhere; empty labels are none."""
+    labels = df.filter(F.col(label).isNotNull() & (F.col(label) != "")).groupBy(pool).agg(F.collect_set(F.lower(label)).alias("_labels"))  # as many as classes
+    rows = df.join(labels, pool, "left").withColumn("_low", F.lower(text))
+    # the lower-case text is used twice, else the optimizer moves it into the lambda, where it is made for every label
+    held = F.when(F.col("_low").isNotNull(), F.exists("_labels", lambda x: F.contains(F.col("_low"), x)))
+    return rows.withColumn("label_word", F.coalesce(held, F.lit(False))).drop("_labels", "_low")
+
+
+def artifact_features(df: DataFrame, pool: str, text: str, label: str) -> DataFrame:
+    """Adds length (words), label_word, template, names (share of words that begin with a capital) and punctuation (share of characters).
+
+    A label word is any label of the pool's rows, in any case, anywhere in the text; empty labels are none. Null texts count as empty.
+    """
+    return form_features(label_word(df, pool, text, label), text)
 
 
 def shortcut_score(features: DataFrame, pool: str) -> DataFrame:

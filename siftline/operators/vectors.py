@@ -102,6 +102,33 @@ def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int)
     return out.withColumn("place", place).filter(F.col("place") <= k)
 
 
+def slack(dim: int) -> float:
+    """By how much two cosines of unit vectors can change places at most, in single precision against doubles of 9 digits."""
+    return 2 * ((dim + 8) * 2.0**-24 + 1e-9)
+
+
+def nearest_of(x, reference, rough, k: int):
+    """Cosines, to 9 digits, and places of the ``k`` most similar unit vectors of ``reference`` for every row of ``x``; ties by place.
+
+    ``rough`` are all cosines in single precision: those that may be among the first are found by them and ordered by doubles. Where more than
+    three others may be, all of the row's are doubles.
+    """
+    import numpy as np
+
+    n, more = len(reference), min(k + 3, len(reference))
+    best = np.argpartition(rough, n - more, axis=1)[:, n - more :]
+    top = np.sort(np.take_along_axis(rough, best, 1), axis=1)
+    c = np.round(np.matmul(reference[best], x[:, :, None])[:, :, 0], 9)
+    order = np.lexsort((best, -c), axis=1)[:, :k]
+    c, best = np.take_along_axis(c, order, 1), np.take_along_axis(best, order, 1)
+    wide = np.flatnonzero(top[:, 0] >= top[:, more - k] - slack(x.shape[1])) if more < n else []
+    if len(wide):
+        every = np.round(x[wide] @ reference.T, 9)
+        best[wide] = np.argsort(-every, axis=1, kind="stable")[:, :k]
+        c[wide] = np.take_along_axis(every, best[wide], 1)
+    return c, best
+
+
 #: Reference vectors that are sent to the workers at a time.
 BLOCK_REFERENCE = 20_000
 

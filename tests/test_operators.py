@@ -24,7 +24,7 @@ from siftline.operators import shortcut as sh
 from siftline.operators import vectors as vc
 from siftline.operators.config import AuditConfig, RunConfig, flag, from_mapping, load_config
 from siftline.operators.grouping import exact_mean, first_k, means_in_order, quality_order, rank_in_groups, top_k, value_ranks
-from siftline.operators.leakage import leakage
+from siftline.operators.leakage import HeldGrams, leakage
 from siftline.operators.scoring import pool_filter
 from siftline.sources import readers as rd
 from siftline.sources import sinks
@@ -542,6 +542,70 @@ def test_audit_and_select(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 10
 
 
+def test_audit_in_one_pass(spark, monkeypatch):
+    """No vector is written or shuffled, and sides beyond a block, which are joined, give the same."""
+    from siftline.plans import audit as plan
+
+    d = "/root/testdata/sf0.001"
+    c, g, h = (spark.read.parquet(f"{d}/{n}.parquet") for n in ("candidates", "gold", "benchmark"))
+    kinds = []
+    keep = plan.written
+    monkeypatch.setattr(plan, "written", lambda df, name: kinds.extend(df.dtypes) or keep(df, name))
+    run = lambda gold, held, cfg: {r.candidate_id: r for r in plan.audit(c, gold, held, cfg).collect()}
+    sides = [(g, h), (g.filter("false"), h), (g.withColumn("label", F.lit(None).cast("string")), h.filter("false")), (g.limit(3).unionByName(g.limit(3).withColumn("id", F.lit("again"))), h.limit(2))]
+    cfg = AuditConfig(embedding_dim=64, ngram_n=6, shingle_n=3)
+    one = [run(*x, cfg) for x in sides]
+    assert kinds and not [k for _, k in kinds if k.startswith(("array<float>", "array<double>"))]
+    monkeypatch.setattr(plan, "BLOCK_REFERENCE", -1)
+    for mine, theirs in zip(one, [run(*x, cfg) for x in sides], strict=True):
+        assert mine.keys() == theirs.keys()
+        for i, r in mine.items():
+            assert [getattr(r, x) for x in "ulhdcs"] == pytest.approx([getattr(theirs[i], x) for x in "ulhdcs"], abs=1e-8) and r.reject_reasons == theirs[i].reject_reasons, i
+    assert any(r.l == 1.0 for r in one[0].values()) and any(0 < r.l < 1 for r in one[0].values())
+
+
+def test_held_grams():
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    words = ["a", "b", "\u0253", "."]
+    text = lambda: [rng.choice(words) for _ in range(rng.randrange(14))]
+    texts = [text() for _ in range(300)] + [[], ["new", "a", "b", "new"]]
+    grams = lambda t, n: {tuple(t[i : i + n]) for i in range(len(t) - n + 1)}
+    for held, n, m in (([text() for _ in range(20)], 5, 3), ([text() for _ in range(20)], 2, 4), ([[]], 3, 2), ([], 3, 2), ([["a"], ["a"]], 1, 1)):
+        exact, jaccard = HeldGrams(held, n, m).scores(pa.array([["x"], *texts], pa.list_(pa.string())).slice(1))
+        for i, t in enumerate(texts):
+            mine = grams(t, m)
+            assert exact[i] == any(grams(t, n) & grams(x, n) for x in held)
+            assert jaccard[i] == pytest.approx(max([len(mine & grams(x, m)) / len(mine | grams(x, m)) for x in held if mine & grams(x, m)], default=0.0))
+
+
+def test_gram_table(monkeypatch):
+    """Any text counts as gram by gram, whatever the size of the table and of the parts."""
+    import hashlib
+
+    import numpy as np
+
+    from siftline.functions import embedding as em
+
+    texts = ["", None, "a", "\ud800x\udfff", "\x00\x00\x00", "\u0130stanbul \u00c0", "\U0001f600" * 9, "x" * 300, "\u4e2d\u6587" * 30, "the farmers met, the farmers left"] * 3
+
+    def count(t):
+        s, out = f"  {(t or '').lower()}  ", [0] * 16
+        for g in [s[i : i + n] for n in (3, 4, 5) for i in range(len(s) - n + 1)]:
+            x = int.from_bytes(hashlib.blake2b(g.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+            out[x % 16] += 1 if x >> 63 else -1
+        return out
+
+    for places, chunk in ((1 << 22, 512), (8, 4)):
+        monkeypatch.setattr(em, "PLACES", places)
+        monkeypatch.setattr(em, "CHUNK", chunk)
+        monkeypatch.setattr(em, "_MET", {})
+        for _ in range(2):
+            want = np.array([count(t) for t in texts])
+            assert np.allclose(em.hashed(texts, 16), want / np.linalg.norm(want, axis=1, keepdims=True))
+
+
 def test_command_line(spark, tmp_path):
     """From seeds to evaluation on one cell, by the commands that the plan renders."""
     from siftline.__main__ import main
